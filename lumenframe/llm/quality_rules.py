@@ -25,11 +25,11 @@ WINDOW = 5
 #: Rules: name, when it votes good, when it votes bad; else it abstains. They read the columns of text_features().
 #: A rule that looks for one kind of damage abstains where it finds none, so it can't outvote another kind.
 RULES: dict[str, tuple[str, str]] = {
-    "length": ("n_words >= 40", "n_words < 15"),
+    "length": ("n_words >= 40", "n_words < 10"),
     "word_length": ("word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     "symbols": ("false", "100 * n_symbols > 10 * n_words"),
     "duplicate_lines": ("false", "10 * n_dup_lines > 3 * n_lines"),
-    "repeats": ("false", "100 * n_repeat_words > 10 * n_words"),
+    "repeats": ("false", "100 * n_repeat_words > 15 * n_words"),
     "capitals": ("false", "100 * n_capitals > 30 * word_chars"),
     "exclamations": ("false", "100 * n_exclamations > 15 * n_words"),
 }
