@@ -78,3 +78,13 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Ids up to this number are broadcast; more go by a shuffle join.
+MOST_BROADCAST = 500_000
+
+
+def if_small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most MOST_BROADCAST rows."""
+    ids = materialise(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
