@@ -31,19 +31,37 @@ ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20),
-    "orc.compress": "ZSTD",
+    "orc.compress": "SNAPPY",
 }
 #: Pieces between white space that a worker remembers with their ids.
-REMEMBERED = 400_000
-#: Bytes of text that are encoded at a time.
-SLICE = 1 << 21
+REMEMBERED = 600_000
+#: Bytes of text that are encoded at a time, and new pieces that are.
+SLICE, LEARNED = 1 << 20, 300
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(c)) for c in (b"abcdefghijklmnopqrstuvwxyz", b",.;:!?", b"\t\n\x0b\x0c\r "))
+
+
+class Numbering(dict):
+    """Numbers keys as they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
 
 
 class PieceEncoder:
     """Encodes texts by their pieces between ASCII white space, each encoded once.
 
-    Right for tokenizers that split at white space and drop it; then the ids of
-    a text are the ids of its pieces in order.
+    Right for tokenizers that fold case, split at white space, which they drop,
+    and between letters and marks; then the ids of a text are the ids of its
+    pieces in order.
     """
 
     def __init__(self, path: str):
@@ -53,37 +71,59 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = Numbering()
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.known = 0
 
     def _learn(self, pieces: list[bytes]) -> None:
+        """Encode new pieces, many in one text; a token belongs to the piece where its characters begin."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
-        for piece, encoded in zip(pieces, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, k = encoded.ids, len(self.index)
-            if k == len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[piece] = k
+        begins = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
+        encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.asarray(encoded.ids, np.int32)
+        of = np.searchsorted(begins, [a for a, _ in encoded.offsets], "right") - 1
+        sizes = np.bincount(of, minlength=len(pieces)) if len(ids) else np.zeros(len(pieces), np.int64)
+        known = self.known
+        while known + len(pieces) > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[known : known + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[known : known + len(pieces)] = sizes
+        self.used += len(ids)
+        self.known += len(pieces)
+
+    def _pieces(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The pieces of all texts, and how many each text has.
+
+        Case is folded and a mark after a letter cut off first, as the tokenizer
+        would, so fewer pieces are new; not where a special token may stand.
+        """
+        sizes = [len(t) + 1 for t in texts]
+        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        ends = np.cumsum(sizes)
+        if not any(b"<|" in t for t in texts):
+            data = _FOLD[data]
+            cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+            data = np.insert(data, cut, 32)
+            ends = ends + np.searchsorted(cut, ends)
+        space = _SPACE[data]
+        begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        before = np.searchsorted(begins, ends) + (len(data) > 0 and not space[0])
+        return data.tobytes().split(), np.diff(before, prepend=0)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by ``end_id``, and the number of ids of each text."""
         if len(self.index) > REMEMBERED:
             self._forget()
-        split = [t.split() for t in texts]
-        pieces = [p for words in split for p in words]
-        found = list(map(self.index.get, pieces))
-        if None in found:
-            self._learn(list(dict.fromkeys(p for p, k in zip(pieces, found, strict=True) if k is None)))
-            found = list(map(self.index.__getitem__, pieces))
-        at = np.asarray(found, np.int64)
-        counts = np.asarray([len(words) for words in split], np.int64)
+        pieces, counts = self._pieces(texts)
+        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        for a in range(0, len(self.index.new), LEARNED):
+            self._learn(self.index.new[a : a + LEARNED])
+        self.index.new.clear()
         last = np.cumsum(counts)
         # each text's end is one more piece, of one id
         sizes = np.insert(self.sizes[at], last, 1)
@@ -95,6 +135,19 @@ class PieceEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
+def _encoder(path: str) -> PieceEncoder:
+    """The encoder of this worker process, which keeps its pieces from task to task."""
+    import os
+    import sys
+    import types
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    kept = sys.modules.setdefault("_lumenframe_worker", types.ModuleType("_lumenframe_worker")).__dict__
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
+
+
 def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     a = size = 0
     for b, t in enumerate(texts):
@@ -121,7 +174,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int) ->
     def encode(batches):
         import pyarrow as pa
 
-        encoder = PieceEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             texts = [x.encode() if x else b"" for x in batch.column("text").to_pylist()]
             for a, b in _slices(texts):
