@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,3 +92,12 @@ def if_small(ids: DataFrame) -> DataFrame:
     """A written table of ids, marked for broadcast if it has at most MOST_BROADCAST rows."""
     ids = materialise(ids, "ids")
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def ship(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast a Python object of bounded size; in a task, the result gives it back.
+
+    It travels by value with its class, so executors need no copy of this package.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import mixing, quality_rules, sharding, token_orc
+from lumenframe.llm import decontam, mixing, ngram_join, quality_rules, sharding, token_orc, warc
 
 #: Shards of the production layout.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(128))
@@ -25,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign_shards(documents, "doc_id", SHARDS)
@@ -34,6 +38,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.contamination_report(documents, benchmark)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     mixed = mixing.mix_sources(documents, F.array("source"))
@@ -45,7 +58,16 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_sharding, op6_quality_rules, op9_mixing, op10_token_orc)
+    f.__name__: f
+    for f in (
+        op2_ngram_join,
+        op4_sharding,
+        op6_quality_rules,
+        op7_decontamination,
+        op8_warc,
+        op9_mixing,
+        op10_token_orc,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
