@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm.common import materialise
+from lumenframe.llm.common import if_small, materialise
 
 #: Most membership patterns that the driver accepts; sources of a mix are few by nature.
 MOST_PATTERNS = 100_000
@@ -215,3 +215,15 @@ def mix_sources(
         (F.col("size") * copies).alias("taken"),
         F.when(F.col("size") > 0, copies).otherwise(0).alias("copies"),
     )
+
+
+def take_copies(documents: DataFrame, membership: Column, **settings) -> DataFrame:
+    """The rows of ``documents`` that the mix takes, repeated as often as it takes them.
+
+    Rows that share an id are each taken as often as the id is taken for one row
+    on average, rounded up. Documents without words and null ids are not taken.
+    """
+    taken = mix_sources(documents, membership, **settings).where("copies > 0 and doc_id is not null")
+    counts = if_small(taken.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").cast("int").alias("_rows")))
+    share = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows")).cast("int"))))
+    return documents.join(counts, "doc_id").select(*documents.columns, share.alias("_copy")).drop("_copy")

@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import decontam, mixing, ngram_join, quality_rules, sharding, token_orc, warc
+from lumenframe.llm import (
+    decontam,
+    langid,
+    mixing,
+    ngram_join,
+    quality_rules,
+    quality_zstd,
+    sharding,
+    token_orc,
+    toxicity,
+    warc,
+)
+from lumenframe.llm.common import fold
 
 #: Shards of the production layout.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(128))
 #: The tokenizer of op10 and the id that ends a document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: The score from which op5 takes a document as good.
+LEAST_QUALITY = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,15 +39,43 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.toxicity_model(documents, table(spark, sf_dir, "labels"), 3, 1)
+    return _judged(toxicity.score_toxicity(documents, model), 3, 1, 0.7)
+
+
+def _judged(scored: DataFrame, modulus: int, held_out: int, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), modulus) == held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = langid.predict_language(documents, langid.language_model(documents, 4, 2))
+    held_out = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign_shards(documents, "doc_id", SHARDS)
 
 
+def op5_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality_zstd.quality_model(documents, table(spark, sf_dir, "labels"), 5, 0)
+    return _judged(quality_zstd.score_quality(documents, model), 5, 0, LEAST_QUALITY)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -60,8 +102,11 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_ngram_join,
+        op3_langid,
         op4_sharding,
+        op5_quality_zstd,
         op6_quality_rules,
         op7_decontamination,
         op8_warc,
