@@ -9,9 +9,14 @@ from pyspark.sql import types as T
 
 
 @F.pandas_udf(T.StringType())
-def two_places(values: pd.Series) -> pd.Series:
-    """``{:.2f}`` of the exact double, which no built-in format gives."""
-    return values.map(lambda v: None if v is None else f"{v:.2f}")
+def _two_places(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: f"{v:.2f}")
+
+
+def two_places(number: Column | str) -> Column:
+    """``{:.2f}`` of the exact double, which no built-in format gives; null stays null."""
+    number = F.col(number) if isinstance(number, str) else number
+    return F.when(number.isNotNull(), _two_places(number))
 
 
 def padded(number: Column, digits: int = 3) -> Column:
