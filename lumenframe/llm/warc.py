@@ -30,7 +30,9 @@ from lumenframe.llm.common import MOST_BROADCAST, arrow_batches, materialise, ne
 
 MAGIC = b"WARC/1.0\r\n"
 #: Bytes that one reading task looks at, and the most that a record's header may have.
-BLOCK, MOST_HEADER = 4 << 20, 1 << 16
+BLOCK, MOST_HEADER = 8 << 20, 1 << 16
+#: The most reading tasks; beyond it a task reads several blocks.
+MOST_TASKS = 20_000
 #: Bytes of a payload that are hashed at a time.
 PIECE = 1 << 20
 
@@ -59,11 +61,11 @@ def with_originals(pages: DataFrame, least_revisit: int) -> DataFrame:
     first = keys.groupBy("digest").agg(F.min("page_id").alias("original"), F.max("page_id").alias("last"))
     first = first.where("original < last").select("digest", "original")
     revisits = materialise(
-        keys.join(first, "digest").where("page_id <> original").select("page_id", "digest", "original").distinct(),
+        keys.join(first, "digest").where("page_id <> original").select("page_id", F.xxhash64("digest").alias("h"), "original").distinct(),
         "warc-revisits",
     )
     small = revisits.count() <= MOST_BROADCAST
-    return read.join(F.broadcast(revisits) if small else revisits, ["page_id", "digest"], "left")
+    return read.withColumn("h", F.xxhash64("digest")).join(F.broadcast(revisits) if small else revisits, ["page_id", "h"], "left").drop("h")
 
 
 def write_archives(pages: DataFrame, folder: str, least_revisit: int = 100) -> DataFrame:
@@ -119,7 +121,7 @@ def _record(row: dict) -> bytes:
 
 
 CANDIDATE = (
-    "path string, block long, offset long, next long, exit long, page_id long, "
+    "file long, block long, offset long, next long, exit long, page_id long, "
     "record_type string, refers_to long, url string, payload_bytes long, payload_digest string"
 )
 
@@ -178,10 +180,16 @@ def _parse(file, offset: int, size: int) -> dict | None:
 
 
 def candidates(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Every place where a record may begin, with its successor and where its chain leaves the block."""
+    """Every place where a record may begin, with its successor and where its chain leaves the block.
+
+    A file is named by the hash of its path. One task reads few blocks, however
+    few rows describe them.
+    """
+    blocks = F.expr(f"(bytes - 1) div {block}L")
     ranges = manifest.where("bytes > 0").select(
-        "path", "bytes", F.explode(F.expr(f"sequence(0L, (bytes - 1) div {block}L)")).alias("block")
+        "path", F.xxhash64("path").alias("file"), "bytes", F.explode(F.sequence(F.lit(0).cast("long"), blocks)).alias("block")
     )
+    many = manifest.agg(F.coalesce(F.sum(blocks + 1), F.lit(0))).first()[0]
 
     def look(batches):
         import pyarrow as pa
@@ -205,11 +213,11 @@ def candidates(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
                     after = record["next"]
                     record["exit"] = leaves[record["offset"]] = after if after >= stop else leaves.get(after, -1)
                 for record in found:
-                    record |= {"path": row["path"], "block": row["block"]}
+                    record |= {"file": row["file"], "block": row["block"]}
                 if found:
                     yield pa.RecordBatch.from_pylist(found, _candidate_schema())
 
-    return ranges.repartition("path", "block").mapInArrow(look, CANDIDATE)
+    return ranges.repartition(max(1, min(many, MOST_TASKS)), "file", "block").mapInArrow(look, CANDIDATE)
 
 
 def _candidate_schema():
@@ -220,15 +228,17 @@ def _candidate_schema():
 
 
 def entries(found: DataFrame, manifest: DataFrame, block: int = BLOCK) -> DataFrame:
-    """By pointer jumping from the start of each file, where its chain enters blocks: (path, offset)."""
+    """By pointer jumping from the start of each file, where its chain enters blocks: (file, offset)."""
     most = manifest.agg(F.max("bytes")).first()[0] or 0
-    reached = manifest.where("bytes > 0").select("path", F.lit(0).cast("long").alias("offset"))
-    jump = found.where("exit >= 0").select("path", "offset", "exit")
+    start = F.lit(0).cast("long").alias("offset")
+    reached = manifest.where("bytes > 0").select(F.xxhash64("path").alias("file"), start)
+    jump = found.where("exit >= 0").select("file", "offset", "exit")
     for _ in range((most // block + 1).bit_length()):
-        further = reached.join(jump, ["path", "offset"]).select("path", F.col("exit").alias("offset"))
+        further = reached.join(jump, ["file", "offset"]).select("file", F.col("exit").alias("offset"))
         reached = materialise(reached.unionAll(further).distinct(), "warc-reached")
-        ahead = jump.select("path", F.col("offset").alias("exit"), F.col("exit").alias("beyond"))
-        jump = materialise(jump.join(ahead, ["path", "exit"]).select("path", "offset", F.col("beyond").alias("exit")), "warc-jumps")
+        ahead = jump.select("file", F.col("offset").alias("exit"), F.col("exit").alias("beyond"))
+        beyond = jump.join(ahead, ["file", "exit"]).select("file", "offset", F.col("beyond").alias("exit"))
+        jump = materialise(beyond, "warc-jumps")
     return reached
 
 
@@ -236,7 +246,7 @@ def read_archives(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
     """The records that the chains from the file starts reach, in the columns of CANDIDATE."""
     found = materialise(candidates(manifest, block), "warc-candidates")
     entered = entries(found, manifest, block).withColumn("entered", F.lit(True))
-    marked = found.join(entered, ["path", "offset"], "left")
+    marked = found.join(entered, ["file", "offset"], "left")
 
     def follow(group):
         """A block's records from its entry on; its size bounds the group."""
@@ -245,10 +255,11 @@ def read_archives(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
         while at in after:
             keep.add(at)
             at = after[at]
-        return group[group["offset"].isin(keep)][["path", "offset"]]
+        return group[group["offset"].isin(keep)][["file", "offset"]]
 
-    real = marked.select("path", "block", "offset", "next", "entered").groupBy("path", "block").applyInPandas(follow, "path string, offset long")
-    return found.join(real, ["path", "offset"])
+    narrow = marked.select("file", "block", "offset", "next", "entered")
+    real = narrow.groupBy("file", "block").applyInPandas(follow, "file long, offset long")
+    return found.join(real, ["file", "offset"])
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, least_revisit: int = 100) -> DataFrame:
