@@ -13,6 +13,7 @@ documents; an empty table gives no rows; columns that are not read do not matter
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,8 @@ from lumenframe.llm.common import if_small, materialise
 MOST_PATTERNS = 100_000
 #: Documents in a bucket of the seeded order, about.
 BUCKET = 20_000
-#: Passes that swap one document of a source in or out to come nearer its target.
-CLOSING_PASSES = 3
+#: Passes that move one document of a pattern in or out to come nearer its quota; then one exchange among so many of each side.
+CLOSING_PASSES, SWAPPED = 3, 32
 
 
 def word_count(text: Column) -> Column:
@@ -119,8 +120,8 @@ def _nearest(parts: DataFrame, key: list[str], goal: str) -> DataFrame:
     ``parts``: key, doc_id, size, spin, goal. Rows follow the seeded order in
     buckets of spin, so a source with any number of rows is summed in parallel:
     totals of buckets are few, and running sums stay within a bucket. Rows that
-    end within the goal are chosen; then single rows that bring a source nearest
-    are moved in or out.
+    end within the goal are chosen; then single rows, and at last a pair, that
+    bring a key nearest are moved in or out.
     """
     spark = parts.sparkSession
     n = max(1, -(-parts.count() // BUCKET))
@@ -138,27 +139,46 @@ def _nearest(parts: DataFrame, key: list[str], goal: str) -> DataFrame:
         .drop("run", "bucket")
     )
     for _ in range(CLOSING_PASSES):
-        chosen = materialise(chosen, "mix-chosen")
-        gap = chosen.groupBy(*key).agg((F.first(goal) - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-        move = F.when(F.col("a.chosen"), -F.col("a.size")).otherwise(F.col("a.size"))
-        after = F.abs(F.col("b.gap") - move)
-        best = (
-            chosen.alias("a")
-            .join(F.broadcast(gap).alias("b"), same("a", "b", key))
-            .where(after < F.abs(F.col("b.gap")))
-            .groupBy(*[F.col(f"a.{k}").alias(k) for k in key])
-            .agg(F.min(F.struct(after.alias("after"), F.col("a.spin").alias("spin"), F.col("a.doc_id").alias("doc_id"), F.col("a.row").alias("row"))).alias("best"))
-            .select(*key, F.col("best.row").alias("row"), F.lit(True).alias("moved"))
-        )
-        chosen = (
-            chosen.alias("a")
-            .join(F.broadcast(best).alias("b"), [*same("a", "b", key), F.col("a.row") == F.col("b.row")], "left")
-            .select(
-                *[f"a.{c}" for c in chosen.columns if c != "chosen"],
-                F.when(F.col("b.moved"), ~F.col("a.chosen")).otherwise(F.col("a.chosen")).alias("chosen"),
-            )
-        )
-    return chosen
+        chosen = _flipped(chosen, key, goal, _best_single)
+    return _flipped(chosen, key, goal, _best_swap)
+
+
+def _flipped(chosen: DataFrame, key: list[str], goal: str, find: Callable) -> DataFrame:
+    """``chosen`` after the moves that ``find(rows, gaps, key)`` names, at most two rows of each key."""
+    chosen = materialise(chosen, "mix-chosen")
+    taken = F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))
+    gaps = F.broadcast(chosen.groupBy(*key).agg((F.first(goal) - taken).alias("gap")))
+    moved = F.broadcast(find(chosen, gaps, key).select("row", F.lit(True).alias("moved")))
+    return chosen.join(moved, "row", "left").select(
+        *[c for c in chosen.columns if c != "chosen"],
+        F.when(F.col("moved"), ~F.col("chosen")).otherwise(F.col("chosen")).alias("chosen"),
+    )
+
+
+def _best_single(chosen: DataFrame, gaps: DataFrame, key: list[str]) -> DataFrame:
+    """The row of each key whose move in or out leaves the smallest gap, if that is smaller than now."""
+    move = F.when(F.col("chosen"), -F.col("size")).otherwise(F.col("size"))
+    after = F.abs(F.col("gap") - move).alias("after")
+    better = chosen.join(gaps, key).select(*key, after, "gap", "spin", "doc_id", "row").where(F.col("after") < F.abs("gap"))
+    return better.groupBy(*key).agg(F.min(F.struct("after", "spin", "doc_id", "row")).alias("m")).select("m.row")
+
+
+def _best_swap(chosen: DataFrame, gaps: DataFrame, key: list[str]) -> DataFrame:
+    """The pair of rows of each key, one in and one out, whose exchange leaves the smallest gap.
+
+    Of each key SWAPPED rows that are in and as many that are out take part, by
+    the seeded order, so pairs are bounded whatever the key holds.
+    """
+    order = Window.partitionBy(*key, "chosen").orderBy("spin", "doc_id", "row")
+    few = chosen.where("size > 0").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SWAPPED)
+    names = ["size", "spin", "doc_id", "row"]
+    side = lambda df, x: df.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in names])
+    pairs = side(few.where("not chosen"), "in").join(side(few.where("chosen"), "out"), key).join(gaps, key)
+    after = F.abs(F.col("gap") - (F.col("size_in") - F.col("size_out")))
+    better = pairs.withColumn("after", after).where(F.col("after") < F.abs("gap"))
+    ordered = F.struct("after", *[f"{c}_{x}" for x in ("in", "out") for c in names[1:]])
+    best = better.groupBy(*key).agg(F.min(ordered).alias("m"))
+    return best.select(F.explode(F.array("m.row_in", "m.row_out")).alias("row"))
 
 
 def mix_sources(
