@@ -29,7 +29,7 @@ from lumenframe.llm.common import arrow_batches, labelled_sample, ship
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
 #: Labelled documents of each class that are used for fitting.
-PER_CLASS = 3000
+PER_CLASS = 2000
 #: Lengths of word beginnings that are features, in bytes.
 PREFIXES = (3, 4, 5, 6)
 #: Documents of the sample that must have a feature, standard errors by which its log odds must differ, and features kept.
@@ -118,6 +118,14 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
+def _frequent(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets without most of the features that too few documents have, by counts of hash buckets."""
+    counts, shift = np.zeros(1 << 22, np.int32), np.uint64(64 - 22)
+    for s in sets:
+        np.add.at(counts, (s >> shift).astype(np.int64), 1)
+    return [s[counts[(s >> shift).astype(np.int64)] >= LEAST_DOCUMENTS] for s in sets]
+
+
 def train(
     sets: list[np.ndarray],
     labels: np.ndarray,
@@ -135,6 +143,7 @@ def train(
     versions. Only features whose log odds differ between the classes by ``z``
     standard errors are kept. Full-batch gradient steps with adaptive scaling (Adam).
     """
+    sets = _frequent(sets)
     everything, counts = np.unique(np.concatenate(sets), return_counts=True)
     kept = everything[counts >= LEAST_DOCUMENTS]
     n = len(sets)
