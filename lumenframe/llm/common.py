@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark import cloudpickle
@@ -78,10 +79,24 @@ def labelled_sample(
     )
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if int(spark.conf.get(_BATCH_ROWS)) > rows:
+        spark.conf.set(_BATCH_ROWS, str(rows))
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what runs within."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
 
 
 #: Ids up to this number are broadcast; more go by a shuffle join.

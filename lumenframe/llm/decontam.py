@@ -11,7 +11,8 @@ Items are cut into blocks of bounded size, each with an automaton of its own, so
 memory in a task does not grow with the benchmark.
 
 Defined results: null and empty texts have no words; an item without words is
-ignored; items that repeat an id count once; a document row that repeats gets a
+ignored, and one with a null id too; items that share an id count as one item
+with the windows of all; a document row that repeats gets a
 row each; empty tables give no rows, or no hits; other columns do no harm.
 """
 
@@ -136,7 +137,7 @@ class Detector:
         import pyarrow as pa
 
         self.window, self.scanner = window, WordScanner("alnum")
-        named = sorted(dict(items).items())
+        named = sorted(set(items), key=str)
         words, _, first = self.scanner.scan(*text_buffers(pa.array([t for _, t in named], pa.string())))
         sequences = [(name, words[a:b].tolist()) for (name, _), a, b in zip(named, first[:-1], first[1:], strict=True) if b > a]
         self.shortest = min([window, *(len(w) for _, w in sequences)])

@@ -22,8 +22,9 @@ from pyspark.sql.window import Window
 
 from lumenframe.llm.common import if_small, materialise
 
-#: Most membership patterns that the driver accepts; sources of a mix are few by nature.
-MOST_PATTERNS = 100_000
+#: Most membership patterns that the driver accepts, and most of those that share sources with others, which the flow
+#: network holds; sources of a mix are few by nature.
+MOST_PATTERNS, MOST_SHARED = 100_000, 5_000
 #: Documents in a bucket of the seeded order, about.
 BUCKET = 20_000
 #: Passes that move one document of a pattern in or out to come nearer its quota; then one exchange among so many of each side.
@@ -65,9 +66,24 @@ def route(
 ) -> dict[tuple[tuple, object], int]:
     """Words that flow from each pattern to each of its sources, at least total cost.
 
-    Copy k of a pattern costs k a word, so costs are convex. Successive shortest
-    paths with potentials; ``capacity`` is words of one copy by pattern.
+    ``capacity`` is words of one copy by pattern. A pattern that is all of one
+    source has but one way; the others go through the network.
     """
+    users: dict[object, int] = {}
+    for p in capacity:
+        for s in p:
+            users[s] = users.get(s, 0) + 1
+    alone = {p for p in capacity if len(p) == 1 and users[p[0]] == 1}
+    flow = {(p, p[0]): min(repeats * capacity[p], quota[p[0]]) for p in alone if p[0] in quota}
+    shared = {p: words for p, words in capacity.items() if p not in alone}
+    if len(shared) > MOST_SHARED:
+        raise ValueError(f"more than {MOST_SHARED} membership patterns share sources")
+    rest = {s: words for s, words in quota.items() if (s,) not in alone}
+    return flow | least_cost_flow(shared, rest, repeats)
+
+
+def least_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int) -> dict[tuple[tuple, object], int]:
+    """Successive shortest paths with potentials; copy k of a pattern costs k a word, so costs are convex."""
     import heapq
 
     patterns, sources = list(capacity), list(quota)

@@ -29,7 +29,7 @@ def case(seed):
     rng = random.Random(seed)
     pick = lambda n: [f"w{rng.randrange(6 if seed % 2 else 300)}" for _ in range(n)]
     items = [(k, " ".join(pick(rng.choice([1, 2, 5, 12, 13, 14, 30, 60]))) + rng.choice(["", "."])) for k in range(12)]
-    items += [(20, None), (21, ""), (22, "?!"), (23, items[3][1] + " tail"), (24, items[4][1])]
+    items += [(20, None), (21, ""), (22, "?!"), (23, items[3][1] + " tail"), (24, items[4][1]), (7, items[9][1] + " more")]
     texts = [None, "", "--", "Été 12 DIX"]
     for _ in range(60):
         w = pick(rng.randrange(0, 120))

@@ -157,6 +157,27 @@ def test_flow_prefers_first_copies():
     assert sum(max(0, sent[p] - c) for p, c in {("a",): 100, ("a", "b"): 100, ("b",): 10}.items()) == 60
 
 
+def test_flow_costs_least_against_all_flows():
+    import itertools
+
+    capacity, quota = {("a",): 2, ("a", "b"): 1, ("b", "c"): 2, ("d",): 3}, {"a": 4, "b": 2, "c": 1, "d": 4}
+    flow = mixing.route(capacity, quota, 2)
+    assert flow[("d",), "d"] == 4
+    edges = [(p, s) for p in capacity for s in p]
+
+    def cost(f):
+        sent, got = Counter(), Counter()
+        for (p, s), x in f.items():
+            sent[p] += x
+            got[s] += x
+        if any(sent[p] > 2 * c for p, c in capacity.items()) or any(got[s] > q for s, q in quota.items()):
+            return None
+        return -sum(f.values()), sum(max(0, sent[p] - c) for p, c in capacity.items())
+
+    every = (dict(zip(edges, x, strict=True)) for x in itertools.product(*[range(min(2 * capacity[p], quota[s]) + 1) for p, s in edges]))
+    assert cost(flow) == min(c for f in every if (c := cost(f)) is not None)
+
+
 def test_mix_comes_near_targets(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(["x"] * int(n)) for n in rng.integers(0, 90, 400)]
