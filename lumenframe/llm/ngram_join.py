@@ -4,13 +4,14 @@ Two sets whose Jaccard similarity reaches the threshold differ in at most H
 shingles, where H follows from their sizes. Sizes fall into bands; a band hashes
 the universe into H + 1 segments, so similar sets agree on at least one segment,
 and by the pigeonring argument on one after which the next differs in at most one
-shingle. A set is indexed in its band, and as a possible smaller partner in the
+shingle and the next two in at most two. A set is indexed in its band, and as a possible smaller partner in the
 bands just above, by one signature a segment: the segment's subset. Segments that
 hold few shingles agree by chance; there the signature also takes the next
 segment, with its one-deletion neighbourhood. Which segments are extended is
 decided for each band by a cost estimate from counts over all documents.
 
-Signatures only propose pairs. Members of a signature's group are first paired
+Signatures only propose pairs; each carries parity bits of the next two segments,
+which pairs must nearly share. Members of a signature's group are first paired
 with its most central member; later, members that are still in other components
 are paired with the rest. A parity bitmap bounds the difference of two sets from
 below and drops pairs that cannot link, and what is left is verified on the sets.
@@ -32,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import arrow_batches, if_small, materialise
+from lumenframe.llm.common import arrow_batches, batch_rows, if_small, materialise
 from lumenframe.llm.components import connected_components
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
 #: The largest size of a band is at least its smallest size times this.
-BAND_RATIO = 1.2
+BAND_RATIO = 1.35
 #: Longs of a parity bitmap.
 BITMAP = 8
 #: The price of a proposed pair, in signatures; the chance that two segments of one shingle are equal.
@@ -128,8 +129,8 @@ class Shingler:
             if b - a >= n:
                 out.append(np.unique(joined[a : b - n + 1]))
             elif b > a:
-                short = (words[a:b] * self.odd[: b - a]).sum(dtype=np.uint64)
-                out.append(mix(np.array([short + np.uint64(b - a) * self.odd[n]])))
+                parts = words[a:b] * self.odd[: b - a] + self.odd[n : n + 1]
+                out.append(mix(parts.sum(dtype=np.uint64, keepdims=True)))
             else:
                 out.append(words[:0])
         return out
@@ -146,30 +147,52 @@ def parity_bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_bitmap(values: np.ndarray) -> np.ndarray:
+    """A parity bitmap with the least power of two of bits, at least 64, that the set's size doesn't exceed."""
+    width = max(64, 1 << (len(values) - 1).bit_length())
+    bits = np.bincount((values & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def bitmap_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two parity bitmaps differ, the wider one folded to the other's width."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def segment_of(values: np.ndarray, segments: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-def signatures(values: np.ndarray, band: Band) -> np.ndarray:
-    """The signatures of one set in one band."""
-    segment = segment_of(values, band.segments)
+def signatures(values: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set in one band, and with each 16 parity bits of either of the next two segments."""
+    m = band.segments
+    segment = segment_of(values, m)
     order = np.argsort(segment, kind="stable")
     spread = mix(values[order] + np.uint64(0x5851F42D4C957F2D))
-    counts = np.bincount(segment, minlength=band.segments)
+    counts = np.bincount(segment, minlength=m)
     ends = np.cumsum(counts)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
     sums = total[ends] - total[ends - counts]
-    place = mix(np.arange(band.segments, dtype=np.uint64) + np.uint64((band.number + 1) << 32))
+    bits = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(np.uint32(1) << (spread >> np.uint64(40) & np.uint64(15)).astype(np.uint32))])
+    parity = bits[ends] ^ bits[ends - counts]
+    ahead = np.roll(parity, -1) | (np.roll(parity, -2) << np.uint32(16) if m > 2 else np.uint32(0))
+    place = mix(np.arange(m, dtype=np.uint64) + np.uint64((band.number + 1) << 32))
     base = mix(sums + place)
     light = np.flatnonzero(counts <= band.light)
     if not len(light):
-        return base
-    parts = [base[counts > band.light]]
+        return base, ahead
+    heavy = counts > band.light
+    parts, nexts = [base[heavy]], [ahead[heavy]]
     for j in light:
-        k = (j + 1) % band.segments
+        k = (j + 1) % m
         near = np.concatenate([sums[k : k + 1], sums[k] - spread[ends[k] - counts[k] : ends[k]]])
         parts.append(mix(base[j] ^ mix(near)))
-    return np.concatenate(parts)
+        nexts.append(np.full(len(near), ahead[j]))
+    return np.concatenate(parts), np.concatenate(nexts)
 
 
 def _describe(documents: DataFrame, n: int, threshold: Threshold) -> DataFrame:
@@ -209,7 +232,7 @@ def _band(plan: list[Band], size: int) -> Band:
 
 
 def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band]) -> DataFrame:
-    """Rows (sig, k, n): the signatures of every class in its band and in those above that it can reach."""
+    """Rows (sig, k, n, ahead): the signatures of every class in its band and in those above that it can reach."""
     shingler = Shingler(n)
     lows = np.array([b.low for b in plan])
     highs = np.array([b.high for b in plan])
@@ -232,19 +255,18 @@ def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band])
                         found.append(signatures(s, band))
                         keys.append(key[0])
                         sizes.append(len(s))
-            many = [len(f) for f in found]
-            sig = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig.view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))],
-                ["sig", "k", "n"],
-            )
+            if not found:
+                continue
+            many = [len(f) for f, _ in found]
+            sig, ahead = (np.concatenate(x) for x in zip(*found, strict=True))
+            columns = [sig.view(np.int64), np.repeat(np.array(keys, np.int64), many), np.repeat(np.array(sizes, np.int32), many), ahead.view(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "k", "n", "ahead"])
 
-    return documents.select("text").mapInArrow(index, "sig long, k long, n int")
+    return documents.select("text").mapInArrow(index, "sig long, k long, n int, ahead int")
 
 
-def _links(pairs: DataFrame, documents: DataFrame, n: int, threshold: Threshold) -> DataFrame:
-    """The pairs (a, b) of ids whose sets reach the threshold; pairs: ka, na, a, kb, nb, b."""
-    spark = pairs.sparkSession
+def _described_sets(pairs: DataFrame, documents: DataFrame, n: int, describe) -> DataFrame:
+    """Rows (k, n, v) with ``describe`` of the set of each document that the pairs name."""
     shingler = Shingler(n)
     ids = if_small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
 
@@ -253,35 +275,54 @@ def _links(pairs: DataFrame, documents: DataFrame, n: int, threshold: Threshold)
 
         for batch in batches:
             sets = shingler.sets(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["k", "n", "s"],
-            )
-
-    sets = (
-        documents.select("doc_id", "text")
-        .join(ids, "doc_id")
-        .select("text")
-        .mapInArrow(read, "k long, n int, s binary")
-        .dropDuplicates(["k", "n"])
-    )
-    sets = materialise(sets, "join-sets")
-    side = lambda x: sets.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-
-    def verify(batches):
+            columns = [
+                pa.array([set_key(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([describe(s).tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "n", "v"])
+
+    named = documents.select("doc_id", "text").join(ids, "doc_id").select("text")
+    return named.mapInArrow(read, "k long, n int, v binary").dropDuplicates(["k", "n"])
+
+
+def _tested(pairs: DataFrame, documents: DataFrame, n: int, describe, test) -> DataFrame:
+    """The pairs whose descriptions and sizes pass ``test``."""
+    described = materialise(_described_sets(pairs, documents, n, describe), "join-described")
+    names = pairs.columns
+    for x in "ab":
+        side = described.select(F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+        pairs = pairs.join(side, [f"k{x}", f"n{x}"])
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = int(np.isin(x, y, assume_unique=True).sum()) if len(x) else 0
-                keep.append(threshold.den * both >= threshold.num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            values = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("va", "vb")]
+            sizes = [batch.column(c).to_pylist() for c in ("na", "nb")]
+            keep = [test(*row) for row in zip(*values, *sizes, strict=True)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    arrow_batches(spark, 100)
-    joined = pairs.join(side("a"), ["ka", "na"]).join(side("b"), ["kb", "nb"]).select("a", "b", "sa", "sb")
-    return materialise(joined.mapInArrow(verify, T.StructType([T.StructField(c, pairs.schema["a"].dataType) for c in "ab"])), "join-links")
+    kind = T.StructType([pairs.schema[c] for c in names])
+    with batch_rows(pairs.sparkSession, 100):  # two sets a row
+        return materialise(pairs.select(*names, "va", "vb").mapInArrow(run, kind), "join-tested")
+
+
+def _links(pairs: DataFrame, documents: DataFrame, n: int, threshold: Threshold) -> DataFrame:
+    """The pairs (a, b) of ids whose sets reach the threshold; pairs: ka, na, a, kb, nb, b.
+
+    First by bitmaps as wide as the sets, a 64th of their bytes; few pairs need the sets themselves.
+    """
+
+    def near(x, y, a, b):
+        return bitmap_distance(x, y) <= threshold.difference(a, b)
+
+    def linked(x, y, a, b):
+        both = int(np.isin(x, y, assume_unique=True).sum())
+        return threshold.den * both >= threshold.num * (a + b - both)
+
+    likely = _tested(pairs, documents, n, wide_bitmap, near)
+    return _tested(likely, documents, n, lambda s: s, linked).select("a", "b")
 
 
 def _possible(threshold: Threshold, l: str, r: str):  # noqa: E741
@@ -294,6 +335,12 @@ def _possible(threshold: Threshold, l: str, r: str):  # noqa: E741
     return (threshold.den * F.least(x, y) >= threshold.num * F.greatest(x, y)) & (apart <= most)
 
 
+def _follows(x: str, y: str):
+    """Whether the segments after an equal one can differ by at most one, and by two in the next two."""
+    apart = F.col(x).bitwiseXOR(F.col(y))
+    return (F.bit_count(apart.bitwiseAND(F.lit(0xFFFF))) <= 1) & (F.bit_count(apart) <= 2)
+
+
 def _pair(l: str, r: str) -> list:  # noqa: E741
     """The columns of a pair, the lesser id first."""
     swap = F.col(f"{l}.id") > F.col(f"{r}.id")
@@ -320,29 +367,37 @@ def similar_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int
         known.groupBy("k", "n").agg(F.min("doc_id").alias("id"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)]),
         "join-classes",
     )
-    # One shuffle of signatures serves both the count of their groups and the way back to their members.
+    # One shuffle of signatures serves both the count of their groups and the way back to their members;
+    # both read all columns, else they would not be one exchange.
     index = _index(documents, n, threshold, plan).repartition("sig")
     groups = (
         index.groupBy("sig")
-        .agg(F.min(F.struct("k", "n")).alias("low"), F.max(F.struct("k", "n")).alias("high"), F.count("*").alias("members"))
+        .agg(
+            F.min(F.struct("k", "n", "ahead")).alias("low"),
+            F.max(F.struct("k", "n", "ahead")).alias("high"),
+            F.count("*").alias("members"),
+        )
         .where("low <> high")
         .select("sig", "members")
     )
     shared = materialise(index.join(groups, "sig"), "join-groups")
     weights = shared.groupBy("k", "n").agg(F.sum("members").alias("weight"))
     nodes = materialise(classes.join(weights, ["k", "n"]), "join-nodes")
-    members = materialise(shared.select("sig", "k", "n").distinct().join(nodes.select("k", "n", "id", "weight"), ["k", "n"]), "join-members")
+    members = materialise(shared.select("sig", "k", "n", "ahead").distinct().join(nodes.select("k", "n", "id", "weight"), ["k", "n"]), "join-members")
     with_bits = lambda df, name: df.join(nodes.drop("weight"), "id").alias(name)
 
-    centre = members.groupBy("sig").agg(F.max(F.struct("weight", "id")).alias("c")).select("sig", F.col("c.id").alias("centre"))
-    star = members.join(centre, "sig").where("id <> centre").select("id", "centre").distinct()
+    centre = members.groupBy("sig").agg(F.max(F.struct("weight", "id", "ahead")).alias("c")).select(
+        "sig", F.col("c.id").alias("centre"), F.col("c.ahead").alias("centre_ahead")
+    )
+    star = members.join(centre, "sig").where(F.col("id") != F.col("centre")).where(_follows("ahead", "centre_ahead"))
+    star = star.select("id", "centre").distinct()
     star = with_bits(star, "l").join(nodes.alias("r"), F.col("l.centre") == F.col("r.id")).where(_possible(threshold, "l", "r"))
     star = materialise(star.select(*_pair("l", "r")).distinct(), "join-stars")
     links = _links(star, documents, n, threshold)
 
     # Members that the centres left in other components meet all members of their groups.
     placed = members.join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left").select(
-        "sig", "id", F.coalesce("component", "id").alias("component")
+        "sig", "id", "ahead", F.coalesce("component", "id").alias("component")
     )
     main = placed.groupBy("sig", "component").agg(F.count("*").alias("many"))
     main = main.groupBy("sig").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
@@ -357,6 +412,7 @@ def similar_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int
             (F.col("l.sig") == F.col("r.sig"))
             & (F.col("l.component") != F.col("r.component"))
             & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
+            & _follows("l.ahead", "r.ahead")
             & _possible(threshold, "l", "r"),
         )
         .select(*_pair("l", "r"))

@@ -15,7 +15,7 @@ import numpy as np
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes that are scanned at a time; a longer text is cut between words.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def _byte_codes() -> np.ndarray:
