@@ -52,6 +52,12 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def spin(key: Column, seed: int = 0) -> Column:
+    """A number from 0 up to 1 that a hash of the key gives."""
+    bits = F.xxhash64(F.lit(seed), key).bitwiseAND(F.lit((1 << 52) - 1))
+    return bits / F.lit(float(1 << 52))
+
+
 def labelled_sample(
     documents: DataFrame,
     labels: DataFrame,
@@ -72,8 +78,16 @@ def labelled_sample(
         .groupBy("doc_id")
         .agg(F.max(F.col(label).cast("int")).alias("label"))
     )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [known.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
+    known = known.withColumn("spin", spin(F.col("doc_id")))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    picked = [
+        # the threshold leaves about four times as many ids to be ordered, whatever the class holds
+        known.where((F.col("label") == k) & (F.col("spin") * counts.get(k, 0) < 4 * per_class))
+        .orderBy("spin", "doc_id")
+        .limit(per_class)
+        .select("doc_id", "label")
+        for k in (0, 1)
+    ]
     return documents.select("doc_id", "text").join(
         F.broadcast(picked[0].unionAll(picked[1])), "doc_id"
     )

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lumenframe.llm.common import arrow_batches, fold, ship
+from lumenframe.llm.common import arrow_batches, fold, ship, spin
 from lumenframe.llm.textscan import text_buffers
 
 #: Bytes of a window, symbols, width of an embedding, filters of each width, and the widths.
@@ -162,9 +162,11 @@ def _sampled_windows(documents: DataFrame, modulus: int, held_out: int) -> DataF
     known = documents.where("lang is not null and text is not null and doc_id is not null").where(
         fold(F.col("doc_id"), modulus) != held_out
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # the rank limit is applied before the shuffle as well as after it
-    ids = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id", "lang")
+    # A hash threshold from each language's count leaves a few thousand ids of any language before they are ranked.
+    counts = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("many")))
+    few = known.select("doc_id", "lang", spin(F.col("doc_id")).alias("spin")).join(counts, "lang").where(F.col("spin") * F.col("many") < 4 * PER_LANGUAGE)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("spin", "doc_id"))
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id", "lang")
     picked = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def pick(batches):

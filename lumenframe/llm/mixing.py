@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenframe.llm.common import if_small, materialise
+from lumenframe.llm.common import if_small, materialise, spin
 
 #: Most membership patterns that the driver accepts, and most of those that share sources with others, which the flow
 #: network holds; sources of a mix are few by nature.
@@ -215,7 +215,7 @@ def mix_sources(
     narrow = materialise(
         documents.select("doc_id", F.coalesce(F.array_sort(F.array_distinct(membership)), F.array().cast("array<string>")).alias("pattern"), word_count(F.col("text")).alias("size"))
         .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("spin", (F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))),
+        .withColumn("spin", spin(F.col("doc_id"), seed)),
         "mix-sizes",
     )
     table = narrow.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
