@@ -13,6 +13,7 @@ empty table gives files without rows; only doc_id and text are read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(32 << 20),
     "orc.compress": "SNAPPY",
 }
-#: Pieces between white space that a worker remembers with their ids.
-REMEMBERED = 600_000
+#: Pieces between white space that a task remembers with their ids, and those that a worker keeps for its next task.
+REMEMBERED, KEPT = 600_000, 400_000
 #: Bytes of text that are encoded at a time, and new pieces that are.
 SLICE, LEARNED = 1 << 20, 300
 
@@ -77,6 +78,14 @@ class PieceEncoder:
         self.sizes = np.zeros(1 << 14, np.int64)
         self.used = self.known = 0
 
+    def keep(self, most: int) -> None:
+        """Forget all but the first ``most`` pieces; what is frequent comes up early."""
+        if len(self.index) > most:
+            first = itertools.islice(self.index.items(), most)
+            self.index = Numbering()
+            self.index.update(first)
+            self.known, self.used = most, int(self.starts[most - 1] + self.sizes[most - 1])
+
     def _learn(self, pieces: list[bytes]) -> None:
         """Encode new pieces, many in one text; a token belongs to the piece where its characters begin."""
         texts = [p.decode("utf-8", "replace") for p in pieces]
@@ -118,7 +127,7 @@ class PieceEncoder:
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by ``end_id``, and the number of ids of each text."""
         if len(self.index) > REMEMBERED:
-            self._forget()
+            self.keep(KEPT)
         pieces, counts = self._pieces(texts)
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         for a in range(0, len(self.index.new), LEARNED):
@@ -189,6 +198,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int) ->
                     ],
                     ["doc_id", "text_hash", "n_tokens", "ids"],
                 )
+        encoder.keep(KEPT)
 
     return documents.select("doc_id", "text_hash", "text").mapInArrow(encode, schema)
 
@@ -231,8 +241,11 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     )
 
     def digest(batches):
+        import sys
+
         import pyarrow as pa
 
+        sys.modules.pop("_lumenframe_worker", None)  # what this worker kept for encoding
         for batch in batches:
             ids = batch.column("ids")
             at = ids.offsets.to_numpy()
