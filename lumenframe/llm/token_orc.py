@@ -40,9 +40,18 @@ REMEMBERED, KEPT = 600_000, 400_000
 SLICE, LEARNED = 1 << 20, 300
 
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_LETTER, _MARK, _SPACE = (np.isin(np.arange(256), list(c)) for c in (b"abcdefghijklmnopqrstuvwxyz", b",.;:!?", b"\t\n\x0b\x0c\r "))
+_CAPITAL = (np.arange(256) >= 65) & (np.arange(256) < 91)
+_SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
+#: Kinds of ASCII characters: 1 letters, 2 digits, 3 marks; 0 for spaces, controls and all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[97:123] = _KIND[65:91] = 1
+#: Where one kind follows another a token ends; not from a mark to a letter, which may be a contraction.
+_ENDS = np.zeros((4, 4), bool)
+for _pair in ((1, 2), (1, 3), (2, 1), (2, 3), (3, 2)):
+    _ENDS[_pair] = True
+_ENDS = _ENDS.ravel()
 
 
 class Numbering(dict):
@@ -60,9 +69,9 @@ class Numbering(dict):
 class PieceEncoder:
     """Encodes texts by their pieces between ASCII white space, each encoded once.
 
-    Right for tokenizers that fold case, split at white space, which they drop,
-    and between letters and marks; then the ids of a text are the ids of its
-    pieces in order.
+    Right for tokenizers that fold case, drop white space, take digits one by one
+    and split between letters and marks, but for contractions; then the ids of a
+    text are the ids of its pieces in order.
     """
 
     def __init__(self, path: str):
@@ -108,15 +117,17 @@ class PieceEncoder:
     def _pieces(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """The pieces of all texts, and how many each text has.
 
-        Case is folded and a mark after a letter cut off first, as the tokenizer
-        would, so fewer pieces are new; not where a special token may stand.
+        Case is folded and letters, digits and marks are parted first, as the
+        tokenizer would, so fewer pieces are new; not where a special token may stand.
         """
         sizes = [len(t) + 1 for t in texts]
         data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         ends = np.cumsum(sizes)
         if not any(b"<|" in t for t in texts):
-            data = _FOLD[data]
-            cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+            # not before a character beyond ASCII: a combining mark may join a small letter but not its capital
+            data = data + (_CAPITAL[data] & (np.append(data[1:], 0) < 128)).astype(np.uint8) * np.uint8(32)
+            kind = _KIND[data]
+            cut = np.flatnonzero(_ENDS[kind[:-1] * 4 + kind[1:]]) + 1
             data = np.insert(data, cut, 32)
             ends = ends + np.searchsorted(cut, ends)
         space = _SPACE[data]

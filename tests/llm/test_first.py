@@ -204,6 +204,21 @@ def test_mix_of_overlapping_sources(spark):
     assert abs(got[0] - 1.5 * 8000) < 600  # sources overlap, so sizes count twice in shares and are bounded by copies
 
 
+def test_pieces_equal_whole_texts_for_random_characters():
+    import random
+
+    encoder, rng = token_orc.PieceEncoder(tokenizer_path()), random.Random(5)
+    alphabet = "aAbBsStTdDlLmMvVeErR\'\'\'\"-_.,;:!?#$%&*()[]{}|<>/\\@^`~+= 0123456789\n\té\u0301\u0308ßÑİΣς１\u2028\u00a0\x1c\x85漢字🙂²½ⅧＡ"
+    for k in range(3000):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 8 if k % 2 else 60))) for _ in range(3)]
+        ids, sizes = encoder.encode([t.encode() for t in texts], 2)
+        want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert list(ids) == [i for w in want for i in w], texts
+        assert list(sizes) == [len(w) for w in want]
+        if k % 500 == 499:
+            encoder.keep(300)
+
+
 def test_token_files_equal_whole_text_encoding(spark, tmp_path):
     from tokenizers import Tokenizer
 
