@@ -25,14 +25,14 @@ from pyspark.sql.window import Window
 
 from lumenframe.llm.common import arrow_batches, materialise, new_path
 
-#: Settings of the ORC files.
+#: Settings of the ORC files; run-length encoding packs the ids, and further compression gains little.
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20),
-    "orc.compress": "SNAPPY",
+    "orc.compress": "NONE",
 }
 #: Pieces between white space that a task remembers with their ids, and those that a worker keeps for its next task.
 REMEMBERED, KEPT = 600_000, 400_000
@@ -40,18 +40,34 @@ REMEMBERED, KEPT = 600_000, 400_000
 SLICE, LEARNED = 1 << 20, 300
 
 
-_CAPITAL = (np.arange(256) >= 65) & (np.arange(256) < 91)
-_SPACE = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
-#: Kinds of ASCII characters: 1 letters, 2 digits, 3 marks; 0 for spaces, controls and all else.
-_KIND = np.zeros(256, np.uint8)
-_KIND[33:127] = 3
-_KIND[48:58] = 2
-_KIND[97:123] = _KIND[65:91] = 1
-#: Where one kind follows another a token ends; not from a mark to a letter, which may be a contraction.
-_ENDS = np.zeros((4, 4), bool)
-for _pair in ((1, 2), (1, 3), (2, 1), (2, 3), (3, 2)):
-    _ENDS[_pair] = True
-_ENDS = _ENDS.ravel()
+
+
+def _between(data: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Where bytes lie in a range; for unsigned bytes one subtraction and one comparison."""
+    return (data - np.uint8(low)) <= np.uint8(high - low)
+
+
+def _parted(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' bytes with case folded, and the places before which a token begins within a piece.
+
+    Letters, digits and marks are parted from each other; not a letter from a
+    mark before it, since the two may be a contraction.
+    """
+    # A combining mark may join a small letter but not its capital, so capitals before non-ASCII bytes stay.
+    data = data.copy()
+    data[:-1] |= (_between(data[:-1], 65, 90) & (data[1:] < 128)).astype(np.uint8) << np.uint8(5)
+    letter = _between(data | np.uint8(32), 97, 122)
+    digit = _between(data, 48, 57)
+    mark = _between(data, 33, 126) & ~letter & ~digit
+    # The last byte of U+00C0 to U+024F: letters but for two signs, and small ones of one character but for U+0130.
+    first, last = data[:-1], data[1:]
+    latin = _between(first, 0xC3, 0xC9) & ~((first == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+    latin &= ~((first == 0xC4) & (last == 0xB0))
+    tail = letter.copy()
+    tail[1:] |= latin
+    other = digit | mark
+    cut = (tail[:-1] & other[1:]) | (digit[:-1] & (letter | mark)[1:]) | (mark[:-1] & digit[1:])
+    return data, np.flatnonzero(cut) + 1
 
 
 class Numbering(dict):
@@ -124,13 +140,10 @@ class PieceEncoder:
         data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         ends = np.cumsum(sizes)
         if not any(b"<|" in t for t in texts):
-            # not before a character beyond ASCII: a combining mark may join a small letter but not its capital
-            data = data + (_CAPITAL[data] & (np.append(data[1:], 0) < 128)).astype(np.uint8) * np.uint8(32)
-            kind = _KIND[data]
-            cut = np.flatnonzero(_ENDS[kind[:-1] * 4 + kind[1:]]) + 1
+            data, cut = _parted(data)
             data = np.insert(data, cut, 32)
             ends = ends + np.searchsorted(cut, ends)
-        space = _SPACE[data]
+        space = _between(data, 9, 13) | (data == 32)
         begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         before = np.searchsorted(begins, ends) + (len(data) > 0 and not space[0])
         return data.tobytes().split(), np.diff(before, prepend=0)

@@ -208,7 +208,7 @@ def test_pieces_equal_whole_texts_for_random_characters():
     import random
 
     encoder, rng = token_orc.PieceEncoder(tokenizer_path()), random.Random(5)
-    alphabet = "aAbBsStTdDlLmMvVeErR\'\'\'\"-_.,;:!?#$%&*()[]{}|<>/\\@^`~+= 0123456789\n\té\u0301\u0308ßÑİΣς１\u2028\u00a0\x1c\x85漢字🙂²½ⅧＡ"
+    alphabet = "×÷éÀçėźĳƻǀɏɐaAbBsStTdDlLmMvVeErR\'\'\'\"-_.,;:!?#$%&*()[]{}|<>/\\@^`~+= 0123456789\n\té\u0301\u0308ßÑİΣς１\u2028\u00a0\x1c\x85漢字🙂²½ⅧＡ"
     for k in range(3000):
         texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 8 if k % 2 else 60))) for _ in range(3)]
         ids, sizes = encoder.encode([t.encode() for t in texts], 2)
