@@ -65,12 +65,13 @@ def labelled_sample(
     modulus: int,
     held_out: int,
     per_class: int,
-) -> DataFrame:
-    """At most ``per_class`` labelled documents of each class outside the held-out fold.
+) -> tuple[DataFrame, dict[int, int]]:
+    """At most ``per_class`` labelled documents of each class outside the held-out fold, and each class's ids there.
 
     The choice follows a hash of the id, so reruns agree. Ids with several label
     rows take the larger label. Columns: doc_id, text, label. The id list that is
-    broadcast has at most twice ``per_class`` rows.
+    broadcast has at most twice ``per_class`` rows. No label of the held-out fold
+    is used, for the counts either; these include ids that have no document.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -79,6 +80,7 @@ def labelled_sample(
         .agg(F.max(F.col(label).cast("int")).alias("label"))
     )
     known = known.withColumn("spin", spin(F.col("doc_id")))
+    known = known.where(F.col("label").isin(0, 1))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = [
         # the threshold leaves about four times as many ids to be ordered, whatever the class holds
@@ -88,9 +90,10 @@ def labelled_sample(
         .select("doc_id", "label")
         for k in (0, 1)
     ]
-    return documents.select("doc_id", "text").join(
+    sample = documents.select("doc_id", "text").join(
         F.broadcast(picked[0].unionAll(picked[1])), "doc_id"
     )
+    return sample, counts
 
 
 _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

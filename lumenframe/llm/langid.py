@@ -157,11 +157,15 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     return Network(languages, p["e"], [p[f"f{w}"] for w in WIDTHS], [p[f"b{w}"] for w in WIDTHS], p["w"], p["o"])
 
 
+def _learnable(documents: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    """Documents with a language and a text outside the held-out fold."""
+    known = documents.where("lang is not null and text is not null and doc_id is not null")
+    return known.where(fold(F.col("doc_id"), modulus) != held_out)
+
+
 def _sampled_windows(documents: DataFrame, modulus: int, held_out: int) -> DataFrame:
     """Rows (lang, doc_id, place, window): windows at places that a hash of the id sets."""
-    known = documents.where("lang is not null and text is not null and doc_id is not null").where(
-        fold(F.col("doc_id"), modulus) != held_out
-    )
+    known = _learnable(documents, modulus, held_out)
     # A hash threshold from each language's count leaves a few thousand ids of any language before they are ranked.
     counts = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("many")))
     few = known.select("doc_id", "lang", spin(F.col("doc_id")).alias("spin")).join(counts, "lang").where(F.col("spin") * F.col("many") < 4 * PER_LANGUAGE)
@@ -190,7 +194,7 @@ def _sampled_windows(documents: DataFrame, modulus: int, held_out: int) -> DataF
 def language_model(documents: DataFrame, modulus: int = 4, held_out: int = 2) -> Network | None:
     """The network for the languages of documents outside the held-out fold; None if there are none."""
     arrow_batches(documents.sparkSession, 500)
-    many = documents.where("lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    many = _learnable(documents, modulus, held_out).select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if many > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = sorted(set(map(tuple, _sampled_windows(documents, modulus, held_out).collect())))

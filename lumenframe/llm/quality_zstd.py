@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm.common import arrow_batches, labelled_sample, ship
@@ -118,7 +117,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit_quality(rows: list[tuple[int, str | None, int]], shares: dict[int, int]) -> QualityModel:
-    """Fit on (id, text, label); ``shares`` are the labels' counts before sampling, for the prior.
+    """Fit on (id, text, label); ``shares`` are the labels' counts outside the held-out fold before sampling, for the prior.
 
     Every other document builds the dictionaries, the rest calibrate.
     """
@@ -138,9 +137,8 @@ def fit_quality(rows: list[tuple[int, str | None, int]], shares: dict[int, int])
 
 def quality_model(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> QualityModel:
     """The model of ``labels.quality`` from documents outside the held-out fold."""
-    sample = labelled_sample(documents, labels, "quality", modulus, held_out, per_class).dropDuplicates(["doc_id"]).collect()
-    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("quality").cast("int").alias("q")).count()
-    return fit_quality([tuple(r) for r in sample], {r.q: r["count"] for r in known.collect() if r.q in (0, 1)})
+    sample, shares = labelled_sample(documents, labels, "quality", modulus, held_out, per_class)
+    return fit_quality([tuple(r) for r in sample.dropDuplicates(["doc_id"]).collect()], shares)
 
 
 def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:

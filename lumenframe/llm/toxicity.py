@@ -217,15 +217,16 @@ def toxicity_model(
                 rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("swapped", pa.int32()), ("features", pa.binary())])
             )
 
-    sample = labelled_sample(documents, labels, "toxic", modulus, held_out, per_class).dropDuplicates(["doc_id"])
-    rows = sample.select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(describe, "doc_id long, label int, swapped int, features binary").collect()
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("toxic").cast("int").alias("y")).count()
-    shares = {r.y: r["count"] for r in known.collect()}
+    sample, shares = labelled_sample(documents, labels, "toxic", modulus, held_out, per_class)
+    rows = sample.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(describe, "doc_id long, label int, swapped int, features binary").collect()
     return fit_toxicity([(r.doc_id, r.label, r.swapped, np.frombuffer(r.features, np.uint64)) for r in rows], shares)
 
 
 def fit_toxicity(rows: list[tuple[int, int, int, np.ndarray]], shares: dict[int, int], penalty: float = PENALTY) -> ToxicityModel:
-    """Fit on (id, label, version, features), version 0 being the text itself."""
+    """Fit on (id, label, version, features), version 0 being the text itself.
+
+    ``shares`` are the labels' counts outside the held-out fold before sampling.
+    """
     rows = sorted(rows, key=lambda r: (r[0], r[2]))
     own = [r for r in rows if r[2] == 0]
     labels = np.array([r[1] for r in own], float)

@@ -1,5 +1,6 @@
 """Toxicity, quality and language models: held-out accuracy on made-up texts, and edge cases."""
 
+import pickle
 import random
 
 import numpy as np
@@ -158,3 +159,15 @@ def test_every_byte_of_a_text_counts():
     names, scores = langid.identify(pa.array([long, "Δ", "٣"]), network)
     assert names[0] == "z" and 0.6 < scores[0] < 0.9
     assert names[1] != "und" and names[2] == "und"
+
+
+def test_labels_of_the_held_out_fold_change_nothing(corpus):
+    docs, labels = corpus
+    for label, modulus, held_out, fit in (("toxic", 3, 1, toxicity.toxicity_model), ("quality", 5, 0, quality_zstd.quality_model)):
+        inside = fold(F.col("doc_id"), modulus) == held_out
+        other = labels.withColumn(label, F.when(inside, 1 - F.col(label)).otherwise(F.col(label)))
+        dumps = [pickle.dumps(fit(docs, x, modulus, held_out)) for x in (labels, other, labels.where(~inside))]
+        assert dumps[0] == dumps[1] == dumps[2]
+    inside = fold(F.col("doc_id"), 4) == 2
+    other = docs.withColumn("lang", F.when(inside, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("lang")))
+    assert pickle.dumps(langid.language_model(docs, 4, 2)) == pickle.dumps(langid.language_model(other, 4, 2))
