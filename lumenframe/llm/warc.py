@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import MOST_BROADCAST, arrow_batches, materialise, new_path
 
 MAGIC = b"WARC/1.0\r\n"
-#: Bytes that one reading task looks at, and the most that a record's header may have.
-BLOCK, MOST_HEADER = 8 << 20, 1 << 16
+#: Bytes that one reading task looks at, and those that are read first of a record's header.
+BLOCK, HEADER = 8 << 20, 1 << 16
+#: Digits of a length that a record may declare.
+DIGITS = 18
 #: The most reading tasks; beyond it a task reads several blocks.
 MOST_TASKS = 20_000
 #: Bytes of a payload that are hashed at a time.
@@ -126,18 +129,45 @@ CANDIDATE = (
 )
 
 
-def _parse(file, offset: int, size: int) -> dict | None:
+def _until_blank_line(file, most: int, first: int) -> tuple[bytes, bytes, bytes]:
+    """What stands before the next blank line, that line's bytes (none if ``most`` bytes hold none), and what else was read."""
+    data, step = b"", first
+    while len(data) < most:
+        data += file.read(min(step, most - len(data)))
+        if b"\r\n\r\n" in data:
+            break
+        step = len(data)
+    return data.partition(b"\r\n\r\n")
+
+
+def _headers(file, data: bytes, start: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """The offset and header of each magic in a block's bytes.
+
+    No header holds a second magic, so the search for blank lines is linear, and
+    only the last header of a block may have to be read from beyond it.
+    """
+    at = data.find(MAGIC)
+    while at >= 0:
+        after = data.find(MAGIC, at + 1)
+        blank = data.find(b"\r\n\r\n", at, after if after >= 0 else len(data))
+        if blank >= 0:
+            yield start + at, data[at:blank]
+        elif after < 0:
+            file.seek(start + at)
+            head, found, _ = _until_blank_line(file, size - start - at, HEADER)
+            if found:
+                yield start + at, head
+        at = after
+
+
+def _parse(file, offset: int, head: bytes, size: int) -> dict | None:
     """The candidate at ``offset``, or None if no record of the file can stand there."""
-    file.seek(offset)
-    head, found, _ = file.read(min(MOST_HEADER, size - offset)).partition(b"\r\n\r\n")
-    if not found:
-        return None
     fields = {}
     for line in head[len(MAGIC) :].split(b"\r\n"):
         key, _, value = line.partition(b":")
         fields[key.strip().lower()] = value.strip().decode("utf-8", "replace")
     length = fields.get(b"content-length", "")
-    if not (length.isascii() and length.isdigit()):
+    if not (length.isascii() and length.isdigit() and len(length) <= DIGITS):
         return None
     begin = offset + len(head) + 4
     end = begin + int(length)
@@ -148,22 +178,27 @@ def _parse(file, offset: int, size: int) -> dict | None:
         return None
     digest, bytes_, declared = hashlib.sha256(), 0, 0
     file.seek(begin)
-    left, http = end - begin, b""
-    while left and b"\r\n\r\n" not in http:
-        got = file.read(min(left, 4096))
-        left -= len(got)
-        http += got
-    http, _, body = http.partition(b"\r\n\r\n")
+    http, blank, body = _until_blank_line(file, end - begin, 4096)
+    left = end - begin - len(http) - len(blank) - len(body)
     for line in http.split(b"\r\n"):
-        if line.lower().startswith(b"content-length:"):
-            declared = int(line[15:])
+        # a candidate inside a payload may declare anything
+        value = line[15:].strip()
+        if line.lower().startswith(b"content-length:") and value.isdigit() and len(value) <= DIGITS:
+            declared = int(value)
     while body or left:
         digest.update(body)
         bytes_ += len(body)
         body = file.read(min(left, PIECE)) if left else b""
         left -= len(body)
     revisit = fields.get(b"warc-type") == "revisit"
-    number = lambda key: int(x) if (x := fields.get(key, "").removeprefix("<urn:page:").rstrip(">")) else None
+
+    def number(key: bytes) -> int | None:
+        name = fields.get(key, "").removeprefix("<urn:page:").rstrip(">")
+        value = int(name) if name else None
+        if value is not None and not -(1 << 63) <= value < 1 << 63:
+            raise ValueError(name)
+        return value
+
     try:
         return {
             "offset": offset,
@@ -203,11 +238,9 @@ def candidates(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
                 with system.open_input_file(path) as file:
                     file.seek(start)
                     data = file.read(min(size, stop + len(MAGIC) - 1) - start)
-                    at = data.find(MAGIC)
-                    while at >= 0:
-                        if (record := _parse(file, start + at, size)) is not None:
+                    for offset, head in _headers(file, data, start, size):
+                        if (record := _parse(file, offset, head, size)) is not None:
                             found.append(record)
-                        at = data.find(MAGIC, at + 1)
                 leaves: dict[int, int] = {}
                 for record in reversed(found):
                     after = record["next"]

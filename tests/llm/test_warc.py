@@ -16,6 +16,10 @@ def rows():
     out = [(k, f"http://a/{k}", f"page {k} " + "x" * (37 * k % 900)) for k in range(40)]
     out += [(50, None, None), (51, "u\r\nEvil: 1", ""), (53, "u", same), (52, "u", same), (54, "u", same), (54, "u", same), (55, "u", "short"), (56, "u", "short")]
     out += [(60, "u", FAKE * 3), (61, "u", "a" + FAKE), (62, "u", FAKE.replace("0\r\n", "99999\r\n")), (63, "u", FAKE[:30]), (None, "u", same)]
+    # records inside payloads that declare what no reader can hold, and a header longer than a first read
+    odd = FAKE.replace("Content-Length: 0\r\n\r\n", "Content-Length: 32\r\n\r\nContent-Length: 1²\r\n\r\nsome text")
+    out += [(64, "u", odd), (65, "u", FAKE.replace("999", "9" * 30)), (66, "u", FAKE.replace("0\r\n", "9" * 5000 + "\r\n"))]
+    out += [(67, "http://a/" + "long/" * 20_000, "p"), (68, "u", "WARC/1.0\r\n" * 500), (69, "u", FAKE[:90] * 3)]
     return out
 
 
