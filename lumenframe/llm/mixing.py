@@ -13,9 +13,10 @@ documents; an empty table gives no rows; columns that are not read do not matter
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from fractions import Fraction
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,8 +28,6 @@ from lumenframe.llm.common import if_small, materialise, spin
 MOST_PATTERNS, MOST_SHARED = 100_000, 5_000
 #: Documents in a bucket of the seeded order, about.
 BUCKET = 20_000
-#: Passes that move one document of a pattern in or out to come nearer its quota; then one exchange among so many of each side.
-CLOSING_PASSES, SWAPPED = 3, 32
 
 
 def word_count(text: Column) -> Column:
@@ -130,71 +129,131 @@ def least_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int) -> di
             room[e ^ 1] += most
 
 
-def _nearest(parts: DataFrame, key: list[str], goal: str) -> DataFrame:
-    """Choose rows of each key so that their sizes sum near the goal.
+def _within(rows: DataFrame, key: list[str], amount: Column, limit: str) -> DataFrame:
+    """``rows`` with ``chosen``: whether the sum of ``amount`` up to the row, in the seeded order of its key, is within ``limit``.
 
-    ``parts``: key, doc_id, size, spin, goal. Rows follow the seeded order in
-    buckets of spin, so a source with any number of rows is summed in parallel:
-    totals of buckets are few, and running sums stay within a bucket. Rows that
-    end within the goal are chosen; then single rows, and at last a pair, that
-    bring a key nearest are moved in or out.
+    Rows follow the order in buckets of spin, so a key with any number of rows is
+    summed in parallel: totals of buckets are few, and running sums stay within a bucket.
     """
-    spark = parts.sparkSession
-    n = max(1, -(-parts.count() // BUCKET))
-    parts = parts.withColumn("bucket", F.floor(F.col("spin") * n).cast("int"))
-    totals = parts.groupBy(*key, "bucket").agg(F.sum("size").alias("sum"))
+    rows = rows.withColumn("amount", amount)
+    totals = rows.groupBy(*key, "bucket").agg(F.sum("amount").alias("sum"))
     by_bucket = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*key, "bucket", F.coalesce(F.sum("sum").over(by_bucket), F.lit(0)).alias("before"))
     within = Window.partitionBy(*key, "bucket").orderBy("spin", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    same = lambda a, b, names: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
-    chosen = (
-        parts.withColumn("run", F.sum("size").over(within))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*key, "bucket"]]
+    return (
+        rows.withColumn("run", F.sum("amount").over(within))
         .alias("a")
-        .join(before.alias("b"), same("a", "b", [*key, "bucket"]))
-        .select("a.*", (F.col("a.run") + F.col("b.before") <= F.col(f"a.{goal}")).alias("chosen"))
-        .drop("run", "bucket")
+        .join(before.alias("b"), same)
+        .select("a.*", (F.col("a.run") + F.col("b.before") <= F.col(f"a.{limit}")).alias("chosen"))
+        .drop("run", "amount")
     )
-    for _ in range(CLOSING_PASSES):
-        chosen = _flipped(chosen, key, goal, _best_single)
-    return _flipped(chosen, key, goal, _best_swap)
 
 
-def _flipped(chosen: DataFrame, key: list[str], goal: str, find: Callable) -> DataFrame:
-    """``chosen`` after the moves that ``find(rows, gaps, key)`` names, at most two rows of each key."""
-    chosen = materialise(chosen, "mix-chosen")
+def _nearest(parts: DataFrame, key: list[str], goal: str) -> DataFrame:
+    """Choose rows of each key so that their sizes sum near the goal.
+
+    ``parts``: key, doc_id, size, spin, goal, row. Rows whose running sum in the
+    seeded order is within the goal are chosen; then others as long as any fits;
+    then single rows or pairs are moved in or out as long as that brings a key nearer.
+    """
+    n = max(1, -(-parts.count() // BUCKET))
+    parts = parts.withColumn("bucket", F.floor(F.col("spin") * n).cast("int"))
+    chosen = materialise(_within(parts, key, F.col("size"), goal), "mix-chosen")
     taken = F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))
-    gaps = F.broadcast(chosen.groupBy(*key).agg((F.first(goal) - taken).alias("gap")))
-    moved = F.broadcast(find(chosen, gaps, key).select("row", F.lit(True).alias("moved")))
-    return chosen.join(moved, "row", "left").select(
+    gaps = chosen.groupBy(*key).agg((F.first(goal) - taken).alias("gap"))
+    chosen = _flipped(chosen, _fitting(chosen, gaps, key))
+    chosen = materialise(chosen, "mix-filled")
+    gaps = chosen.groupBy(*key).agg((F.first(goal) - taken).alias("gap"))
+    return _flipped(chosen, _closing(chosen, gaps, key)).drop("bucket")
+
+
+def _flipped(chosen: DataFrame, rows: DataFrame) -> DataFrame:
+    """``chosen`` after the named rows are moved in or out."""
+    return chosen.join(rows.select("row", F.lit(True).alias("moved")), "row", "left").select(
         *[c for c in chosen.columns if c != "chosen"],
         F.when(F.col("moved"), ~F.col("chosen")).otherwise(F.col("chosen")).alias("chosen"),
     )
 
 
-def _best_single(chosen: DataFrame, gaps: DataFrame, key: list[str]) -> DataFrame:
-    """The row of each key whose move in or out leaves the smallest gap, if that is smaller than now."""
-    move = F.when(F.col("chosen"), -F.col("size")).otherwise(F.col("size"))
-    after = F.abs(F.col("gap") - move).alias("after")
-    better = chosen.join(gaps, key).select(*key, after, "gap", "spin", "doc_id", "row").where(F.col("after") < F.abs("gap"))
-    return better.groupBy(*key).agg(F.min(F.struct("after", "spin", "doc_id", "row")).alias("m")).select("m.row")
-
-
-def _best_swap(chosen: DataFrame, gaps: DataFrame, key: list[str]) -> DataFrame:
-    """The pair of rows of each key, one in and one out, whose exchange leaves the smallest gap.
+def _fitting(chosen: DataFrame, gaps: DataFrame, key: list[str]) -> DataFrame:
+    """Rows to take beyond ``chosen``, until no row is left that fits what its key lacks.
 
-    Of each key SWAPPED rows that are in and as many that are out take part, by
-    the seeded order, so pairs are bounded whatever the key holds.
+    A round takes rows of at most half of the gap while their running sum is
+    within it, or, if all are larger, the first that fits. So the gap is halved,
+    or only rows of more than half of it are left, of which one fits at most:
+    rounds grow with the logarithm of the gap, not with the rows.
     """
-    order = Window.partitionBy(*key, "chosen").orderBy("spin", "doc_id", "row")
-    few = chosen.where("size > 0").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SWAPPED)
-    names = ["size", "spin", "doc_id", "row"]
-    side = lambda df, x: df.select(*key, *[F.col(c).alias(f"{c}_{x}") for c in names])
-    pairs = side(few.where("not chosen"), "in").join(side(few.where("chosen"), "out"), key).join(gaps, key)
-    after = F.abs(F.col("gap") - (F.col("size_in") - F.col("size_out")))
-    better = pairs.withColumn("after", after).where(F.col("after") < F.abs("gap"))
-    ordered = F.struct("after", *[f"{c}_{x}" for x in ("in", "out") for c in names[1:]])
-    best = better.groupBy(*key).agg(F.min(ordered).alias("m"))
-    return best.select(F.explode(F.array("m.row_in", "m.row_out")).alias("row"))
+    names = [*key, "row", "doc_id", "size", "spin", "bucket"]
+    rows, picked = chosen.where("not chosen and size > 0").select(*names), []
+    while True:
+        rows = rows.join(F.broadcast(gaps), key).where("size <= gap")  # gaps: MOST_PATTERNS rows at most
+        rows = materialise(rows, "mix-left")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionAll, picked) if picked else rows.select("row")
+        half = F.when(F.min("size") * 2 <= F.first("gap"), F.first("gap") / 2).otherwise(F.first("gap"))
+        caps = F.broadcast(rows.groupBy(*key).agg(half.alias("cap")))
+        tried = rows.join(caps, key).where("size <= cap").drop("cap")
+        taken = materialise(_within(tried, key, F.col("size"), "gap").where("chosen").select(*key, "row", "size"), "mix-fitting")
+        picked.append(taken.select("row"))
+        spent = F.broadcast(taken.groupBy(*key).agg(F.sum("size").alias("spent")))  # each key with rows takes one at least
+        gaps = rows.select(*key, "gap").distinct().join(spent, key).select(*key, (F.col("gap") - F.col("spent")).alias("gap"))
+        rows = rows.select(*names).join(taken.select("row"), "row", "left_anti")
+
+
+def _closing(chosen: DataFrame, gaps: DataFrame, key: list[str]) -> DataFrame:
+    """Rows to move in or out so that no single row and no exchange of two brings a key nearer.
+
+    The search sees how many rows of each size are in and out, whatever their
+    number; sizes that differ are few, about the root of twice a key's words at
+    most. Of rows of one size the first in the seeded order are moved.
+    """
+    count = lambda which: F.count(F.when(which, 1))
+    open_keys = F.broadcast(gaps.where("gap <> 0"))
+    sizes = chosen.where("size > 0").join(open_keys, key)
+    sizes = sizes.groupBy(*key, "size", "gap").agg(count(F.col("chosen")).alias("taken"), count(~F.col("chosen")).alias("free"))
+    kinds = chosen.select(*key, F.lit(0).cast("long").alias("size"), F.lit(True).alias("chosen"), F.lit(0).cast("long").alias("n")).schema
+
+    def search(table):
+        import pyarrow as pa
+
+        table = table.sort_by("size")
+        size, taken, free = (table.column(c).to_numpy() for c in ("size", "taken", "free"))
+        change = closing_moves(size, taken, free, table.column("gap")[0].as_py())
+        at = np.flatnonzero(change)
+        columns = [table.column(k).take(pa.array(at)) for k in key]
+        return pa.table([*columns, pa.array(size[at]), pa.array(change[at] < 0), pa.array(abs(change[at]))], kinds.names)
+
+    moves = materialise(sizes.groupBy(*key).applyInArrow(search, kinds), "mix-moves")
+    same = [*key, "size", "chosen"]
+    rows = chosen.select(*same, "row", "doc_id", "spin", "bucket").join(F.broadcast(moves), same)
+    rows = rows.withColumnRenamed("chosen", "side")
+    return _within(rows, [*key, "size", "side"], F.lit(1), "n").where("chosen").select("row")
+
+
+def closing_moves(sizes: np.ndarray, taken: np.ndarray, free: np.ndarray, gap: int) -> np.ndarray:
+    """Change of the number taken of each size, by the best move or exchange as long as one leaves a smaller gap.
+
+    ``sizes`` ascend and are positive; ``taken`` and ``free`` count the documents
+    of each. Of equal results the one that moves fewer documents is used.
+    """
+    now, left = taken.astype(np.int64), free.astype(np.int64)
+    while gap:
+        into, out = np.flatnonzero(left), np.flatnonzero(now)
+        a, b = np.append(0, sizes[into]), np.append(0, sizes[out])
+        place = np.searchsorted(b, a - gap)
+        pairs = np.stack([np.maximum(place - 1, 0), np.minimum(place, len(b) - 1)])
+        after = abs(gap - a + b[pairs])
+        cost = 4 * after + (a > 0) + (pairs > 0)
+        side, i = np.unravel_index(np.argmin(cost), cost.shape)
+        j = pairs[side, i]
+        if after[side, i] >= abs(gap):
+            break
+        gap = int(gap - a[i] + b[j])
+        for k, by in [(k, 1) for k in into[:i][-1:]] + [(k, -1) for k in out[:j][-1:]]:
+            now[k] += by
+            left[k] -= by
+    return now - taken
 
 
 def mix_sources(

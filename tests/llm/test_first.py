@@ -196,6 +196,48 @@ def test_mix_comes_near_targets(spark):
     assert mixing.mix_sources(docs.limit(0), F.array("source")).count() == 0
 
 
+def test_long_document_does_not_displace_the_small_ones(spark):
+    # goals: 9,000 of a, whose first document in the order has 16,000 words, and 21,000 of b
+    first = spark.range(100).orderBy(mixing.spin(F.col("id"), 7)).first().id
+    rows = [(k, "x " * (16000 if k == first else 100), "en", "a", 0, 5) for k in range(101)]
+    rows += [(k, "x " * 200, "en", "b", 0, 5) for k in range(101, 201)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS), F.array("source"), (3, 7), Fraction(15, 23)).collect()
+    by = Counter()
+    for r in got:
+        by[r.source_size, r.target] += r.taken
+    assert by == {(26000, 9000.0): 9000, (20000, 21000.0): 21000}
+
+
+def test_rows_are_taken_until_none_fits(spark):
+    rng = np.random.default_rng(4)
+    rows, goals = [], {0: 5000, 1: 777, 2: 40, 3: 100_000}
+    for p in goals:
+        for k, size in enumerate([*rng.integers(30, 300, 80), *rng.integers(1000, 20_000, 15)]):
+            rows.append((p, k, int(size), float(rng.random()), goals[p], len(rows)))
+    parts = spark.createDataFrame(rows, "p int, doc_id long, size long, spin double, goal long, row long")
+    chosen = mixing._within(parts.withColumn("bucket", F.floor(F.col("spin") * 3).cast("int")), ["p"], F.col("size"), "goal").persist()
+    gaps = chosen.groupBy("p").agg((F.first("goal") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
+    more = {r.row for r in mixing._fitting(chosen, gaps, ["p"]).collect()}
+    state = [(r.p, r.size, r.chosen or r.row in more) for r in chosen.collect()]
+    for p, goal in goals.items():
+        gap = goal - sum(s for q, s, c in state if q == p and c)
+        assert gap >= 0 and all(s > gap for q, s, c in state if q == p and not c)
+
+
+def test_closing_moves_stop_only_when_no_exchange_is_nearer():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        sizes = np.unique(rng.integers(1, 500, 12))
+        taken, free = rng.integers(0, 3, (2, len(sizes)))
+        gap = int(rng.integers(0, 600))
+        change = mixing.closing_moves(sizes, taken, free, gap)
+        now, left = taken + change, free - change
+        assert (now >= 0).all() and (left >= 0).all()
+        after = gap - int((change * sizes).sum())
+        into, out = [0, *sizes[left > 0]], [0, *sizes[now > 0]]
+        assert abs(after) <= min(abs(gap), *(abs(after - a + b) for a in into for b in out))
+
+
 def test_mix_of_overlapping_sources(spark):
     docs = frame(spark, [" ".join(["x"] * 20)] * 300).withColumn(
         "in", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))
