@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from lumenframe.llm.common import if_small, materialise, spin
 
-#: Most membership patterns that the driver accepts, and most of those that share sources with others, which the flow
+#: Most membership patterns that the driver accepts, and most of those that shared sources connect, which one flow
 #: network holds; sources of a mix are few by nature.
 MOST_PATTERNS, MOST_SHARED = 100_000, 5_000
 #: Documents in a bucket of the seeded order, about.
@@ -65,20 +65,34 @@ def route(
 ) -> dict[tuple[tuple, object], int]:
     """Words that flow from each pattern to each of its sources, at least total cost.
 
-    ``capacity`` is words of one copy by pattern. A pattern that is all of one
-    source has but one way; the others go through the network.
+    ``capacity`` is words of one copy by pattern. Patterns that share no source,
+    directly or by others, form networks of their own, so many small ones stay cheap.
     """
-    users: dict[object, int] = {}
+    top: dict[object, object] = {s: s for p in capacity for s in p}
+
+    def find(s: object) -> object:
+        while top[s] != s:
+            top[s] = top[top[s]]
+            s = top[s]
+        return s
+
     for p in capacity:
-        for s in p:
-            users[s] = users.get(s, 0) + 1
-    alone = {p for p in capacity if len(p) == 1 and users[p[0]] == 1}
-    flow = {(p, p[0]): min(repeats * capacity[p], quota[p[0]]) for p in alone if p[0] in quota}
-    shared = {p: words for p, words in capacity.items() if p not in alone}
-    if len(shared) > MOST_SHARED:
-        raise ValueError(f"more than {MOST_SHARED} membership patterns share sources")
-    rest = {s: words for s, words in quota.items() if (s,) not in alone}
-    return flow | least_cost_flow(shared, rest, repeats)
+        for s in p[1:]:
+            top[find(s)] = find(p[0])
+    parts: dict[object, tuple[dict, dict]] = {}
+    for p, words in capacity.items():
+        if p:
+            parts.setdefault(find(p[0]), ({}, {}))[0][p] = words
+    for s in top:
+        if s in quota:
+            parts[find(s)][1][s] = quota[s]
+    most = max((len(patterns) for patterns, _ in parts.values()), default=0)
+    if most > MOST_SHARED:
+        raise ValueError(f"{most} membership patterns are connected by shared sources, more than {MOST_SHARED}")
+    flow: dict[tuple[tuple, object], int] = {}
+    for patterns, quotas in parts.values():
+        flow |= least_cost_flow(patterns, quotas, repeats)
+    return flow
 
 
 def least_cost_flow(capacity: dict[tuple, int], quota: dict, repeats: int) -> dict[tuple[tuple, object], int]:

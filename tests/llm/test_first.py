@@ -178,6 +178,25 @@ def test_flow_costs_least_against_all_flows():
     assert cost(flow) == min(c for f in every if (c := cost(f)) is not None)
 
 
+def test_every_pattern_goes_through_a_network(monkeypatch):
+    seen, solve = [], mixing.least_cost_flow
+    monkeypatch.setattr(mixing, "least_cost_flow", lambda c, q, r: seen.append(set(c)) or solve(c, q, r))
+    monkeypatch.setattr(mixing, "MOST_SHARED", 3)
+    capacity = {("a",): 5, ("b",): 7, ("c", "d"): 4, ("d", "e"): 4, ("f", "g"): 3, (None, "g"): 2, (): 9}
+    quota = {"a": 8, "b": 20, "c": 2, "d": 3, "e": 4, "f": 1, "g": 4, None: 2}
+    flow = mixing.route(capacity, quota, 2)
+    assert sorted(map(len, seen)) == [1, 1, 2, 2] and set().union(*seen) == set(capacity) - {()}
+    assert flow == solve(capacity, quota, 2)
+    with pytest.raises(ValueError):
+        mixing.route({("a", str(k)): 1 for k in range(4)}, {"a": 1}, 2)
+
+
+def test_many_separate_sources_stay_cheap():
+    n = 100_000
+    flow = mixing.route({(str(k),): 10 for k in range(n)}, {str(k): 15 for k in range(n)}, 2)
+    assert len(flow) == n and set(flow.values()) == {15}
+
+
 def test_mix_comes_near_targets(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(["x"] * int(n)) for n in rng.integers(0, 90, 400)]
