@@ -190,14 +190,26 @@ def running_totals(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> None:
-    """Work what a finite stream source holds, in micro-batches, into a memory table."""
-    query = (
-        stream.writeStream.format("memory").queryName(table).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    """Work what a finite stream source holds, in micro-batches, into Parquet beside the checkpoint, viewed as ``table``.
 
-
-def write_each_batch(stream: DataFrame, write, checkpoint: str):
+    Each micro-batch has a folder of its own, so one that is worked again replaces
+    its rows. The view has the rows of all batches, or in complete mode the last's.
+    """
+    spark, rows = stream.sparkSession, f"{checkpoint}-rows"
+    write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{rows}/stream_batch={k}")
+    write_each_batch(stream, write, checkpoint, mode).awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(rows)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        done = spark.read.schema(T.StructType([*stream.schema, T.StructField("stream_batch", T.LongType())])).parquet(rows)
+        if mode == "complete":
+            done = done.where(F.col("stream_batch") == done.agg(F.max("stream_batch")).first()[0])
+        done = done.drop("stream_batch")
+    else:
+        done = spark.createDataFrame([], stream.schema)
+    done.createOrReplaceTempView(table)
+
+
+def write_each_batch(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
     """Call ``write(df, batch_id)`` for every micro-batch; returns the running query."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

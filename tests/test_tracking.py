@@ -96,3 +96,23 @@ def test_batches_reach_a_writer(spark, tmp_path):
     counts = []
     tracking.write_each_batch(stream, lambda batch, _: counts.append(batch.count()), str(tmp_path / "ck")).awaitTermination()
     assert sum(counts) == 48
+
+
+def test_running_totals_are_kept_in_files(spark, tmp_path):
+    df = spark.createDataFrame([(k % 5, k) for k in range(40)], "user_id int, k int")
+    for part in range(3):
+        df.where(f"k % 3 = {part}").coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    for _ in range(2):  # again without new rows
+        tracking.run_to_end(tracking.running_totals(stream, ["user_id"]), "totals", str(tmp_path / "ck"), "complete")
+        got = spark.table("totals")
+        assert sorted(map(tuple, got.collect())) == [(u, 8) for u in range(5)]
+        assert got.inputFiles()  # a memory sink has none
+    assert len(list((tmp_path / "ck-rows").glob("stream_batch=*"))) == 3
+
+
+def test_an_empty_stream_gives_an_empty_table(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("user_id int").parquet(str(tmp_path / "none"))
+    tracking.run_to_end(tracking.running_totals(stream, ["user_id"]), "no_totals", str(tmp_path / "ck"), "complete")
+    assert spark.table("no_totals").count() == 0
