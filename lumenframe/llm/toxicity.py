@@ -7,7 +7,9 @@ identity term is swapped for another of its kind and the squared change of the
 model's logit is penalised, so naming a group by itself does not raise a score.
 
 Fitting uses a bounded sample (``per_class`` documents of each label, whole
-texts, features computed in tasks). Scoring hashes every word of every text in
+texts, features computed in tasks). As few of these may name a group, up to
+GROUP_SAMPLE labelled documents that do are added for the penalty alone: they
+are no sample of the labels, so they take no part in the loss. Scoring hashes every word of every text in
 the tasks that read it, without a shuffle, and looks up the few features kept.
 
 Defined results: null and empty texts have no features and the score of that; a
@@ -18,6 +20,8 @@ toxic labels, or 0.5 without any; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import arrow_batches, labelled_sample, ship
+from lumenframe.llm.common import arrow_batches, fold, labelled_sample, ship, spin
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
 #: Labelled documents of each class that are used for fitting.
 PER_CLASS = 2000
+#: Labelled documents that name a group, outside the held-out fold, which are added for the penalty.
+GROUP_SAMPLE = 300
 #: Lengths of word beginnings that are features, in bytes.
 PREFIXES = (3, 4, 5, 6)
 #: Documents of the sample that must have a feature, standard errors by which its log odds must differ, and features kept.
@@ -50,20 +56,27 @@ IDENTITY_TERMS = {
 }
 
 
-def swap_identities(text: str) -> list[str]:
-    """The text with every identity term moved on by one, two ... places among its kind; none if it names no group."""
-    import re
+_KINDS = {t: (terms, k) for terms in IDENTITY_TERMS.values() for k, t in enumerate(terms)}
+#: Matches a term, in Python and in Spark.
+TERM_PATTERN = r"(?i)\b(" + "|".join(sorted(_KINDS, key=len, reverse=True)) + r")\b"
 
-    kind = {t: (terms, k) for terms in IDENTITY_TERMS.values() for k, t in enumerate(terms)}
-    pattern = re.compile(r"\b(" + "|".join(sorted(kind, key=len, reverse=True)) + r")\b", re.IGNORECASE)
-    if not pattern.search(text):
+
+def swap_identities(text: str, places: Iterable[int] | None = (1, 2)) -> list[str]:
+    """The text with every identity term moved on by each of ``places`` among its kind; none if it names no group.
+
+    Without ``places`` by one, two ... up to the last of the largest kind named, so each term meets all others of its kind.
+    """
+    named = {t.lower() for t in re.findall(TERM_PATTERN, text)}
+    if not named:
         return []
+    if places is None:
+        places = range(1, max(len(_KINDS[t][0]) for t in named))
 
     def moved(match, by: int) -> str:
-        terms, k = kind[match[0].lower()]
+        terms, k = _KINDS[match[0].lower()]
         return terms[(k + by) % len(terms)]
 
-    return [pattern.sub(lambda m, by=by: moved(m, by), text) for by in (1, 2)]
+    return [re.sub(TERM_PATTERN, lambda m, by=by: moved(m, by), text) for by in places]
 
 
 class Features:
@@ -140,11 +153,13 @@ def train(
     """Minimise weighted log loss + ridge + penalty * mean squared change of the logit of swapped texts.
 
     ``swapped``: pairs of a text's index and the features of one of its swapped
-    versions. Only features whose log odds differ between the classes by ``z``
+    versions. Texts with the label -1 and no weight serve the penalty only. Only features whose log odds differ between the classes by ``z``
     standard errors are kept. Full-batch gradient steps with adaptive scaling (Adam).
     """
-    sets = _frequent(sets)
-    everything, counts = np.unique(np.concatenate(sets), return_counts=True)
+    fitted = np.flatnonzero(labels >= 0)
+    for i, s in zip(fitted, _frequent([sets[i] for i in fitted]), strict=True):
+        sets[i] = s
+    everything, counts = np.unique(np.concatenate([sets[i] for i in fitted]), return_counts=True)
     kept = everything[counts >= LEAST_DOCUMENTS]
     n = len(sets)
     texts = np.repeat(np.arange(n), [len(s) for s in sets])
@@ -193,6 +208,14 @@ def train(
     return ToxicityModel(kept, w, float(bias))
 
 
+def group_sample(documents: DataFrame, labels: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    """(doc_id, text, label -1) of at most GROUP_SAMPLE labelled documents outside the held-out fold that name a group, by a hash of the id."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), modulus) != held_out)
+    named = documents.where(F.col("text").rlike(TERM_PATTERN)).select("doc_id").join(known.select("doc_id"), "doc_id", "left_semi")
+    picked = named.distinct().orderBy(spin(F.col("doc_id")), "doc_id").limit(GROUP_SAMPLE)
+    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("label", F.lit(-1))
+
+
 def toxicity_model(
     documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS
 ) -> ToxicityModel:
@@ -207,7 +230,7 @@ def toxicity_model(
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = {"doc_id": [], "label": [], "swapped": [], "features": []}
             for k, s in enumerate(features.sets(pa.array(texts, pa.string()))):
-                versions = swap_identities(texts[k])
+                versions = swap_identities(texts[k], None)
                 for swapped, f in enumerate([s, *(features.sets(pa.array(versions, pa.string())) if versions else [])]):
                     rows["doc_id"].append(batch.column("doc_id")[k].as_py())
                     rows["label"].append(batch.column("label")[k].as_py())
@@ -218,24 +241,33 @@ def toxicity_model(
             )
 
     sample, shares = labelled_sample(documents, labels, "toxic", modulus, held_out, per_class)
-    rows = sample.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long"), "text", "label").mapInArrow(describe, "doc_id long, label int, swapped int, features binary").collect()
-    return fit_toxicity([(r.doc_id, r.label, r.swapped, np.frombuffer(r.features, np.uint64)) for r in rows], shares)
+
+    def described(sample: DataFrame) -> list[tuple[int, int, int, np.ndarray]]:
+        rows = sample.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long"), "text", "label")
+        rows = rows.mapInArrow(describe, "doc_id long, label int, swapped int, features binary").collect()
+        return [(r.doc_id, r.label, r.swapped, np.frombuffer(r.features, np.uint64)) for r in rows]
+
+    rows = described(sample)
+    seen = {r[0] for r in rows}
+    return fit_toxicity(rows + [r for r in described(group_sample(documents, labels, modulus, held_out)) if r[0] not in seen], shares)
 
 
 def fit_toxicity(rows: list[tuple[int, int, int, np.ndarray]], shares: dict[int, int], penalty: float = PENALTY) -> ToxicityModel:
     """Fit on (id, label, version, features), version 0 being the text itself.
 
     ``shares`` are the labels' counts outside the held-out fold before sampling.
+    Rows with the label -1 take part in the penalty, not in the loss.
     """
     rows = sorted(rows, key=lambda r: (r[0], r[2]))
     own = [r for r in rows if r[2] == 0]
     labels = np.array([r[1] for r in own], float)
-    if len(set(labels.tolist())) < 2 or not sum(len(r[3]) for r in own):
+    if len(set(labels.tolist()) - {-1}) < 2 or not sum(len(r[3]) for r in own if r[1] >= 0):
         share = (shares.get(1, 0) + 0.5) / (shares.get(0, 0) + shares.get(1, 0) + 1)
         return ToxicityModel(intercept=float(np.log(share / (1 - share))))
     index = {r[0]: k for k, r in enumerate(own)}
     swapped = [(index[r[0]], r[3]) for r in rows if r[2] > 0]
     weight = np.where(labels == 1, shares.get(1, 1) / (labels == 1).sum(), shares.get(0, 1) / (labels == 0).sum())
+    weight = np.where(labels < 0, 0.0, weight)
     return train([r[3] for r in own], labels, weight, swapped, penalty)
 
 

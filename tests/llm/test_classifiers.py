@@ -86,6 +86,26 @@ def test_swaps_keep_everything_but_the_terms():
     assert toxicity.swap_identities("Muslim men, and women") == ["jewish women, and nonbinary", "hindu nonbinary, and transgender"]
 
 
+def test_every_term_meets_all_others_of_its_kind():
+    for terms in toxicity.IDENTITY_TERMS.values():
+        for t in terms:
+            assert sorted(toxicity.swap_identities(t, None)) == sorted(set(terms) - {t})
+    assert toxicity.swap_identities("nothing here", None) == []
+
+
+def test_rare_mentions_reach_the_penalty(spark, monkeypatch):
+    rng, seen = random.Random(8), []
+    docs = [(k, " ".join(words(rng, 20, "bdkrtz") + ["muslim"] * (k % 100 == 7))) for k in range(600)]
+    docs = spark.createDataFrame([*docs, (9001, "a muslim without a label")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda sets, y, weight, swapped, penalty: seen.append((sets, y, weight, swapped)))
+    toxicity.toxicity_model(docs, labels, 3, 1, per_class=5)
+    (sets, y, weight, swapped), = seen
+    outside = docs.where(fold(F.col("doc_id"), 3) != 1).where("doc_id % 100 = 7").count()
+    assert outside and len(swapped) == 5 * outside and len({i for i, _ in swapped}) == outside
+    assert (y >= 0).sum() == 10 and (weight[y < 0] == 0).all() and (weight[y >= 0] > 0).all()
+
+
 def test_counterfactuals_lower_scores_of_neutral_mentions():
     rng = random.Random(1)
     features = toxicity.Features()
