@@ -7,8 +7,9 @@ hit words and name the items; an item with fewer words is a window of its own.
 The word pairs of the items are kept in a bit table; only stretches of a document
 whose neighbours are all such pairs can hold a window, so the rest isn't walked.
 
-Items are cut into blocks of bounded size, each with an automaton of its own, so
-memory in a task does not grow with the benchmark.
+Items are cut into blocks of bounded size, each with an automaton of its own. The
+driver builds all of them and each task loads all, so memory grows with the
+benchmark, and may run out well below MOST_BENCHMARK_BYTES.
 
 Defined results: null and empty texts have no words; an item without words is
 ignored, and one with a null id too; items that share an id count as one item
