@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,16 +19,18 @@ ASCII_SPACE = "\t\n\x0b\x0c\r "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share.
+    """A folder that driver and executors share, in ``spark.checkpoint.dir``.
 
-    It lies in ``spark.checkpoint.dir``; a temporary folder of this machine
-    serves only where that setting is absent, as in local tests.
+    Where that is unset a temporary folder serves if driver and executors are one
+    process (``local`` masters, as in tests); elsewhere that is an error, since
+    executors would write to disks of their own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenframe-")
-        )
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumenframe-"))
     return sc.getCheckpointDir()
 
 
@@ -44,7 +47,51 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.lumenframe_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(written)
+    return written
+
+
+_SCOPES: list[list[DataFrame]] = []
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing will read again; others are left alone."""
+    for df in written:
+        path = getattr(df, "lumenframe_path", None)
+        if path is None:
+            continue
+        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def intermediates() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at the end, the tables materialised within, but for those handed to the function it gives.
+
+    What leaves the block must read kept tables only. After an error nothing is
+    deleted, so a retry finds what it may read.
+    """
+    made: list[DataFrame] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.lumenframe_path)
+        return df
+
+    _SCOPES.append(made)
+    try:
+        yield keep
+    except BaseException:
+        _SCOPES.pop()
+        raise
+    _SCOPES.pop()
+    discard(*[df for df in made if df.lumenframe_path not in kept])
+    if _SCOPES:
+        _SCOPES[-1].extend(df for df in made if df.lumenframe_path in kept)
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -96,24 +143,16 @@ def labelled_sample(
     return sample, counts
 
 
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small enough for a Python worker."""
-    if int(spark.conf.get(_BATCH_ROWS)) > rows:
-        spark.conf.set(_BATCH_ROWS, str(rows))
+def pieces(batches: Iterator[Any], rows: int = 500, size: int = 8 << 20) -> Iterator[Any]:
+    """The rows of Arrow batches, at most ``rows`` and about ``size`` bytes at a time.
 
-
-@contextlib.contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for what runs within."""
-    before = spark.conf.get(_BATCH_ROWS)
-    spark.conf.set(_BATCH_ROWS, str(min(rows, int(before))))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_ROWS, before)
+    Keeps what a task works on at once small, whatever the session's batches hold;
+    Spark itself limits those by bytes. A row of more than ``size`` bytes comes alone.
+    """
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 #: Ids up to this number are broadcast; more go by a shuffle join.

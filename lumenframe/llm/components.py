@@ -2,7 +2,7 @@
 
 Each round is two grouped minima and two joins; the edges of a round are written
 to the shared folder, so lineage stays short and nothing reaches the driver but
-a count and a checksum. Equal edges and loops are allowed; an edge with a null
+a count and a checksum; the files of earlier rounds are deleted. Equal edges and loops are allowed; an edge with a null
 end is dropped; no edges give no rows.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import materialise
+from lumenframe.llm.common import discard, materialise
 
 
 def _with_minimum(edges: DataFrame) -> DataFrame:
@@ -47,7 +47,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if tuple(now) == mark or not now[0]:
             break
         mark = tuple(now)
-        state = materialise(_round(state), "edges")
+        last, state = state, materialise(_round(state), "edges")
+        discard(last)
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import arrow_batches, ship
+from lumenframe.llm.common import pieces, ship
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
 #: Words of the longest window.
@@ -213,7 +213,6 @@ def benchmark_items(benchmark: DataFrame) -> list[tuple[str, str | None]]:
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, spans of hit words (from, to) and the ids of items found; no shuffle."""
-    arrow_batches(documents.sparkSession, 500)
     detector = ship(documents.sparkSession, Detector(benchmark_items(benchmark), window))
     span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
     schema = T.StructType(
@@ -231,7 +230,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         here = detector()
-        for batch in batches:
+        for batch in pieces(batches):
             rows = list(here.inspect(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -291,7 +290,6 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     that stay; without it those texts are unchanged. Rows are judged where they
     lie: the table isn't joined to its verdicts, so rows that repeat an id do no harm.
     """
-    arrow_batches(documents.sparkSession, 500)
     detector = ship(documents.sparkSession, Detector(benchmark_items(benchmark), window))
 
     columns = documents.columns
@@ -300,7 +298,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
         import pyarrow as pa
 
         at, here = columns.index("text"), detector()
-        for batch in batches:
+        for batch in pieces(batches):
             keep, texts = [], []
             for text, (n, spans, _) in zip(batch.column(at), here.inspect(batch.column(at)), strict=True):
                 hit = sum(b - a for a, b in spans)

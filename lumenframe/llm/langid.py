@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lumenframe.llm.common import arrow_batches, fold, ship, spin
+from lumenframe.llm.common import fold, pieces, ship, spin
 from lumenframe.llm.textscan import text_buffers
 
 #: Bytes of a window, symbols, width of an embedding, filters of each width, and the widths.
@@ -177,7 +177,7 @@ def _sampled_windows(documents: DataFrame, modulus: int, held_out: int) -> DataF
         import pyarrow as pa
 
         schema = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64()), ("window", pa.binary())])
-        for batch in batches:
+        for batch in pieces(batches):
             data, at = text_buffers(batch.column("text"))
             rows = {name: [] for name in schema.names}
             for k, (lang, doc) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
@@ -193,7 +193,6 @@ def _sampled_windows(documents: DataFrame, modulus: int, held_out: int) -> DataF
 
 def language_model(documents: DataFrame, modulus: int = 4, held_out: int = 2) -> Network | None:
     """The network for the languages of documents outside the held-out fold; None if there are none."""
-    arrow_batches(documents.sparkSession, 500)
     many = _learnable(documents, modulus, held_out).select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if many > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -236,7 +235,6 @@ def identify(texts, network: Network | None) -> tuple[list[str], list[float]]:
 
 def predict_language(documents: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) for every document, without a shuffle."""
-    arrow_batches(documents.sparkSession, 500)
     fitted = ship(documents.sparkSession, network)
     schema = T.StructType([documents.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -244,7 +242,7 @@ def predict_language(documents: DataFrame, network: Network | None) -> DataFrame
         import pyarrow as pa
 
         here = fitted()
-        for batch in batches:
+        for batch in pieces(batches):
             names, scores = identify(batch.column("text"), here)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
 

@@ -3,25 +3,32 @@
 Two sets whose Jaccard similarity reaches the threshold differ in at most H
 shingles, where H follows from their sizes. Sizes fall into bands; a band hashes
 the universe into H + 1 segments, so similar sets agree on at least one segment,
-and by the pigeonring argument on one after which the next differs in at most one
-shingle and the next two in at most two. A set is indexed in its band, and as a possible smaller partner in the
-bands just above, by one signature a segment: the segment's subset. Segments that
-hold few shingles agree by chance; there the signature also takes the next
-segment, with its one-deletion neighbourhood. Which segments are extended is
-decided for each band by a cost estimate from counts over all documents.
-
-Signatures only propose pairs; each carries parity bits of the next two segments,
-which pairs must nearly share. Members of a signature's group are first paired
-with its most central member; later, members that are still in other components
-are paired with the rest. A parity bitmap bounds the difference of two sets from
-below and drops pairs that cannot link, and what is left is verified on the sets.
-Sets with equal shingles are one class throughout, so exact copies, however
-many, cost one set.
+and by the pigeonring argument on one after which, for every k, the next k
+segments differ in at most k shingles. A set is indexed in its band, and as a
+possible smaller partner in the bands just above, by one signature a segment: the
+segment's subset. Segments that hold few shingles agree by chance; there the
+signature also takes the next segment, with its one-deletion neighbourhood. Which
+segments are extended is decided for each band by a cost estimate from counts
+over all documents.
+
+Signatures only propose pairs; each carries parity bits of the next AHEAD
+segments, which pairs must nearly share. Members of a signature's group are first
+paired with a centre, its most central member. Where that leaves a group in
+several components, a member outside the largest one is elected as the next centre
+and paired with those of other components. Members that two elections leave apart
+are paired with each other; by then the parity bits have dropped pairs that only
+share a passage or agree by chance. A parity bitmap bounds the difference of two
+sets from below and drops pairs that cannot link, and what is left is verified on
+the sets. Sets with equal shingles are one class throughout, so exact copies,
+however many, cost one set.
 
 Words and sets are compared by 64-bit hashes. Defined results: a null or empty
-text, or one without words, has an empty set and links with nothing; rows with
-one id count as one document; rows with a null id have their set's size and a
-null component; an empty table gives no rows; only doc_id and text are read.
+text, or one without words, has an empty set and links with nothing; a very long
+text is taken whole, its set and signatures growing with its words; rows with one
+id count as one document, with the set of any of its texts; rows with a null id
+have their set's size and a null component; of members that weigh the same the
+one with the largest id is the centre, which changes no result; an empty table
+gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import arrow_batches, batch_rows, if_small, materialise
+from lumenframe.llm.common import discard, if_small, intermediates, materialise, pieces
 from lumenframe.llm.components import connected_components
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
@@ -41,6 +48,10 @@ from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 BAND_RATIO = 1.35
 #: Longs of a parity bitmap.
 BITMAP = 8
+#: Segments after a signature's own whose parity it carries, and bits of each; together a long.
+AHEAD, AHEAD_BITS = 8, 8
+#: Centres that a group with several components is given before its members are paired with each other.
+ELECTIONS = 2
 #: The price of a proposed pair, in signatures; the chance that two segments of one shingle are equal.
 PAIR_PRICE, EQUAL_SINGLES = 4.0, 1e-3
 
@@ -168,7 +179,7 @@ def segment_of(values: np.ndarray, segments: int) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of one set in one band, and with each 16 parity bits of either of the next two segments."""
+    """The signatures of one set in one band, and with each the parity bits of the next AHEAD segments."""
     m = band.segments
     segment = segment_of(values, m)
     order = np.argsort(segment, kind="stable")
@@ -177,9 +188,12 @@ def signatures(values: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(counts)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
     sums = total[ends] - total[ends - counts]
-    bits = np.concatenate([np.zeros(1, np.uint32), np.bitwise_xor.accumulate(np.uint32(1) << (spread >> np.uint64(40) & np.uint64(15)).astype(np.uint32))])
+    flips = np.uint64(1) << (spread >> np.uint64(40) & np.uint64(AHEAD_BITS - 1))
+    bits = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(flips)])
     parity = bits[ends] ^ bits[ends - counts]
-    ahead = np.roll(parity, -1) | (np.roll(parity, -2) << np.uint32(16) if m > 2 else np.uint32(0))
+    ahead = np.zeros(m, np.uint64)
+    for k in range(min(AHEAD, m - 1)):
+        ahead |= np.roll(parity, -k - 1) << np.uint64(AHEAD_BITS * k)
     place = mix(np.arange(m, dtype=np.uint64) + np.uint64((band.number + 1) << 32))
     base = mix(sums + place)
     light = np.flatnonzero(counts <= band.light)
@@ -209,7 +223,7 @@ def _describe(documents: DataFrame, n: int, threshold: Threshold) -> DataFrame:
         import pyarrow as pa
 
         plan: list[Band] = []
-        for batch in batches:
+        for batch in pieces(batches):
             rows = np.zeros((len(batch), 2 + BITMAP + 4), np.int64)
             for i, s in enumerate(shingler.sets(batch.column("text"))):
                 if not len(s):
@@ -241,7 +255,7 @@ def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band])
         import pyarrow as pa
 
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             found, keys, sizes = [], [], []
             for s in shingler.sets(batch.column("text")):
                 key = (int(set_key(s)), len(s))
@@ -259,10 +273,10 @@ def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band])
                 continue
             many = [len(f) for f, _ in found]
             sig, ahead = (np.concatenate(x) for x in zip(*found, strict=True))
-            columns = [sig.view(np.int64), np.repeat(np.array(keys, np.int64), many), np.repeat(np.array(sizes, np.int32), many), ahead.view(np.int32)]
+            columns = [sig.view(np.int64), np.repeat(np.array(keys, np.int64), many), np.repeat(np.array(sizes, np.int32), many), ahead.view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "k", "n", "ahead"])
 
-    return documents.select("text").mapInArrow(index, "sig long, k long, n int, ahead int")
+    return documents.select("text").mapInArrow(index, "sig long, k long, n int, ahead long")
 
 
 def _described_sets(pairs: DataFrame, documents: DataFrame, n: int, describe) -> DataFrame:
@@ -273,7 +287,7 @@ def _described_sets(pairs: DataFrame, documents: DataFrame, n: int, describe) ->
     def read(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             sets = shingler.sets(batch.column("text"))
             columns = [
                 pa.array([set_key(s) for s in sets], pa.int64()),
@@ -297,15 +311,14 @@ def _tested(pairs: DataFrame, documents: DataFrame, n: int, describe, test) -> D
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             values = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("va", "vb")]
             sizes = [batch.column(c).to_pylist() for c in ("na", "nb")]
             keep = [test(*row) for row in zip(*values, *sizes, strict=True)]
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     kind = T.StructType([pairs.schema[c] for c in names])
-    with batch_rows(pairs.sparkSession, 100):  # two sets a row
-        return materialise(pairs.select(*names, "va", "vb").mapInArrow(run, kind), "join-tested")
+    return materialise(pairs.select(*names, "va", "vb").mapInArrow(run, kind), "join-tested")
 
 
 def _links(pairs: DataFrame, documents: DataFrame, n: int, threshold: Threshold) -> DataFrame:
@@ -336,9 +349,12 @@ def _possible(threshold: Threshold, l: str, r: str):  # noqa: E741
 
 
 def _follows(x: str, y: str):
-    """Whether the segments after an equal one can differ by at most one, and by two in the next two."""
-    apart = F.col(x).bitwiseXOR(F.col(y))
-    return (F.bit_count(apart.bitwiseAND(F.lit(0xFFFF))) <= 1) & (F.bit_count(apart) <= 2)
+    """Whether the next k segments can differ in at most k shingles, for every k up to AHEAD."""
+    apart, near = F.col(x).bitwiseXOR(F.col(y)), F.lit(True)
+    for k in range(1, AHEAD + 1):
+        mask = (1 << AHEAD_BITS * k) - 1
+        near = near & (F.bit_count(apart.bitwiseAND(F.lit(mask if mask < 1 << 63 else -1))) <= k)
+    return near
 
 
 def _pair(l: str, r: str) -> list:  # noqa: E741
@@ -349,24 +365,25 @@ def _pair(l: str, r: str) -> list:  # noqa: E741
     return [one("k", "ka"), one("n", "na"), one("id", "a"), two("k", "kb"), two("n", "nb"), two("id", "b")]
 
 
-def similar_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Every document with the size of its set and its component of linked documents.
+def _parted(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of groups that lie in several components, with their component and the group's largest one."""
+    found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    placed = members.select("sig", "id", "ahead", "weight").join(found, "id", "left").select(
+        "sig", "id", "ahead", "weight", F.coalesce("component", "id").alias("component")
+    )
+    parts = placed.groupBy("sig", "component").agg(F.count("*").alias("many"))
+    parts = parts.groupBy("sig").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts"))
+    several = parts.where("parts > 1").select("sig", F.col("top.component").alias("main"))
+    return materialise(placed.join(several, "sig"), "join-parted")
 
-    Columns: doc_id, n_shingles, component_id (the least id that links reach).
-    """
-    spark = documents.sparkSession
-    arrow_batches(spark, 500)
-    threshold = Threshold(num, den)
-    described = materialise(_describe(documents, n, threshold), "join-sizes")
+
+def _components(documents: DataFrame, described: DataFrame, classes: DataFrame, n: int, threshold: Threshold) -> DataFrame:
+    """(id, component) of the classes that links join to others."""
     known = described.where("n > 0 and doc_id is not null")
     # a few rows a band; the number of bands grows with the logarithm of the longest text
     counted = known.groupBy("band").agg(F.count("*"), F.sum("n"), *[F.sum(f"c{i}") for i in range(3)], F.max("n")).collect()
     counts = {r[0]: tuple(r[1:6]) for r in counted}
     plan = allocate(bands(threshold, max([1, *(r[6] for r in counted)])), counts)
-    classes = materialise(
-        known.groupBy("k", "n").agg(F.min("doc_id").alias("id"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)]),
-        "join-classes",
-    )
     # One shuffle of signatures serves both the count of their groups and the way back to their members;
     # both read all columns, else they would not be one exchange.
     index = _index(documents, n, threshold, plan).repartition("sig")
@@ -383,30 +400,40 @@ def similar_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int
     shared = materialise(index.join(groups, "sig"), "join-groups")
     weights = shared.groupBy("k", "n").agg(F.sum("members").alias("weight"))
     nodes = materialise(classes.join(weights, ["k", "n"]), "join-nodes")
-    members = materialise(shared.select("sig", "k", "n", "ahead").distinct().join(nodes.select("k", "n", "id", "weight"), ["k", "n"]), "join-members")
-    with_bits = lambda df, name: df.join(nodes.drop("weight"), "id").alias(name)
-
-    centre = members.groupBy("sig").agg(F.max(F.struct("weight", "id", "ahead")).alias("c")).select(
-        "sig", F.col("c.id").alias("centre"), F.col("c.ahead").alias("centre_ahead")
-    )
-    star = members.join(centre, "sig").where(F.col("id") != F.col("centre")).where(_follows("ahead", "centre_ahead"))
-    star = star.select("id", "centre").distinct()
-    star = with_bits(star, "l").join(nodes.alias("r"), F.col("l.centre") == F.col("r.id")).where(_possible(threshold, "l", "r"))
-    star = materialise(star.select(*_pair("l", "r")).distinct(), "join-stars")
-    links = _links(star, documents, n, threshold)
-
-    # Members that the centres left in other components meet all members of their groups.
-    placed = members.join(connected_components(links, "a", "b").withColumnRenamed("node", "id"), "id", "left").select(
-        "sig", "id", "ahead", F.coalesce("component", "id").alias("component")
-    )
-    main = placed.groupBy("sig", "component").agg(F.count("*").alias("many"))
-    main = main.groupBy("sig").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    placed = materialise(placed.join(main.select("sig", F.col("top.component").alias("main")), "sig"), "join-placed")
+    members = materialise(shared.select("sig", "k", "n", "ahead").distinct().join(nodes.select("k", "n", "id", "weight"), ["k", "n"]).drop("k", "n"), "join-members")
+    discard(shared)
     bits = nodes.select("id", "k", "n", *[f"b{i}" for i in range(BITMAP)])
-    every = placed.join(bits, "id")
-    apart = every.where("component <> main")
+
+    def possible(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
+        """The distinct pairs (l, r) of ids that can link and have not been tested."""
+        named = pairs.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
+        named = named.join(bits.alias("x"), F.col("l") == F.col("x.id")).join(bits.alias("y"), F.col("r") == F.col("y.id"))
+        named = named.where(_possible(threshold, "x", "y")).select(*_pair("x", "y"))
+        return materialise(named if tested is None else named.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
+
+    def starred(rows: DataFrame, centre: DataFrame) -> DataFrame:
+        """Members paired with the centre of their group, those of the centre's own component left out."""
+        near = rows.join(centre, "sig").where((F.col("id") != F.col("centre")) & _follows("ahead", "centre_ahead"))
+        near = near.where(F.col("component") != F.col("centre_component")) if "component" in rows.columns else near
+        return near.select(F.col("id").alias("l"), F.col("centre").alias("r"))
+
+    def elected(rows: DataFrame) -> DataFrame:
+        fields = [c for c in ("weight", "id", "ahead", "component") if c in rows.columns]
+        best = rows.groupBy("sig").agg(F.max(F.struct(*fields)).alias("c"))
+        return best.select("sig", F.col("c.id").alias("centre"), *[F.col(f"c.{c}").alias(f"centre_{c}") for c in fields[2:]])
+
+    tested = possible(starred(members, elected(members)), None)
+    links = _links(tested, documents, n, threshold)
+    for _ in range(1, ELECTIONS):
+        members = _parted(members, links)
+        again = possible(starred(members, elected(members.where("component <> main"))), tested)
+        tested, links = tested.unionAll(again), links.unionAll(_links(again, documents, n, threshold))
+
+    # Members that no centre joined meet all members of their groups that are still in other components.
+    every = _parted(members, links).join(bits, "id")
     rest = (
-        apart.alias("l")
+        every.where("component <> main")
+        .alias("l")
         .join(
             every.alias("r"),
             (F.col("l.sig") == F.col("r.sig"))
@@ -417,13 +444,29 @@ def similar_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int
         )
         .select(*_pair("l", "r"))
         .distinct()
-        .join(star.select("a", "b"), ["a", "b"], "left_anti")
+        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
     links = links.unionAll(_links(materialise(rest, "join-rest"), documents, n, threshold))
-    component = connected_components(links, "a", "b")
-    named = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select(
-        "k", "n", F.coalesce("component", "id").alias("component_id")
-    )
+    return connected_components(links, "a", "b").withColumnRenamed("node", "id")
+
+
+def similar_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Every document with the size of its set and its component of linked documents.
+
+    Columns: doc_id, n_shingles, component_id (the least id that links reach).
+    """
+    threshold = Threshold(num, den)
+    with intermediates() as kept:
+        described = kept(materialise(_describe(documents, n, threshold), "join-sizes"))
+        known = described.where("n > 0 and doc_id is not null")
+        classes = kept(
+            materialise(
+                known.groupBy("k", "n").agg(F.min("doc_id").alias("id"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BITMAP)]),
+                "join-classes",
+            )
+        )
+        component = kept(materialise(_components(documents, described, classes, n, threshold), "join-components"))
+    named = classes.join(component, "id", "left").select("k", "n", F.coalesce("component", "id").alias("component_id"))
     return (
         described.select("doc_id", "n", "k")
         .join(named, ["k", "n"], "left")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import arrow_batches, labelled_sample, ship
+from lumenframe.llm.common import labelled_sample, pieces, ship
 
 #: Labelled documents of each class that are used for fitting.
 PER_CLASS = 3000
@@ -143,7 +143,6 @@ def quality_model(documents: DataFrame, labels: DataFrame, modulus: int = 5, hel
 
 def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score) for every document."""
-    arrow_batches(documents.sparkSession, 500)
     fitted = ship(documents.sparkSession, model)
     schema = T.StructType([documents.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
@@ -151,7 +150,7 @@ def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
         import pyarrow as pa
 
         here = fitted()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(here.scores(texts))], schema.names)
 
@@ -160,7 +159,6 @@ def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:
 
 def keep_good(documents: DataFrame, model: QualityModel, least: float) -> DataFrame:
     """The rows of ``documents`` whose score is at least ``least``, judged where they lie."""
-    arrow_batches(documents.sparkSession, 500)
     fitted = ship(documents.sparkSession, model)
     at = documents.columns.index("text")
 
@@ -168,7 +166,7 @@ def keep_good(documents: DataFrame, model: QualityModel, least: float) -> DataFr
         import pyarrow as pa
 
         here = fitted()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [(x or "").encode() for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(here.scores(texts) >= least))
 

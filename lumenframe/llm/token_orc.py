@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lumenframe.llm.common import arrow_batches, materialise, new_path
+from lumenframe.llm.common import materialise, new_path, pieces
 
 #: Settings of the ORC files; run-length encoding packs the ids, and further compression gains little.
 ORC_OPTIONS = {
@@ -208,7 +208,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int) ->
         import pyarrow as pa
 
         encoder = _encoder(tokenizer_path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [x.encode() if x else b"" for x in batch.column("text").to_pylist()]
             for a, b in _slices(texts):
                 ids, sizes = encoder.encode(texts[a:b], end_id)
@@ -233,7 +233,6 @@ def write_tokens(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
     Texts are shuffled once, by ranges of (doc_id, hash of text), so rows that
     share one id can spread over tasks; file names follow the ranges.
     """
-    arrow_batches(documents.sparkSession, 500)
     dealt = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     order = ["doc_id", "text_hash"]
     ordered = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -251,7 +250,6 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """From the files: each document's start among all ids, number of ids and their crc32."""
-    arrow_batches(spark, 500)
     stored = read_tokens(spark, path)
     kind = stored.schema["doc_id"].dataType
     schema = T.StructType(
@@ -270,7 +268,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         sys.modules.pop("_lumenframe_worker", None)  # what this worker kept for encoding
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column("ids")
             at = ids.offsets.to_numpy()
             flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4")

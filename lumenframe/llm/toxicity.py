@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import arrow_batches, fold, labelled_sample, ship, spin
+from lumenframe.llm.common import fold, labelled_sample, pieces, ship, spin
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
 #: Labelled documents of each class that are used for fitting.
@@ -220,13 +220,12 @@ def toxicity_model(
     documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS
 ) -> ToxicityModel:
     """The model of ``labels.toxic`` from documents outside the held-out fold."""
-    arrow_batches(documents.sparkSession, 500)
     features = Features()
 
     def describe(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows = {"doc_id": [], "label": [], "swapped": [], "features": []}
             for k, s in enumerate(features.sets(pa.array(texts, pa.string()))):
@@ -273,7 +272,6 @@ def fit_toxicity(rows: list[tuple[int, int, int, np.ndarray]], shares: dict[int,
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """(doc_id, score) for every document."""
-    arrow_batches(documents.sparkSession, 500)
     fitted = ship(documents.sparkSession, model)
     schema = T.StructType([documents.schema["doc_id"], T.StructField("score", T.DoubleType())])
     features = Features()
@@ -282,7 +280,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
         import pyarrow as pa
 
         here = fitted()
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(here.scores(batch.column("text"), features))], schema.names)
 
     return documents.select("doc_id", "text").mapInArrow(score, schema)

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import MOST_BROADCAST, arrow_batches, materialise, new_path
+from lumenframe.llm.common import MOST_BROADCAST, materialise, new_path, pieces
 
 MAGIC = b"WARC/1.0\r\n"
 #: Bytes that one reading task looks at, and those that are read first of a record's header.
@@ -85,7 +85,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 100) -> D
         system.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc"
         size, out = 0, None
-        for batch in batches:
+        for batch in pieces(batches):
             for row in batch.to_pylist():
                 if out is None:
                     out = system.open_output_stream(f"{root}/{name}")
@@ -96,7 +96,6 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 100) -> D
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "bytes": [size]})
 
-    arrow_batches(pages.sparkSession, 500)
     return materialise(with_originals(pages, least_revisit).mapInArrow(write, "path string, bytes long"), "warc-manifest")
 
 
@@ -229,7 +228,7 @@ def candidates(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
     def look(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             for row in batch.to_pylist():
                 system, path = _open(row["path"])
                 start, size = row["block"] * block, row["bytes"]
