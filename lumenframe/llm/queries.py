@@ -91,7 +91,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    mixed = mixing.mix_sources(documents, F.array("source"))
+    mixed = mixing.mix_sources(documents, source=F.col("source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

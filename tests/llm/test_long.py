@@ -32,7 +32,7 @@ def test_long_texts(spark, tmp_path):
     rules = {r.doc_id: (r.n_words, r.word_chars) for r in quality_rules.judge_quality(docs).collect()}
     assert rules[1] == (200_000, sum(map(len, words))) and rules[3] == (1, 3_000_000)
 
-    taken = mixing.mix_sources(docs, F.array("source")).collect()
+    taken = mixing.mix_sources(docs, source=F.col("source")).collect()
     assert sum(r.size for r in taken) == 400_021
 
     tokenizer = Tokenizer.from_file(tokenizer_path())

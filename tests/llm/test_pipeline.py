@@ -61,7 +61,7 @@ def test_decontamination_stage(spark, steps):
 
 def test_mixture_stage_repeats_documents(spark, steps):
     before, after = steps[3]
-    want = {r.doc_id: r.copies for r in mixing.mix_sources(before, F.array("source")).collect() if r.copies}
+    want = {r.doc_id: r.copies for r in mixing.mix_sources(before, source=F.col("source")).collect() if r.copies}
     assert ids(after) == want
 
 
