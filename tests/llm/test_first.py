@@ -108,17 +108,16 @@ def plain_em(counts):
     def posterior(p):
         x = np.log(prior / (1 - prior))
         for j, v in enumerate(votes[p]):
-            ratio = np.log(good[j][v] / bad[j][v])
-            x += max(ratio, q.LEAST_EVIDENCE) if v == 2 else min(ratio, -q.LEAST_EVIDENCE) if v == 0 else 0
+            x += np.log(good[j][v] / bad[j][v]) if v != 1 else 0
         return 1 / (1 + np.exp(-x))
 
     for _ in range(q.ROUNDS):
         post = {p: posterior(p) for p in counts}
         g = sum(counts[p] * post[p] for p in counts)
-        b, belief = total - g, total * q.RATE_WEIGHT
+        b, belief = total - g, q.BELIEF
         new_good = [[(sum(counts[p] * post[p] for p in counts if votes[p][j] == v) + belief * q.START_GOOD[v]) / (g + belief) for v in range(3)] for j in range(n)]
         new_bad = [[(sum(counts[p] * (1 - post[p]) for p in counts if votes[p][j] == v) + belief * q.START_BAD[v]) / (b + belief) for v in range(3)] for j in range(n)]
-        prior, good, bad = (g + total * q.PRIOR_WEIGHT * q.PRIOR) / (total * (1 + q.PRIOR_WEIGHT)), new_good, new_bad
+        prior, good, bad = (g + belief * q.PRIOR) / (total + belief), new_good, new_bad
     return {p: posterior(p) for p in counts}
 
 
@@ -140,6 +139,37 @@ def test_quality_keeps_clean_text_and_drops_junk(spark):
     assert all(got[k] for k in range(60)) and not any(got[60 + k] for k in range(6))
 
 
+def test_features_of_the_votes_match_brute_force(spark):
+    for r in quality_rules.text_features(frame(spark)).collect():
+        text = "" if r.doc_id is None else TEXTS[r.doc_id] or ""
+        words = WORD.findall(text)
+        assert r.n_lines == sum(bool(WORD.search(x)) for x in text.split("\n"))
+        assert (r.n_single, r.n_distinct) == (sum(len(w) == 1 for w in words), len(set(words)))
+        assert r.n_adjacent == sum(a == b for a, b in zip(words, words[1:], strict=False))
+        assert (r.n_capitals, r.n_marks) == (sum("A" <= c <= "Z" for c in text), sum(c in ".,;:!?" for c in text))
+
+
+def test_fitted_verdicts_are_better_than_rules_and_than_the_start(spark):
+    """On the real table the fit changes verdicts, and for the better by the labels, which it never sees."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    votes = quality_rules.text_features(docs).withColumn("pattern", quality_rules.vote_pattern())
+    rows = votes.join(labels.where("quality is not null"), "doc_id", "left").toPandas()
+    fitted = {r.pattern: r.quality for r in quality_rules.fit_patterns(votes.select("pattern")).collect()}
+    q = quality_rules
+    digits = np.array([[p // 3**j % 3 for j in range(len(q.RULES))] for p in rows.pattern])
+    evidence = np.log(np.array(q.START_GOOD) / np.array(q.START_BAD)) * [1, 0, 1]
+    start = np.log(q.PRIOR / (1 - q.PRIOR)) + evidence[digits].sum(axis=1) >= 0
+    failed = ((rows.n_words < 10) | (100 * rows.n_repeat_words > 20 * rows.n_words)).to_numpy()
+    kept = {"fitted": rows.pattern.map(fitted).to_numpy() >= 0.5, "all must pass": (digits > 0).all(axis=1), "start": start}
+    known = rows.quality.notna().to_numpy() & ~failed
+    wrong = {k: int((v != (rows.quality == 1).to_numpy())[known].sum()) for k, v in kept.items()}
+    differ = {k: int((v != kept["fitted"])[~failed].sum()) for k, v in kept.items()}
+    print(wrong, differ)
+    assert differ["all must pass"] > 20 and differ["start"] > 10
+    assert wrong["fitted"] < min(wrong["all must pass"], wrong["start"])
+
+
 def test_targets_stop_at_the_limit_and_share_the_rest():
     got = mixing.targets({"b": 100, "a": 10, None: 1000}, (3, 1, 2), Fraction(3, 2), 2)
     assert got["a"] == 20 and got["b"] == 200 and got[None] == Fraction(3, 2) * 1110 - 220
