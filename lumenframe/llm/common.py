@@ -116,7 +116,8 @@ def labelled_sample(
     """At most ``per_class`` labelled documents of each class outside the held-out fold, and each class's ids there.
 
     The choice follows a hash of the id, so reruns agree. Ids with several label
-    rows take the larger label. Columns: doc_id, text, label. The id list that is
+    rows take the larger label, ids with several documents the least text, so there
+    is one row an id. Columns: doc_id, text, label. The id list that is
     broadcast has at most twice ``per_class`` rows. No label of the held-out fold
     is used, for the counts either; these include ids that have no document.
     """
@@ -140,7 +141,7 @@ def labelled_sample(
     sample = documents.select("doc_id", "text").join(
         F.broadcast(picked[0].unionAll(picked[1])), "doc_id"
     )
-    return sample, counts
+    return sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), counts
 
 
 def pieces(batches: Iterator[Any], rows: int = 500, size: int = 8 << 20) -> Iterator[Any]:

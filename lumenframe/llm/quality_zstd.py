@@ -138,7 +138,7 @@ def fit_quality(rows: list[tuple[int, str | None, int]], shares: dict[int, int])
 def quality_model(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> QualityModel:
     """The model of ``labels.quality`` from documents outside the held-out fold."""
     sample, shares = labelled_sample(documents, labels, "quality", modulus, held_out, per_class)
-    return fit_quality([tuple(r) for r in sample.dropDuplicates(["doc_id"]).collect()], shares)
+    return fit_quality([tuple(r) for r in sample.collect()], shares)
 
 
 def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:

@@ -2,25 +2,32 @@
 
 Texts become sets of hashed word features: each word, and its first bytes in
 several lengths, so invented and inflected words share evidence. A logistic
-model is trained on labelled texts. For labelled texts that name a group, every
-identity term is swapped for another of its kind and the squared change of the
-model's logit is penalised, so naming a group by itself does not raise a score.
+model is trained on labelled texts. In labelled texts that name a group, every
+identity term is swapped for another of its kind; in those that name none, terms
+of a kind are set into a place of the text that a hash of it picks. The squared
+change of the model's logit is penalised, so naming a group by itself does not
+raise a score, nor does a term that begins like an insult.
 
 Fitting uses a bounded sample (``per_class`` documents of each label, whole
-texts, features computed in tasks). As few of these may name a group, up to
-GROUP_SAMPLE labelled documents that do are added for the penalty alone: they
-are no sample of the labels, so they take no part in the loss. Scoring hashes every word of every text in
-the tasks that read it, without a shuffle, and looks up the few features kept.
+texts). Spark counts the documents of each feature and picks those that tell the
+labels apart; only these, for each sampled text, reach the driver. As few sampled
+texts may name a group, up to GROUP_SAMPLE labelled documents that do are added
+for the penalty alone: they are no sample of the labels, so they take no part in
+the loss. Scoring hashes every word of every text in the tasks that read it,
+without a shuffle, and looks up the few features kept.
 
 Defined results: null and empty texts have no features and the score of that; a
-text of any length is scored whole; ids in labels without a document and null
-labels are ignored; without labels of both classes every score is the share of
-toxic labels, or 0.5 without any; an empty table gives no rows.
+text of any length is scored whole; repeated rows have the same score each, and of
+labelled documents that share an id the least text is learned from; ids in labels
+without a document and null labels are ignored; without labels of both classes
+every score is the share of toxic labels, or 0.5 without any; an empty table gives
+no rows; columns other than doc_id and text do not matter.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -29,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import fold, labelled_sample, pieces, ship, spin
+from lumenframe.llm.common import discard, fold, labelled_sample, materialise, pieces, ship, spin
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
 #: Labelled documents of each class that are used for fitting.
 PER_CLASS = 2000
 #: Labelled documents that name a group, outside the held-out fold, which are added for the penalty.
 GROUP_SAMPLE = 300
+#: Terms of a kind that are set, one at a time, into a text that names no group.
+PLACED = 2
 #: Lengths of word beginnings that are features, in bytes.
 PREFIXES = (3, 4, 5, 6)
 #: Documents of the sample that must have a feature, standard errors by which its log odds must differ, and features kept.
@@ -53,30 +62,54 @@ IDENTITY_TERMS = {
     "colour": ["black", "white", "brown"],
     "age": ["young", "old", "elderly"],
     "ability": ["blind", "deaf", "disabled", "autistic"],
+    "gender, German": ["männer", "frauen"],
+    "believers, German": ["christen", "muslime", "juden", "buddhisten", "atheisten"],
+    "gender, French": ["hommes", "femmes"],
+    "believers, French": ["chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"],
+    "gender, Spanish": ["hombres", "mujeres"],
+    "believers, Spanish": ["cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"],
 }
 
 
-_KINDS = {t: (terms, k) for terms in IDENTITY_TERMS.values() for k, t in enumerate(terms)}
-#: Matches a term, in Python and in Spark.
-TERM_PATTERN = r"(?i)\b(" + "|".join(sorted(_KINDS, key=len, reverse=True)) + r")\b"
+def term_pattern(terms: dict[str, list[str]]) -> str:
+    """Matches a term, in Python and in Spark."""
+    return r"(?i)\b(" + "|".join(sorted({t for kind in terms.values() for t in kind}, key=lambda t: (-len(t), t))) + r")\b"
 
 
-def swap_identities(text: str, places: Iterable[int] | None = (1, 2)) -> list[str]:
+def swap_identities(text: str, places: Iterable[int] | None = (1, 2), terms: dict[str, list[str]] = IDENTITY_TERMS) -> list[str]:
     """The text with every identity term moved on by each of ``places`` among its kind; none if it names no group.
 
-    Without ``places`` by one, two ... up to the last of the largest kind named, so each term meets all others of its kind.
+    Without ``places`` by one, two ... up to the last of the largest kind named, so each term meets all others of its
+    kind. A term of several kinds is taken as of the first.
     """
-    named = {t.lower() for t in re.findall(TERM_PATTERN, text)}
+    pattern = term_pattern(terms)
+    kinds = {t: (kind, k) for kind in reversed(terms.values()) for k, t in enumerate(kind)}
+    named = {t.lower() for t in re.findall(pattern, text)}
     if not named:
         return []
     if places is None:
-        places = range(1, max(len(_KINDS[t][0]) for t in named))
+        places = range(1, max(len(kinds[t][0]) for t in named))
 
     def moved(match, by: int) -> str:
-        terms, k = _KINDS[match[0].lower()]
-        return terms[(k + by) % len(terms)]
+        kind, k = kinds[match[0].lower()]
+        return kind[(k + by) % len(kind)]
 
-    return [re.sub(TERM_PATTERN, lambda m, by=by: moved(m, by), text) for by in places]
+    return [re.sub(pattern, lambda m, by=by: moved(m, by), text) for by in places]
+
+
+def place_identities(text: str, many: int = PLACED, terms: dict[str, list[str]] = IDENTITY_TERMS) -> list[str]:
+    """The text with one of ``many`` terms of a kind set between two of its words; a hash of the text picks kind and place."""
+    pick = zlib.crc32(text.encode())
+    kind = list(terms.values())[pick % len(terms)]
+    gaps = [m.end() for m in re.finditer(r"(?<=\S)\s", text)] or [0]
+    at = gaps[(pick >> 8) % len(gaps)]
+    first = (pick >> 16) % len(kind)
+    return [f"{text[:at]}{kind[(first + k) % len(kind)]} {text[at:]}" for k in range(min(many, len(kind)))]
+
+
+def counterfactuals(text: str, terms: dict[str, list[str]] = IDENTITY_TERMS) -> list[str]:
+    """The text's versions with other groups named: swapped terms, or placed ones if it names none; none if it is empty."""
+    return swap_identities(text, None, terms) or (place_identities(text, PLACED, terms) if text.strip() else [])
 
 
 class Features:
@@ -131,12 +164,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _frequent(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """The sets without most of the features that too few documents have, by counts of hash buckets."""
-    counts, shift = np.zeros(1 << 22, np.int32), np.uint64(64 - 22)
-    for s in sets:
-        np.add.at(counts, (s >> shift).astype(np.int64), 1)
-    return [s[counts[(s >> shift).astype(np.int64)] >= LEAST_DOCUMENTS] for s in sets]
+def strongest(sets: list[np.ndarray], labels: np.ndarray, z: float = LEAST_STRENGTH, most: int = MOST_FEATURES) -> np.ndarray:
+    """The features whose log odds differ between the labels by ``z`` standard errors, the ``most`` strongest of them, sorted."""
+    everything, place = np.unique(np.concatenate(sets), return_inverse=True)
+    texts = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    odds, spread, many = [], 0.0, 0
+    for y in (0, 1):
+        found = np.bincount(place[labels[texts] == y], minlength=len(everything))
+        have, many = found + 0.5, many + found
+        lack = (labels == y).sum() + 1 - have
+        odds.append(np.log(have / lack))
+        spread = spread + 1 / have + 1 / lack
+    strength = np.where(many >= LEAST_DOCUMENTS, np.abs(odds[1] - odds[0]) / np.sqrt(spread), -1)
+    order = np.lexsort((everything.astype(np.int64), -strength))[:most]
+    return np.sort(everything[order[strength[order] >= z]])
 
 
 def train(
@@ -149,32 +190,18 @@ def train(
     most: int = MOST_FEATURES,
     ridge: float = RIDGE,
     rounds: int = 300,
+    kept: np.ndarray | None = None,
 ) -> ToxicityModel:
     """Minimise weighted log loss + ridge + penalty * mean squared change of the logit of swapped texts.
 
     ``swapped``: pairs of a text's index and the features of one of its swapped
-    versions. Texts with the label -1 and no weight serve the penalty only. Only features whose log odds differ between the classes by ``z``
-    standard errors are kept. Full-batch gradient steps with adaptive scaling (Adam).
+    versions. Texts with the label -1 and no weight serve the penalty only. The
+    features are ``kept``, sorted, or those that strongest() picks. Full-batch
+    gradient steps with adaptive scaling (Adam).
     """
-    fitted = np.flatnonzero(labels >= 0)
-    for i, s in zip(fitted, _frequent([sets[i] for i in fitted]), strict=True):
-        sets[i] = s
-    everything, counts = np.unique(np.concatenate([sets[i] for i in fitted]), return_counts=True)
-    kept = everything[counts >= LEAST_DOCUMENTS]
     n = len(sets)
-    texts = np.repeat(np.arange(n), [len(s) for s in sets])
-    columns = np.concatenate(sets)
-    place = np.minimum(np.searchsorted(kept, columns), len(kept) - 1)
-    inside = kept[place] == columns
-    odds, spread = [], 0.0
-    for y in (0, 1):
-        have = np.bincount(place[inside & (labels[texts] == y)], minlength=len(kept)) + 0.5
-        lack = (labels == y).sum() + 1 - have
-        odds.append(np.log(have / lack))
-        spread = spread + 1 / have + 1 / lack
-    strength = np.abs(odds[1] - odds[0]) / np.sqrt(spread)
-    order = np.argsort(-strength, kind="stable")[:most]
-    kept = np.sort(kept[order[strength[order] >= z]])
+    if kept is None:
+        kept = strongest([sets[i] for i in np.flatnonzero(labels >= 0)], labels[labels >= 0], z, most)
 
     def sparse(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -208,66 +235,111 @@ def train(
     return ToxicityModel(kept, w, float(bias))
 
 
-def group_sample(documents: DataFrame, labels: DataFrame, modulus: int, held_out: int) -> DataFrame:
+def group_sample(documents: DataFrame, labels: DataFrame, modulus: int, held_out: int, terms: dict[str, list[str]] = IDENTITY_TERMS) -> DataFrame:
     """(doc_id, text, label -1) of at most GROUP_SAMPLE labelled documents outside the held-out fold that name a group, by a hash of the id."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), modulus) != held_out)
-    named = documents.where(F.col("text").rlike(TERM_PATTERN)).select("doc_id").join(known.select("doc_id"), "doc_id", "left_semi")
+    named = documents.where(F.col("text").rlike(term_pattern(terms))).select("doc_id").join(known.select("doc_id"), "doc_id", "left_semi")
     picked = named.distinct().orderBy(spin(F.col("doc_id")), "doc_id").limit(GROUP_SAMPLE)
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("label", F.lit(-1))
+    found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("label", F.lit(-1))
 
 
-def toxicity_model(
-    documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS
-) -> ToxicityModel:
-    """The model of ``labels.toxic`` from documents outside the held-out fold."""
-    features = Features()
+def _feature_rows(sample: DataFrame, features: Features, terms: dict[str, list[str]], kept: np.ndarray | None) -> DataFrame:
+    """(doc_id, label, version, features) of the sampled texts: all of the texts' own, or those of ``kept`` of texts and their versions."""
+    schema = T.StructType(
+        [sample.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("features", T.ArrayType(T.LongType()))]
+    )
 
     def describe(batches):
         import pyarrow as pa
 
-        for batch in pieces(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows = {"doc_id": [], "label": [], "swapped": [], "features": []}
-            for k, s in enumerate(features.sets(pa.array(texts, pa.string()))):
-                versions = swap_identities(texts[k], None)
-                for swapped, f in enumerate([s, *(features.sets(pa.array(versions, pa.string())) if versions else [])]):
-                    rows["doc_id"].append(batch.column("doc_id")[k].as_py())
-                    rows["label"].append(batch.column("label")[k].as_py())
-                    rows["swapped"].append(swapped)
-                    rows["features"].append(f.tobytes())
-            yield pa.RecordBatch.from_pydict(
-                rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("swapped", pa.int32()), ("features", pa.binary())])
+        for batch in pieces(batches, 50):
+            texts, at, version = [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                every = [text or ""] if kept is None else [text or "", *counterfactuals(text or "", terms)]
+                texts += every
+                at += [k] * len(every)
+                version += range(len(every))
+            sets = features.sets(pa.array(texts, pa.string()))
+            if kept is not None:
+                sets = [s[np.isin(s, kept)] for s in sets]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(place),
+                    batch.column("label").take(place).cast(pa.int32()),
+                    pa.array(version, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                ],
+                schema.names,
             )
 
-    sample, shares = labelled_sample(documents, labels, "toxic", modulus, held_out, per_class)
+    return sample.select("doc_id", "text", "label").mapInArrow(describe, schema)
+
+
+def _strongest(rows: DataFrame, many: dict[int, int]) -> np.ndarray:
+    """strongest() by Spark, from the rows of _feature_rows() and the number of texts of each label."""
+    counts = rows.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(*[F.count_if(F.col("label") == y).alias(f"n{y}") for y in (0, 1)])
+    have = [F.col(f"n{y}") + 0.5 for y in (0, 1)]
+    lack = [F.lit(many.get(y, 0) + 1) - have[y] for y in (0, 1)]
+    strength = F.abs(F.log(have[1] / lack[1]) - F.log(have[0] / lack[0])) / F.sqrt(1 / have[0] + 1 / lack[0] + 1 / have[1] + 1 / lack[1])
+    strong = counts.where(F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS).select("feature", strength.alias("strength")).where(F.col("strength") >= LEAST_STRENGTH)
+    best = strong.orderBy(F.desc("strength"), "feature").limit(MOST_FEATURES).collect()
+    return np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
 
-    def described(sample: DataFrame) -> list[tuple[int, int, int, np.ndarray]]:
-        rows = sample.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long"), "text", "label")
-        rows = rows.mapInArrow(describe, "doc_id long, label int, swapped int, features binary").collect()
-        return [(r.doc_id, r.label, r.swapped, np.frombuffer(r.features, np.uint64)) for r in rows]
 
-    rows = described(sample)
-    seen = {r[0] for r in rows}
-    return fit_toxicity(rows + [r for r in described(group_sample(documents, labels, modulus, held_out)) if r[0] not in seen], shares)
+def toxicity_model(
+    documents: DataFrame,
+    labels: DataFrame,
+    modulus: int = 3,
+    held_out: int = 1,
+    per_class: int = PER_CLASS,
+    terms: dict[str, list[str]] = IDENTITY_TERMS,
+    penalty: float = PENALTY,
+) -> ToxicityModel:
+    """The model of ``labels.toxic`` from documents outside the held-out fold.
 
+    ``terms`` names groups by kind, in whatever languages the texts have.
+    """
+    import pyarrow as pa
 
-def fit_toxicity(rows: list[tuple[int, int, int, np.ndarray]], shares: dict[int, int], penalty: float = PENALTY) -> ToxicityModel:
-    """Fit on (id, label, version, features), version 0 being the text itself.
+    features = Features()
+    drawn, shares = labelled_sample(documents, labels, "toxic", modulus, held_out, per_class)
+    sample = materialise(drawn, "toxic-sample")
+    many = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    kept = _strongest(_feature_rows(sample, features, terms, None), many)
+    # the terms' own features have weights too, for texts that name groups
+    named = features.sets(pa.array([" ".join(t for kind in terms.values() for t in kind)], pa.string()))[0]
+    kept = np.unique(np.concatenate([kept, named]))
+    groups = group_sample(documents, labels, modulus, held_out, terms).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
+    found = _feature_rows(sample.unionByName(groups), features, terms, kept).collect()
+    discard(sample)
+    rows = [(r.doc_id, r.label, r.version, np.array(r.features, np.int64).view(np.uint64)) for r in found]
+    return fit_toxicity(rows, shares, penalty, kept)
+
+
+def fit_toxicity(
+    rows: list[tuple[object, int, int, np.ndarray]], shares: dict[int, int], penalty: float = PENALTY, kept: np.ndarray | None = None
+) -> ToxicityModel:
+    """Fit on (id, label, version, features), version 0 being the text itself; ``kept`` are the features used, if already picked.
 
-    ``shares`` are the labels' counts outside the held-out fold before sampling.
-    Rows with the label -1 take part in the penalty, not in the loss.
+    ``shares`` are the labels' counts outside the held-out fold before sampling, for
+    the score where one class is missing. Rows with the label -1 take part in the penalty, not in the loss.
     """
     rows = sorted(rows, key=lambda r: (r[0], r[2]))
     own = [r for r in rows if r[2] == 0]
     labels = np.array([r[1] for r in own], float)
-    if len(set(labels.tolist()) - {-1}) < 2 or not sum(len(r[3]) for r in own if r[1] >= 0):
+    if len(set(labels.tolist()) - {-1}) < 2 or (kept is None and not sum(len(r[3]) for r in own if r[1] >= 0)):
         share = (shares.get(1, 0) + 0.5) / (shares.get(0, 0) + shares.get(1, 0) + 1)
         return ToxicityModel(intercept=float(np.log(share / (1 - share))))
     index = {r[0]: k for k, r in enumerate(own)}
     swapped = [(index[r[0]], r[3]) for r in rows if r[2] > 0]
-    weight = np.where(labels == 1, shares.get(1, 1) / (labels == 1).sum(), shares.get(0, 1) / (labels == 0).sum())
+    # both classes weigh alike, so rare toxic texts aren't missed for the many others
+    weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     weight = np.where(labels < 0, 0.0, weight)
-    return train([r[3] for r in own], labels, weight, swapped, penalty)
+    return train([r[3] for r in own], labels, weight, swapped, penalty, kept=kept)
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -98,14 +98,51 @@ def test_rare_mentions_reach_the_penalty(spark, monkeypatch):
     docs = [(k, " ".join(words(rng, 20, "bdkrtz") + ["muslim"] * (k % 100 == 7))) for k in range(600)]
     docs = spark.createDataFrame([*docs, (9001, "a muslim without a label")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int")
-    monkeypatch.setattr(toxicity, "train", lambda sets, y, weight, swapped, penalty: seen.append((sets, y, weight, swapped)))
+    monkeypatch.setattr(toxicity, "train", lambda sets, y, weight, swapped, penalty, kept: seen.append((sets, y, weight, swapped)))
     toxicity.toxicity_model(docs, labels, 3, 1, per_class=5)
     (sets, y, weight, swapped), = seen
     outside = docs.where(fold(F.col("doc_id"), 3) != 1).where("doc_id % 100 = 7").count()
-    assert outside and len(swapped) == 5 * outside and len({i for i, _ in swapped}) == outside
+    named = [i for i in {i for i, _ in swapped} if sum(k == i for k, _ in swapped) == 5]  # the others have placed terms
+    assert outside and len(named) == outside and len(swapped) == 5 * outside + 2 * (len(sets) - outside)
     assert (y >= 0).sum() == 10 and (weight[y < 0] == 0).all() and (weight[y >= 0] > 0).all()
 
 
+def test_placed_terms_leave_the_rest_of_the_text():
+    terms = {t for kind in toxicity.IDENTITY_TERMS.values() for t in kind}
+    for text in ("one", "one two three", " a  b\nc ", "été où"):
+        versions = toxicity.counterfactuals(text)
+        assert len(versions) == toxicity.PLACED and versions == toxicity.counterfactuals(text)
+        for v in versions:
+            added = [w for w in v.split() if w not in text.split()]
+            assert len(added) == 1 and added[0] in terms and [w for w in v.split() if w in text.split()] == text.split()
+    assert toxicity.counterfactuals("") == toxicity.counterfactuals(" \n") == []
+
+
+def test_penalty_acts_on_the_real_table(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    pairs, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: pairs.append(len(a[3])) or train(*a, **k))
+    plain, fair = (toxicity.toxicity_model(docs, labels, penalty=x) for x in (0.0, toxicity.PENALTY))
+    print("counterfactual pairs:", pairs)
+    assert min(pairs) > 100 and (plain.features == fair.features).all()
+    assert np.abs(plain.weights - fair.weights).max() > 0.01
+    # a term that begins like an insult moves the penalised score less
+    features, terms = toxicity.Features(), sorted({t for kind in toxicity.IDENTITY_TERMS.values() for t in kind})
+    sets = [s[np.isin(s, fair.features)] for s in features.sets(pa.array(terms))]
+    moved = [max(abs(m.weights[np.searchsorted(m.features, s)].sum()) for s in sets) for m in (plain, fair)]
+    assert moved[1] < moved[0]
+
+
+def test_features_picked_by_spark_are_those_of_numpy(spark):
+    rng = random.Random(3)
+    docs = [(k, " ".join(words(rng, 15, "bdrt") + ["zorg"] * (k % 3 == 0) + ["fine"] * (k % 2))) for k in range(200)]
+    sample = spark.createDataFrame([(k, t, int(k % 3 == 0)) for k, t in docs], "doc_id long, text string, label int")
+    rows = toxicity._feature_rows(sample, toxicity.Features(), toxicity.IDENTITY_TERMS, None)
+    got = toxicity._strongest(rows, {0: 133, 1: 67})
+    sets = toxicity.Features().sets(pa.array([t for _, t in docs]))
+    assert len(got) and (got == toxicity.strongest(sets, np.array([k % 3 == 0 for k, _ in docs], float))).all()
+
+
 def test_counterfactuals_lower_scores_of_neutral_mentions():
     rng = random.Random(1)
     features = toxicity.Features()
