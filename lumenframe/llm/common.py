@@ -94,6 +94,13 @@ def intermediates() -> Iterator[Callable[[DataFrame], DataFrame]]:
         _SCOPES[-1].extend(df for df in made if df.lumenframe_path in kept)
 
 
+def open_store(uri: str) -> tuple[Any, str]:
+    """The file system of a URI and the path in it; for tasks that write or read files of their own format."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!//)", "file:///", uri))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

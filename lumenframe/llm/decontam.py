@@ -1,43 +1,49 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items.
 
-The automaton of all items' words is built once and broadcast. Documents stream
-through it in parallel: after each word its state gives the longest run of words,
-ending there, that occurs in some item. Runs of at least ``window`` words cover
-hit words and name the items; an item with fewer words is a window of its own.
-The word pairs of the items are kept in a bit table; only stretches of a document
-whose neighbours are all such pairs can hold a window, so the rest isn't walked.
-
-Items are cut into blocks of bounded size, each with an automaton of its own. The
-driver builds all of them and each task loads all, so memory grows with the
-benchmark, and may run out well below MOST_BENCHMARK_BYTES.
-
-Defined results: null and empty texts have no words; an item without words is
-ignored, and one with a null id too; items that share an id count as one item
-with the windows of all; a document row that repeats gets a
-row each; empty tables give no rows, or no hits; other columns do no harm.
+Documents stream through the automaton in parallel: after each word its state
+gives the longest run of words, ending there, that occurs in some item. Runs of at
+least ``window`` words cover hit words and name the items; an item with fewer
+words is a window of its own.
+
+Items are dealt to blocks of bounded size. Tasks build the automaton of each block
+and store it in the shared folder; every task that reads documents has only the
+hashes of all windows, eight bytes and a block's number for each, and a bit table
+of word pairs. Stretches of a document whose neighbours are all such pairs are
+looked up among the windows, and only the automata of blocks that hold one of
+theirs are loaded and walked, at most KEPT_BLOCKS at a time. So a task's memory
+grows with the benchmark by twelve bytes a word, and the driver's likewise.
+
+Defined results: null and empty texts have no words; texts of any length are read
+whole; an item without words is ignored, and one with a null id too; items that
+share an id count as one item with the windows of all; a document row that repeats
+gets a row each; empty tables give no rows, or no hits; other columns do no harm.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import pieces, ship
+from lumenframe.llm.common import new_path, open_store, pieces, ship
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
 #: Words of the longest window.
 WINDOW = 13
-#: Words of items in one automaton; about 200 bytes each in a task.
-BLOCK_WORDS = 200_000
+#: Bytes of items in one block, whose automaton takes some 60 MB in a task; automata a task keeps; words after which an item is cut.
+BLOCK_BYTES, KEPT_BLOCKS, PART_WORDS = 256 << 10, 2, 20_000
 #: Bits of the word-pair table.
 PAIR_BITS = 22
-#: Bytes of benchmark text that the driver accepts: test sets are published by hand and small.
-MOST_BENCHMARK_BYTES = 256 << 20
+#: Bytes of benchmark text that are accepted, some 130 MB of window hashes: test sets are published by hand and small.
+MOST_BENCHMARK_BYTES = 64 << 20
 
 
 class SuffixAutomaton:
@@ -131,58 +137,114 @@ class SuffixAutomaton:
         return ((n, x) for n, x in self.short_items.get(state, ()) if n <= size)
 
 
-class Detector:
-    """Automata of blocks of items, with the table of word pairs that all share."""
+@dataclass
+class Block:
+    """What documents are looked up by before a block's automaton is: hashes of windows and word pairs, single words, lengths of windows."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        import pyarrow as pa
+    windows: np.ndarray
+    pairs: np.ndarray
+    single: np.ndarray
+    lengths: np.ndarray
 
-        self.window, self.scanner = window, WordScanner("alnum")
-        named = sorted(set(items), key=str)
-        words, _, first = self.scanner.scan(*text_buffers(pa.array([t for _, t in named], pa.string())))
-        sequences = [(name, words[a:b].tolist()) for (name, _), a, b in zip(named, first[:-1], first[1:], strict=True) if b > a]
-        self.shortest = min([window, *(len(w) for _, w in sequences)])
-        pairs = np.concatenate([_pair_hashes(np.array(w, np.uint64)) for _, w in sequences] or [np.zeros(0, np.int64)])
-        self.pairs = np.zeros(1 << PAIR_BITS, bool)
-        self.pairs[pairs] = True
-        self.single = {w[0] for _, w in sequences if len(w) == 1}
-        self.automata, block, size = [], [], 0
-        for name, w in sequences:
-            block.append((name, w))
-            size += len(w)
-            if size >= BLOCK_WORDS:
-                self.automata.append(SuffixAutomaton(block, window))
-                block, size = [], 0
-        if block:
-            self.automata.append(SuffixAutomaton(block, window))
+    @classmethod
+    def of(cls, items: list[tuple[str, np.ndarray]], window: int) -> Block:
+        hashes, pairs, single, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], set()
+        for _, words in items:
+            n = min(window, len(words))
+            if n:
+                lengths.add(n)
+                hashes.append(next(h for k, h in window_hashes(words, n) if k == n))
+                pairs.append(_pair_hashes(words))
+                single += words[:1].tolist() if n == 1 else []
+        return cls(np.unique(np.concatenate(hashes)), np.unique(np.concatenate(pairs)), np.array(single, np.uint64), np.array(sorted(lengths), np.int64))
 
-    def inspect(self, column) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
-        """For each text its number of words, the spans of hit words, merged, and the items found."""
-        words, _, first = self.scanner.scan(*text_buffers(column))
-        known = self.pairs[_pair_hashes(words)]
-        # stretches of words joined by known pairs, within a text
+
+def window_hashes(words: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length up to ``most`` the hashes of all windows of so many words."""
+    odd = mix(np.arange(1, most + 1, dtype=np.uint64)) | np.uint64(1)
+    total = np.zeros(len(words), np.uint64)
+    for n in range(1, min(most, len(words)) + 1):
+        total = total[: len(words) - n + 1] + words[n - 1 :] * odd[n - 1]
+        yield n, mix(total + np.uint64(n))
+
+
+@dataclass
+class Detector:
+    """The windows of all blocks with their blocks, and where each block's automaton is stored."""
+
+    stored: list
+    blocks: list[Block]
+    window: int = WINDOW
+    loaded: OrderedDict = field(default_factory=OrderedDict)
+
+    def __post_init__(self):
+        self.scanner = WordScanner("alnum")
+        many = [len(b.windows) for b in self.blocks]
+        windows = np.concatenate([np.zeros(0, np.uint64), *[b.windows for b in self.blocks]])
+        order = np.argsort(windows, kind="stable")
+        self.windows, self.holder = windows[order], np.repeat(np.arange(len(many), dtype=np.int32), many)[order]
+        self.pairs = np.zeros(1 << PAIR_BITS, bool)
+        for b in self.blocks:
+            self.pairs[b.pairs] = True
+        self.single = np.unique(np.concatenate([np.zeros(0, np.uint64), *[b.single for b in self.blocks]]))
+        self.lengths = sorted({int(n) for b in self.blocks for n in b.lengths})
+        self.blocks = []
+
+    def automaton(self, block: int) -> SuffixAutomaton:
+        """A block's automaton, loaded if it isn't one of those used last."""
+        if not isinstance(self.stored[block], str):
+            return self.stored[block]
+        if block not in self.loaded:
+            while len(self.loaded) >= KEPT_BLOCKS:
+                self.loaded.popitem(last=False)
+            system, path = open_store(self.stored[block])
+            with system.open_input_file(path) as file:
+                self.loaded[block] = cloudpickle.loads(file.read())
+        self.loaded.move_to_end(block)
+        return self.loaded[block]
+
+    def _stretches(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of runs of words within a text that known pairs join and that may hold a window."""
         joined = np.zeros(len(words) + 1, bool)
-        joined[1:-1] = known
+        joined[1:-1] = self.pairs[_pair_hashes(words)]
         joined[first[:-1]] = False
         starts = np.flatnonzero(~joined[:-1])
         sizes = np.diff(np.append(starts, len(words)))
-        if self.single:
-            long = (sizes >= self.shortest) & ((sizes > 1) | np.isin(words[starts], np.array(list(self.single), np.uint64)))
-        else:
-            long = sizes >= self.shortest
-        starts, sizes = starts[long], sizes[long]
+        long = sizes >= (self.lengths or [1])[0]
+        if len(self.single):
+            long &= (sizes > 1) | np.isin(words[starts], self.single)
+        return starts[long], sizes[long]
+
+    def _holders(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+        """(block, stretch) for blocks with a window that the stretch holds."""
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        stretch = np.repeat(np.arange(len(sizes)), sizes)
+        flat = words[np.arange(before[-1]) - before[stretch] + starts[stretch]]
+        found = [np.zeros((0, 2), np.int64)]
+        for n, hashes in window_hashes(flat, self.lengths[-1]):
+            if n not in self.lengths:
+                continue
+            at = np.flatnonzero(np.arange(len(hashes)) + n <= before[stretch[: len(hashes)] + 1])
+            low, high = (np.searchsorted(self.windows, hashes[at], side) for side in ("left", "right"))
+            many = high - low
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+            found.append(np.unique(np.column_stack([self.holder[place], np.repeat(stretch[at], many)]), axis=0))
+        return list(map(tuple, np.unique(np.concatenate(found), axis=0).tolist()))
+
+    def inspect(self, column) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
+        """For each text its number of words, the spans of hit words, merged, and the items found."""
+        words, _, first = self.scanner.scan(*text_buffers(column))
+        spans: dict[int, list[tuple[int, int]]] = {}
+        names: dict[int, set[str]] = {}
+        starts, sizes = self._stretches(words, first)
         of = np.searchsorted(first, starts, "right") - 1
-        at = np.searchsorted(of, np.arange(len(first)))
+        for block, k in self._holders(words, starts, sizes) if len(starts) and self.lengths else ():
+            automaton, doc, found = self.automaton(block), int(of[k]), set()
+            piece = words[starts[k] : starts[k] + sizes[k]].tolist()
+            automaton.walk(piece, spans.setdefault(doc, []), found, int(starts[k] - first[doc]))
+            names.setdefault(doc, set()).update(automaton.names[x] for x in found)
         for doc in range(len(first) - 1):
-            spans: list[tuple[int, int]] = []
-            names: set[str] = set()
-            for k in range(at[doc], at[doc + 1]):
-                piece = words[starts[k] : starts[k] + sizes[k]].tolist()
-                for automaton in self.automata:
-                    found: set[int] = set()
-                    automaton.walk(piece, spans, found, int(starts[k] - first[doc]))
-                    names |= {automaton.names[x] for x in found}
-            yield int(first[doc + 1] - first[doc]), _merged(spans), sorted(names)
+            yield int(first[doc + 1] - first[doc]), _merged(spans.get(doc, [])), sorted(names.get(doc, ()))
 
 
 def _pair_hashes(words: np.ndarray) -> np.ndarray:
@@ -202,18 +264,67 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_items(benchmark: DataFrame) -> list[tuple[str, str | None]]:
-    """The items on the driver, after a check that they are as small as test sets are."""
+def item_parts(items, scanner: WordScanner, window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, words) of the items with words; long ones are cut into parts that share all but one word of a window."""
+    words, _, first = scanner.scan(*text_buffers(items))
+    for row, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        for at in range(a, max(a + 1, b - window + 1), PART_WORDS) if b > a else ():
+            yield row, words[at : min(b, at + PART_WORDS + window - 1)]
+
+
+def local_detector(items: list[tuple[str, str | None]], window: int = WINDOW) -> Detector:
+    """A detector of few items whose automaton isn't stored."""
+    import pyarrow as pa
+
+    parts = [(items[row][0], w) for row, w in item_parts(pa.array([t for _, t in items], pa.string()), WordScanner("alnum"), window)]
+    return Detector([SuffixAutomaton([(name, w.tolist()) for name, w in parts], window)], [Block.of(parts, window)], window)
+
+
+def benchmark_detector(benchmark: DataFrame, window: int = WINDOW) -> Detector:
+    """The detector of a benchmark: tasks build and store the blocks' automata, the driver gets hashes of windows."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > MOST_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; pass parts of at most {MOST_BENCHMARK_BYTES}")
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
-    return [tuple(r) for r in rows.collect()]
+    folder = new_path(benchmark.sparkSession, "suffix-automata")
+    many = max(1, -(-size // BLOCK_BYTES))
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").distinct()
+
+    def cut(batches):
+        import pyarrow as pa
+
+        scanner = WordScanner("alnum")
+        for batch in pieces(batches):
+            rows = list(item_parts(batch.column("text"), scanner, window))
+            ids = batch.column("item_id").take(pa.array([r for r, _ in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([w.tobytes() for _, w in rows], pa.binary())], ["item", "words"])
+
+    parts = items.mapInArrow(cut, "item string, words binary")
+    parts = parts.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(many)).cast("int"))
+
+    def build(key, table):
+        import pyarrow as pa
+
+        rows = sorted(zip(table.column("item").to_pylist(), table.column("words").to_pylist(), strict=True))
+        held = [(name, np.frombuffer(w, np.uint64)) for name, w in rows]
+        automaton = SuffixAutomaton([(name, w.tolist()) for name, w in held], window)
+        system, root = open_store(folder)
+        system.create_dir(root, recursive=True)
+        name = uuid.uuid4().hex  # of this attempt
+        with system.open_output_stream(f"{root}/{name}") as file:
+            file.write(cloudpickle.dumps(automaton))
+        block = Block.of(held, window)
+        values = [[f"{folder}/{name}"], *[[getattr(block, c).tobytes()] for c in ("windows", "pairs", "single", "lengths")]]
+        return pa.table([pa.array(values[0]), *[pa.array(v, pa.binary()) for v in values[1:]]], names=["path", "windows", "pairs", "single", "lengths"])
+
+    built = parts.groupBy("block").applyInArrow(build, "path string, windows binary, pairs binary, single binary, lengths binary").collect()
+    kinds = {"windows": np.uint64, "pairs": np.int64, "single": np.uint64, "lengths": np.int64}
+    blocks = [Block(**{c: np.frombuffer(r[c], kind) for c, kind in kinds.items()}) for r in built]
+    return Detector([r.path for r in built], blocks, window)
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, spans of hit words (from, to) and the ids of items found; no shuffle."""
-    detector = ship(documents.sparkSession, Detector(benchmark_items(benchmark), window))
+    detector = ship(documents.sparkSession, benchmark_detector(benchmark, window))
     span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
     schema = T.StructType(
         [
@@ -290,7 +401,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
     that stay; without it those texts are unchanged. Rows are judged where they
     lie: the table isn't joined to its verdicts, so rows that repeat an id do no harm.
     """
-    detector = ship(documents.sparkSession, Detector(benchmark_items(benchmark), window))
+    detector = ship(documents.sparkSession, benchmark_detector(benchmark, window))
 
     columns = documents.columns
 

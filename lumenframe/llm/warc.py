@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import MOST_BROADCAST, materialise, new_path, pieces
+from lumenframe.llm.common import MOST_BROADCAST, materialise, new_path, open_store, pieces
 
 MAGIC = b"WARC/1.0\r\n"
 #: Bytes that one reading task looks at, and those that are read first of a record's header.
@@ -40,15 +40,6 @@ MOST_TASKS = 20_000
 PIECE = 1 << 20
 
 
-def _open(uri: str):
-    """The file system of a URI and the path in it."""
-    import re
-
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!//)", "file:///", uri))
-
-
 def with_originals(pages: DataFrame, least_revisit: int) -> DataFrame:
     """Pages as (page_id, url, html, digest, original), where original is null for a response.
 
@@ -81,7 +72,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 100) -> D
     def write(batches):
         import pyarrow as pa
 
-        system, root = _open(folder)
+        system, root = open_store(folder)
         system.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.warc"
         size, out = 0, None
@@ -230,7 +221,7 @@ def candidates(manifest: DataFrame, block: int = BLOCK) -> DataFrame:
 
         for batch in pieces(batches):
             for row in batch.to_pylist():
-                system, path = _open(row["path"])
+                system, path = open_store(row["path"])
                 start, size = row["block"] * block, row["bytes"]
                 stop = min(size, start + block)
                 found = []

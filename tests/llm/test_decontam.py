@@ -57,14 +57,22 @@ def test_report_matches_window_search(spark):
         assert sorted(r.doc_id for r in kept.collect()) == want
 
 
-def test_blocks_of_items_give_the_same(monkeypatch):
+def test_blocks_and_parts_of_items_give_the_same(spark, monkeypatch):
     import pyarrow as pa
 
     items, texts = case(0)
-    named = [(str(k), t) for k, t in items]
-    whole = list(decontam.Detector(named).inspect(pa.array(texts, pa.string())))
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 20)
-    assert list(decontam.Detector(named).inspect(pa.array(texts, pa.string()))) == whole
+    long = [f"z{k}" for k in range(200)]
+    items.append((40, " ".join(long)))
+    texts += [" ".join(long[90:140]), " ".join(long)]
+    column = pa.array(texts, pa.string())
+    whole = list(decontam.local_detector([(str(k), t) for k, t in items]).inspect(column))
+    assert [(n, sum(b - a for a, b in spans), names) for n, spans, names in whole] == [brute(t, items) for t in texts]
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontam, "PART_WORDS", 30)
+    detector = decontam.benchmark_detector(spark.createDataFrame(items, "item_id int, text string"))
+    assert len(detector.stored) > 5
+    assert list(detector.inspect(column)) == whole
+    assert len(detector.loaded) == decontam.KEPT_BLOCKS
 
 
 def test_long_spans_are_cut(spark):
