@@ -12,7 +12,9 @@ texts). Scoring compresses every block of every text in the tasks that read it,
 without a shuffle.
 
 Defined results: null and empty texts have a difference of 0 and the score of
-that; ids in labels without a document are ignored; null labels too; without
+that; texts of any length are compressed whole, block by block; rows that repeat
+have the same score each, and of labelled documents that share an id the least
+text is learned from; ids in labels without a document are ignored; null labels too; without
 labelled texts of both classes every score is the share of good labels, or 0.5
 without any; an empty table gives no rows; other columns do not matter.
 """
@@ -31,8 +33,8 @@ from lumenframe.llm.common import labelled_sample, pieces, ship
 PER_CLASS = 3000
 #: Bytes that are compressed on their own, the compression level, and bytes of a dictionary.
 BLOCK, LEVEL, DICTIONARY = 1024, 3, 112_640
-#: Blocks that a dictionary is trained on, evenly taken from all.
-TRAINING_BLOCKS = 8000
+#: Bytes of the smallest dictionary that is tried, where there is too little text to train a larger one.
+LEAST_DICTIONARY = 256
 
 
 def blocks_of(text: bytes) -> list[bytes]:
@@ -40,15 +42,19 @@ def blocks_of(text: bytes) -> list[bytes]:
 
 
 def build_dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; the texts themselves where there is too little to train on."""
+    """A dictionary trained on all blocks, of half the size as often as they are too few for more.
+
+    Where even LEAST_DICTIONARY bytes can't be trained, on a handful of blocks, these are the dictionary.
+    """
     import zstandard
 
-    blocks = [b for t in texts for b in blocks_of(t)]
-    blocks = blocks[:: -(-len(blocks) // TRAINING_BLOCKS)] if blocks else []
-    try:
-        return zstandard.train_dictionary(DICTIONARY, blocks, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(blocks)[:DICTIONARY]
+    blocks, size = [b for t in texts for b in blocks_of(t)], DICTIONARY
+    while size >= LEAST_DICTIONARY:
+        try:
+            return zstandard.train_dictionary(size, blocks, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(blocks)
 
 
 @dataclass
