@@ -9,11 +9,12 @@ weighted by their bytes.
 For scoring, embedding and filters fold into lookup tables over symbols and
 pairs of symbols, so a response is a sum of a few table rows.
 
-Fitting uses a bounded sample: ``PER_LANGUAGE`` labelled documents of each
-language and a few windows of each. Defined results: a null text, or one without
+Fitting uses a bounded sample: all windows of ``PER_LANGUAGE`` labelled documents
+of each language, in small batches. Defined results: a null text, or one without
 a letter, is ``und`` with score 1; without labelled documents every text is
-``und`` with score 0; texts of any length are read whole; an empty table gives
-no rows.
+``und`` with score 0; texts of any length are read whole; rows that repeat have
+the same result each and are learned from once; of languages that score the same
+the first by code point is taken; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from lumenframe.llm.textscan import text_buffers
 #: Bytes of a window, symbols, width of an embedding, filters of each width, and the widths.
 WINDOW, SYMBOLS, EMBEDDING, FILTERS = 128, 64, 8, 16
 WIDTHS = (2, 3, 4)
-#: Labelled documents of each language, windows of each, and the most languages, which bound the sample.
-PER_LANGUAGE, WINDOWS, MOST_LANGUAGES = 1000, 3, 300
+#: Labelled documents of each language and the most languages, which bound the sample; passes over it.
+PER_LANGUAGE, MOST_LANGUAGES, EPOCHS = 500, 300, 4
 #: Windows that are scored at a time.
 BATCH = 1024
 UNDETERMINED = "und"
@@ -107,7 +108,7 @@ class Network:
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 6, seed: int = 1) -> Network:
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 1) -> Network:
     """Train by Adam on windows of symbols; classes weigh alike."""
     rng = np.random.default_rng(seed)
     n = len(languages)
@@ -121,7 +122,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
         for chosen in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 64)):
-            x, y = windows[chosen], labels[chosen]
+            x, y = windows[chosen].astype(np.int64), labels[chosen]
             embedded = p["e"][x]
             seen, pooled, tops = [], [], []
             for w in WIDTHS:
@@ -164,31 +165,24 @@ def _learnable(documents: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 
 def _sampled_windows(documents: DataFrame, modulus: int, held_out: int) -> DataFrame:
-    """Rows (lang, doc_id, place, window): windows at places that a hash of the id sets."""
+    """Rows (lang, windows): all windows of each sampled document; ids are drawn by a hash."""
     known = _learnable(documents, modulus, held_out)
     # A hash threshold from each language's count leaves a few thousand ids of any language before they are ranked.
     counts = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("many")))
     few = known.select("doc_id", "lang", spin(F.col("doc_id")).alias("spin")).join(counts, "lang").where(F.col("spin") * F.col("many") < 4 * PER_LANGUAGE)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("spin", "doc_id"))
-    ids = few.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id", "lang")
-    picked = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    ids = few.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
+    picked = documents.where("text is not null").select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
 
     def pick(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("lang", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64()), ("window", pa.binary())])
         for batch in pieces(batches):
             data, at = text_buffers(batch.column("text"))
-            rows = {name: [] for name in schema.names}
-            for k, (lang, doc) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
-                windows = cut(data[at[k] : at[k + 1]])
-                for place in np.unique(np.random.default_rng(doc & 0xFFFFFFFF).integers(0, max(1, len(windows)), WINDOWS)):
-                    if place < len(windows):
-                        for name, value in zip(schema.names, (lang, doc, int(place), windows[place].tobytes()), strict=True):
-                            rows[name].append(value)
-            yield pa.RecordBatch.from_pydict(rows, schema)
+            windows = [cut(data[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(windows, pa.binary())], ["lang", "windows"])
 
-    return picked.select("lang", F.col("doc_id").cast("long"), "text").mapInArrow(pick, "lang string, doc_id long, place long, window binary")
+    return picked.select("lang", "text").mapInArrow(pick, "lang string, windows binary")
 
 
 def language_model(documents: DataFrame, modulus: int = 4, held_out: int = 2) -> Network | None:
@@ -196,12 +190,13 @@ def language_model(documents: DataFrame, modulus: int = 4, held_out: int = 2) ->
     many = _learnable(documents, modulus, held_out).select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if many > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows = sorted(set(map(tuple, _sampled_windows(documents, modulus, held_out).collect())))
+    rows = sorted({(r.lang, bytes(r.windows)) for r in _sampled_windows(documents, modulus, held_out).collect() if r.windows})
     if not rows:
         return None
-    languages = sorted({r[0] for r in rows})
-    windows = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), WINDOW).astype(np.int64)
-    return train(windows, np.array([languages.index(r[0]) for r in rows]), languages)
+    languages = sorted({lang for lang, _ in rows})
+    windows = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
+    labels = np.repeat([languages.index(lang) for lang, _ in rows], [len(w) // WINDOW for _, w in rows])
+    return train(windows, labels, languages)
 
 
 def identify(texts, network: Network | None) -> tuple[list[str], list[float]]:

@@ -2,6 +2,7 @@
 
 import pickle
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +181,43 @@ def test_quality_generalises_and_covers_edges(corpus):
     assert {r.score for r in quality_zstd.score_quality(docs, none).collect()} == {0.5}
 
 
+def test_measures_are_those_of_plain_compression():
+    import zstandard
+
+    rng = random.Random(2)
+    good, bad = [[" ".join(words(rng, 80, x)).encode() for _ in range(60)] for x in ("abdeilmno", "#$%&xyz")]
+    model = quality_zstd.QualityModel(quality_zstd.build_dictionary(good), quality_zstd.build_dictionary(bad), (0.0,))
+    texts = [b"", b"a", good[0], bad[0], b"".join(good), b"ab" * 3000]
+    for text, (difference, packed) in zip(texts, model.measures(texts), strict=True):
+        size = []
+        for data in (model.good, model.bad):
+            dictionary = zstandard.ZstdCompressionDict(data)
+            pack = zstandard.ZstdCompressor(level=quality_zstd.LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
+            size.append(sum(len(pack.compress(text[i : i + quality_zstd.BLOCK])) for i in range(0, len(text), quality_zstd.BLOCK)))
+        if not text:
+            assert (difference, packed) == (0, 0)
+            continue
+        assert difference == (size[1] - size[0]) / sum(size) and abs(packed - np.log(sum(size) / 2 / len(text))) < 1e-12
+    assert model.measures([good[1]])[0, 0] > 0 > model.measures([bad[1]])[0, 0]
+
+
+def test_dictionaries_of_little_text_lose_none_of_it():
+    rng = random.Random(3)
+    little = [" ".join(words(rng, 20)).encode() for _ in range(2)]
+    assert quality_zstd.build_dictionary(little) == b"".join(little) and quality_zstd.build_dictionary([]) == b""
+    more = [" ".join(words(rng, 60)).encode() for _ in range(40)]
+    assert 0 < len(quality_zstd.build_dictionary(more)) < quality_zstd.DICTIONARY
+
+
+def test_language_fit_reads_every_window(spark):
+    rng = random.Random(6)
+    docs = [(str(k), " ".join(words(rng, 150, "abc" if k % 2 else "xyz")), "ax"[k % 2]) for k in range(40)]
+    table = spark.createDataFrame(docs, "doc_id string, text string, lang string")
+    rows = langid._sampled_windows(table, 4, 2).collect()
+    inside = [t for k, t, _ in docs if zlib.crc32(k.encode()) % 4 != 2]
+    assert sorted(len(r.windows) // langid.WINDOW for r in rows) == sorted(-(-len(t) // langid.WINDOW) for t in inside)
+
+
 def test_language_generalises_and_covers_edges(corpus):
     docs, _ = corpus
     network = langid.language_model(docs, 4, 2)
