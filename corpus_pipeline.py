@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm import decontam, mixing, ngram_join, quality_zstd, queries, token_orc
 from lumenframe.llm.common import materialise
 
+#: Words of a passage of a test item beyond which it is cut out of a document that stays.
+LONGEST_PASSAGE = 50
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -30,8 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows hit less than a twentieth of the words."""
-    return decontam.clean_documents(docs, queries.table(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark windows hit less than a twentieth of the words, without longer passages of test items."""
+    return decontam.clean_documents(docs, queries.table(spark, sf_dir, "benchmark"), longest=LONGEST_PASSAGE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
