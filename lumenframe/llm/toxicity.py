@@ -245,9 +245,13 @@ def group_sample(documents: DataFrame, labels: DataFrame, modulus: int, held_out
 
 
 def _feature_rows(sample: DataFrame, features: Features, terms: dict[str, list[str]], kept: np.ndarray | None) -> DataFrame:
-    """(doc_id, label, version, features) of the sampled texts: all of the texts' own, or those of ``kept`` of texts and their versions."""
+    """(doc_id, label, version, features) of the sampled texts: an array of all of the texts' own, or places in ``kept``, for texts and their versions.
+
+    The places are bytes of 32-bit integers, since they go to the driver.
+    """
+    kind = T.ArrayType(T.LongType()) if kept is None else T.BinaryType()
     schema = T.StructType(
-        [sample.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("features", T.ArrayType(T.LongType()))]
+        [sample.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("features", kind)]
     )
 
     def describe(batches):
@@ -261,17 +265,18 @@ def _feature_rows(sample: DataFrame, features: Features, terms: dict[str, list[s
                 at += [k] * len(every)
                 version += range(len(every))
             sets = features.sets(pa.array(texts, pa.string()))
-            if kept is not None:
-                sets = [s[np.isin(s, kept)] for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            if kept is None:
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+            else:
+                values = pa.array([np.flatnonzero(np.isin(kept, s)).astype(np.int32).tobytes() for s in sets], pa.binary())
             place = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(place),
                     batch.column("label").take(place).cast(pa.int32()),
                     pa.array(version, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    values,
                 ],
                 schema.names,
             )
@@ -314,9 +319,9 @@ def toxicity_model(
     named = features.sets(pa.array([" ".join(t for kind in terms.values() for t in kind)], pa.string()))[0]
     kept = np.unique(np.concatenate([kept, named]))
     groups = group_sample(documents, labels, modulus, held_out, terms).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
-    found = _feature_rows(sample.unionByName(groups), features, terms, kept).collect()
+    found = _feature_rows(sample.unionByName(groups), features, terms, kept)
+    rows = [(r.doc_id, r.label, r.version, kept[np.frombuffer(r.features, np.int32)]) for r in found.toLocalIterator()]
     discard(sample)
-    rows = [(r.doc_id, r.label, r.version, np.array(r.features, np.int64).view(np.uint64)) for r in found]
     return fit_toxicity(rows, shares, penalty, kept)
 
 
