@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm.common import discard, if_small, intermediates, materialise, pieces
-from lumenframe.llm.components import connected_components
+from lumenframe.llm.components import connected_components, extended_components
 from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 
 #: The largest size of a band is at least its smallest size times this.
@@ -365,10 +365,9 @@ def _pair(l: str, r: str) -> list:  # noqa: E741
     return [one("k", "ka"), one("n", "na"), one("id", "a"), two("k", "kb"), two("n", "nb"), two("id", "b")]
 
 
-def _parted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of groups that lie in several components, with their component and the group's largest one."""
-    found = connected_components(links, "a", "b").withColumnRenamed("node", "id")
-    placed = members.select("sig", "id", "ahead", "weight").join(found, "id", "left").select(
+def _parted(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of groups that lie in several of the components found, with their component and the group's largest one."""
+    placed = members.select("sig", "id", "ahead", "weight").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "sig", "id", "ahead", "weight", F.coalesce("component", "id").alias("component")
     )
     parts = placed.groupBy("sig", "component").agg(F.count("*").alias("many"))
@@ -423,14 +422,14 @@ def _components(documents: DataFrame, described: DataFrame, classes: DataFrame,
         return best.select("sig", F.col("c.id").alias("centre"), *[F.col(f"c.{c}").alias(f"centre_{c}") for c in fields[2:]])
 
     tested = possible(starred(members, elected(members)), None)
-    links = _links(tested, documents, n, threshold)
+    found = connected_components(_links(tested, documents, n, threshold), "a", "b")
     for _ in range(1, ELECTIONS):
-        members = _parted(members, links)
+        members = _parted(members, found)
         again = possible(starred(members, elected(members.where("component <> main"))), tested)
-        tested, links = tested.unionAll(again), links.unionAll(_links(again, documents, n, threshold))
+        tested, found = tested.unionAll(again), extended_components(found, _links(again, documents, n, threshold), "a", "b")
 
     # Members that no centre joined meet all members of their groups that are still in other components.
-    every = _parted(members, links).join(bits, "id")
+    every = _parted(members, found).join(bits, "id")
     rest = (
         every.where("component <> main")
         .alias("l")
@@ -446,8 +445,8 @@ def _components(documents: DataFrame, described: DataFrame, classes: DataFrame,
         .distinct()
         .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
-    links = links.unionAll(_links(materialise(rest, "join-rest"), documents, n, threshold))
-    return connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    last = _links(materialise(rest, "join-rest"), documents, n, threshold)
+    return extended_components(found, last, "a", "b").withColumnRenamed("node", "id")
 
 
 def similar_documents(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
