@@ -77,10 +77,10 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text(path)
 
 
-def detection_lines(df: DataFrame) -> DataFrame:
-    """Display lines of numbered vehicle detections."""
+def detection_lines(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Display lines of numbered vehicle detections, beside the columns to keep."""
     corners = F.concat(F.lit("("), F.array_join(F.col("bbox").cast("array<string>"), ", "), F.lit(")"))
-    return df.select(F.concat_ws(" ", F.concat(F.col("n").cast("string"), F.lit(".")), "class", two_places("confidence"), corners).alias("line"))
+    return df.select(*(keep or []), F.concat_ws(" ", F.concat(F.col("n").cast("string"), F.lit(".")), "class", two_places("confidence"), corners).alias("line"))
 
 
 def frame_lines(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lumenframe.plans.catalogue import ORACLE_SQL, QUERIES
+from lumenframe.plans.scripted import ORACLE_SQL, QUERIES
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
