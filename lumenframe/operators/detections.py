@@ -59,7 +59,7 @@ def stride(df: DataFrame, step: int) -> DataFrame:
 
 
 def seek(df: DataFrame, frame_idx: int) -> DataFrame:
-    """One 0-based frame; equality reaches sources that push filters."""
+    """One 0-based frame; equality reaches the Parquet scan, while ``read_frames`` takes a range of its own."""
     return df.where(F.col("frame_idx") == frame_idx)
 
 

@@ -82,7 +82,11 @@ def read_whole(images: DataFrame, ocr: ModelSpec, key: str) -> DataFrame:
 
 
 def strided_plates(frames: DataFrame, detector: ModelSpec, settings: Settings = DEFAULT) -> DataFrame:
-    """Plates of every ``stride``-th frame; the others are never decoded beyond the filter."""
+    """Plates of every ``stride``-th frame; the detector sees no other.
+
+    The filter is above the source, which decodes all frames it is asked for; give
+    ``read_frames`` the same stride and the others are not decoded either.
+    """
     return detect_plates(detections.stride(frames, settings.stride), detector)
 
 

@@ -1,10 +1,13 @@
-"""A data source of video frames with frame-number pushdown.
+"""A data source of video frames that decodes only the range and stride it is asked for.
 
 ``decoder`` names an importable class with ``open(path) -> (fps, width, height,
-frame count)`` and ``read(path, start, stop)`` yielding arrays. The default
+frame count)`` and ``read(path, start, stop, step)`` yielding arrays. The default
 reads videos stored as a folder-free .npy file of shape (frames, height, width,
-channels); codecs plug in the same way. Ranges of frames are read in parallel,
-and filters on frame_idx narrow the ranges before anything is decoded.
+channels); codecs plug in the same way. Ranges of frames are read in parallel.
+
+``start``, ``stop`` and ``stride`` are options, not pushed filters: Spark keeps
+what a Python source answered to one query's filters for other queries, and other
+branches, of the same DataFrame, which then silently miss frames.
 """
 
 from __future__ import annotations
@@ -13,16 +16,7 @@ import importlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    EqualTo,
-    GreaterThan,
-    GreaterThanOrEqual,
-    InputPartition,
-    LessThan,
-    LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lumenframe.schema import FRAME
 
@@ -40,8 +34,8 @@ class NpyVideo:
         frames = np.load(path, mmap_mode="r")
         return self.fps, frames.shape[2], frames.shape[1], frames.shape[0]
 
-    def read(self, path: str, start: int, stop: int):
-        yield from np.load(path, mmap_mode="r")[start:stop]
+    def read(self, path: str, start: int, stop: int, step: int):
+        yield from np.load(path, mmap_mode="r")[start:stop:step]
 
 
 class Range(InputPartition):
@@ -54,7 +48,9 @@ class FrameReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = options["path"].split(",")
         self.decoder = options.get("decoder", "")
-        self.low, self.high = 0, None
+        self.stride = int(options.get("stride", 1))
+        self.start = int(options.get("start", 0))
+        self.stop = int(options["stop"]) if options.get("stop") else None
 
     def _decoder(self):
         if not self.decoder:
@@ -62,30 +58,6 @@ class FrameReader(DataSourceReader):
         module, _, name = self.decoder.rpartition(".")
         return getattr(importlib.import_module(module), name)()
 
-    def pushFilters(self, filters):
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if column != ("frame_idx",):
-                yield f
-                continue
-            if isinstance(f, EqualTo):
-                self._within(f.value, f.value + 1)
-            elif isinstance(f, GreaterThanOrEqual):
-                self._within(f.value, None)
-            elif isinstance(f, GreaterThan):
-                self._within(f.value + 1, None)
-            elif isinstance(f, LessThan):
-                self._within(0, f.value)
-            elif isinstance(f, LessThanOrEqual):
-                self._within(0, f.value + 1)
-            else:
-                yield f
-
-    def _within(self, low: int, high: int | None) -> None:
-        self.low = max(self.low, low)
-        if high is not None:
-            self.high = high if self.high is None else min(self.high, high)
-
     def partitions(self):
         out = []
         for path in self.paths:
@@ -93,8 +65,9 @@ class FrameReader(DataSourceReader):
                 count = self._decoder().open(path)[3]
             except OSError:  # a video that can't be opened has no frames
                 continue
-            stop = count if self.high is None else min(count, self.high)
-            out += [Range(path, a, min(a + FRAMES_PER_TASK, stop)) for a in range(self.low, stop, FRAMES_PER_TASK)]
+            stop = count if self.stop is None else min(count, self.stop)
+            first, span = self.start + -(self.start + 1) % self.stride, FRAMES_PER_TASK * self.stride
+            out += [Range(path, a, min(a + span, stop)) for a in range(first, stop, span)]
         return out or [Range("", 0, 0)]
 
     def read(self, partition):
@@ -102,10 +75,10 @@ class FrameReader(DataSourceReader):
             return
         decoder = self._decoder()
         fps = decoder.open(partition.path)[0]
-        for k, frame in enumerate(decoder.read(partition.path, partition.start, partition.stop), partition.start):
+        for n, frame in enumerate(decoder.read(partition.path, partition.start, partition.stop, self.stride)):
             frame = np.ascontiguousarray(frame)
             h, w, c = frame.shape
-            yield (partition.path, k, float(fps), (h, w, c, frame.tobytes()))
+            yield (partition.path, partition.start + n * self.stride, float(fps), (h, w, c, frame.tobytes()))
 
 
 class FrameSource(DataSource):
@@ -120,15 +93,19 @@ class FrameSource(DataSource):
         return FrameReader(self.options)
 
 
-def read_frames(spark: SparkSession, paths: list[str], decoder: str = "") -> DataFrame:
-    """The frames of videos, numbered from 0, with fps and image."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_frames(spark: SparkSession, paths: list[str], decoder: str = "", stride: int = 1, start: int = 0, stop: int | None = None) -> DataFrame:
+    """Frames of videos, numbered from 0, with fps and image.
+
+    Every ``stride``-th frame, counted from 1, of those from ``start`` up to before
+    ``stop`` (the end if None); no other frame is decoded.
+    """
     spark.dataSource.register(FrameSource)
-    return spark.read.format("frames").option("decoder", decoder).load(",".join(paths))
+    options = {"decoder": decoder, "stride": stride, "start": start} | ({} if stop is None else {"stop": stop})
+    return spark.read.format("frames").options(**options).load(",".join(paths))
 
 
 def video_metadata(frames: DataFrame) -> DataFrame:
-    """fps, width and height of each video, from its first frame only."""
+    """fps, width and height of each video, from its first frame; read frames with ``stop=1`` to decode no other."""
     from pyspark.sql import functions as F
 
     return frames.where(F.col("frame_idx") == 0).select(

@@ -129,7 +129,14 @@ def video(tmp_path):
     return str(path)
 
 
-def test_frame_source_pushes_frame_numbers(spark, video):
+def test_filters_of_one_query_do_not_reach_another(spark, video):
+    frames = frame_source.read_frames(spark, [video])
+    assert (frames.where("frame_idx = 18").count(), frames.count()) == (1, 25)
+    both = frames.where("frame_idx = 1").unionAll(frames.where("frame_idx = 2"))
+    assert sorted(r.frame_idx for r in both.collect()) == [1, 2]
+
+
+def test_frame_source_reads_ranges_and_strides(spark, video):
     frames = frame_source.read_frames(spark, [video])
     assert frames.count() == 25
     assert [r.frame_idx for r in frames.where("frame_idx = 18").collect()] == [18]
@@ -137,10 +144,33 @@ def test_frame_source_pushes_frame_numbers(spark, video):
     meta = frame_source.video_metadata(frames).first()
     assert (meta.fps, meta.width, meta.height) == (25.0, 30, 20)
     assert frame_source.read_frames(spark, ["/nowhere.npy"]).count() == 0
-    reader = frame_source.FrameReader({"path": video})
-    from pyspark.sql.datasource import EqualTo
-
-    assert list(reader.pushFilters([EqualTo(("frame_idx",), 18)])) == []
+    strided = frame_source.read_frames(spark, [video], stride=4)
+    assert sorted(r.frame_idx for r in strided.collect()) == [3, 7, 11, 15, 19, 23]
+    ranged = frame_source.read_frames(spark, [video], stride=4, start=8, stop=19)
+    assert sorted(r.frame_idx for r in ranged.collect()) == [11, 15]
+    assert [r.frame_idx for r in frame_source.read_frames(spark, [video], start=18, stop=19).collect()] == [18]
+    assert frame_source.read_frames(spark, [video], start=40).count() == 0
+    plain = {r.frame_idx: r.image.data for r in frames.collect()}
+    assert all(r.image.data == plain[r.frame_idx] for r in strided.collect())
+
+
+def test_stride_reads_only_its_frames(tmp_path, monkeypatch):
+    video = str(tmp_path / "long.npy")
+    np.save(video, np.zeros((1000, 2, 2, 3), np.uint8))
+    monkeypatch.setattr(frame_source, "FRAMES_PER_TASK", 16)
+    reader = frame_source.FrameReader({"path": video, "stride": "10"})
+    decoded = []
+    read = frame_source.NpyVideo.read
+
+    def counted(self, *args):
+        for frame in read(self, *args):
+            decoded.append(1)
+            yield frame
+
+    monkeypatch.setattr(frame_source.NpyVideo, "read", counted)
+    rows = [r[1] for p in reader.partitions() for r in reader.read(p)]
+    assert rows == list(range(9, 1000, 10)) and len(decoded) == 100
+    reader = frame_source.FrameReader({"path": video, "start": "18", "stop": "19"})
     assert [(p.start, p.stop) for p in reader.partitions()] == [(18, 19)]
 
 
