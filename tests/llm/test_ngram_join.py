@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from lumenframe.llm import ngram_join as join
-from lumenframe.llm.components import connected_components
+from lumenframe.llm.components import connected_components, extended_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -157,3 +157,14 @@ def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(chain, "a", "b").collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
+
+
+def test_extended_components_are_those_of_all_edges(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(70)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    found = connected_components(frame(edges[:35]), "a", "b")
+    got = sorted(map(tuple, extended_components(found, frame(edges[35:]), "a", "b").collect()))
+    assert got == sorted(map(tuple, connected_components(frame(edges), "a", "b").collect()))
+    same = extended_components(found, frame([(None, 1)]), "a", "b")
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, found.collect()))
