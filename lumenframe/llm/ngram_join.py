@@ -17,10 +17,14 @@ paired with a centre, its most central member. Where that leaves a group in
 several components, a member outside the largest one is elected as the next centre
 and paired with those of other components. Members that two elections leave apart
 are paired with each other; by then the parity bits have dropped pairs that only
-share a passage or agree by chance. A parity bitmap bounds the difference of two
-sets from below and drops pairs that cannot link, and what is left is verified on
-the sets. Sets with equal shingles are one class throughout, so exact copies,
-however many, cost one set.
+share a passage or agree by chance. Where more than CROWD members of a group are
+left apart, as of pages that one template made, they meet only those that agree in
+the next segment but for one shingle: the segment's subset and its one-deletion
+neighbourhood become the key, of the next two segments and two deletions where a
+key is still crowded. A parity bitmap bounds the difference of two sets from below
+and drops pairs that cannot link, and what is left is verified on the sets. Sets
+with equal shingles are one class throughout, so exact copies, however many, cost
+one set.
 
 Words and sets are compared by 64-bit hashes. Defined results: a null or empty
 text, or one without words, has an empty set and links with nothing; a very long
@@ -52,6 +56,8 @@ BITMAP = 8
 AHEAD, AHEAD_BITS = 8, 8
 #: Centres that a group with several components is given before its members are paired with each other.
 ELECTIONS = 2
+#: Members apart beyond which a group's key takes further segments, and the most of these.
+CROWD, FURTHER = 16, 2
 #: The price of a proposed pair, in signatures; the chance that two segments of one shingle are equal.
 PAIR_PRICE, EQUAL_SINGLES = 4.0, 1e-3
 
@@ -178,14 +184,18 @@ def segment_of(values: np.ndarray, segments: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
-def signatures(values: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of one set in one band, and with each the parity bits of the next AHEAD segments."""
-    m = band.segments
+def _segments(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The set's shingles spread anew and ordered by segment, and each segment's number of them and end."""
     segment = segment_of(values, m)
-    order = np.argsort(segment, kind="stable")
-    spread = mix(values[order] + np.uint64(0x5851F42D4C957F2D))
+    spread = mix(values[np.argsort(segment, kind="stable")] + np.uint64(0x5851F42D4C957F2D))
     counts = np.bincount(segment, minlength=m)
-    ends = np.cumsum(counts)
+    return spread, counts, np.cumsum(counts)
+
+
+def signatures(values: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The signatures of one set in one band, with each the parity bits of the next AHEAD segments, and its segment."""
+    m = band.segments
+    spread, counts, ends = _segments(values, m)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread)])
     sums = total[ends] - total[ends - counts]
     flips = np.uint64(1) << (spread >> np.uint64(40) & np.uint64(AHEAD_BITS - 1))
@@ -198,15 +208,47 @@ def signatures(values: np.ndarray, band: Band) -> tuple[np.ndarray, np.ndarray]:
     base = mix(sums + place)
     light = np.flatnonzero(counts <= band.light)
     if not len(light):
-        return base, ahead
-    heavy = counts > band.light
-    parts, nexts = [base[heavy]], [ahead[heavy]]
+        return base, ahead, np.arange(m)
+    heavy = np.flatnonzero(counts > band.light)
+    parts, nexts, places = [base[heavy]], [ahead[heavy]], [heavy]
     for j in light:
         k = (j + 1) % m
         near = np.concatenate([sums[k : k + 1], sums[k] - spread[ends[k] - counts[k] : ends[k]]])
         parts.append(mix(base[j] ^ mix(near)))
         nexts.append(np.full(len(near), ahead[j]))
-    return np.concatenate(parts), np.concatenate(nexts)
+        places.append(np.full(len(near), j))
+    return np.concatenate(parts), np.concatenate(nexts), np.concatenate(places)
+
+
+def deletions(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``values`` without up to ``most`` (1 or 2) of them, and how many each leaves out."""
+    with np.errstate(over="ignore"):
+        whole = values.sum(dtype=np.uint64, keepdims=True)
+        parts = [whole, whole - values]
+        if most > 1:
+            i, j = np.triu_indices(len(values), 1)
+            parts.append(whole - values[i] - values[j])
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+def further_keys(values: np.ndarray, plan: list[Band], wanted: np.ndarray, most: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each wanted signature of the set: it, its keys with the next ``most`` segments, and how many shingles each leaves out.
+
+    Sets that share the signature and differ in at most ``most`` shingles there share a key.
+    """
+    out = []
+    for band in plan:
+        sig, _, places = signatures(values, band)
+        sig = sig.view(np.int64)
+        mine = np.flatnonzero(np.isin(sig, wanted))
+        if not len(mine):
+            continue
+        spread, counts, ends = _segments(values, band.segments)
+        for i in mine:
+            after = [(places[i] + k) % band.segments for k in range(1, min(most, band.segments - 1) + 1)]
+            sums, left_out = deletions(np.concatenate([spread[ends[k] - counts[k] : ends[k]] for k in after]), most)
+            out.append((int(sig[i]), mix(mix(sums + np.uint64(most)) ^ sig[i : i + 1].view(np.uint64)).view(np.int64), left_out))
+    return out
 
 
 def _describe(documents: DataFrame, n: int, threshold: Threshold) -> DataFrame:
@@ -245,12 +287,23 @@ def _band(plan: list[Band], size: int) -> Band:
     return plan[int(np.searchsorted([b.high for b in plan], size))]
 
 
-def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band]) -> DataFrame:
-    """Rows (sig, k, n, ahead): the signatures of every class in its band and in those above that it can reach."""
-    shingler = Shingler(n)
+def _reach(plan: list[Band], threshold: Threshold):
+    """Gives for a size the bands in which its signatures stand: its own, and those above that it can reach."""
     lows = np.array([b.low for b in plan])
     highs = np.array([b.high for b in plan])
 
+    def reach(size: int) -> list[Band]:
+        own = int(np.searchsorted(highs, size))
+        above = int(np.searchsorted(lows * threshold.num, size * threshold.den, "right"))
+        return [band for band in plan[own:above] if band.segments > 1]
+
+    return reach
+
+
+def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band]) -> DataFrame:
+    """Rows (sig, k, n, ahead): the signatures of every class in its band and in those above that it can reach."""
+    shingler, reach = Shingler(n), _reach(plan, threshold)
+
     def index(batches):
         import pyarrow as pa
 
@@ -262,23 +315,49 @@ def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band])
                 if not len(s) or key in seen:
                     continue
                 seen.add(key)
-                own = int(np.searchsorted(highs, len(s)))
-                above = int(np.searchsorted(lows * threshold.num, len(s) * threshold.den, "right"))
-                for band in plan[own:above]:
-                    if band.segments > 1:
-                        found.append(signatures(s, band))
-                        keys.append(key[0])
-                        sizes.append(len(s))
+                for band in reach(len(s)):
+                    found.append(signatures(s, band))
+                    keys.append(key[0])
+                    sizes.append(len(s))
             if not found:
                 continue
-            many = [len(f) for f, _ in found]
-            sig, ahead = (np.concatenate(x) for x in zip(*found, strict=True))
+            many = [len(f[0]) for f in found]
+            sig, ahead, _ = (np.concatenate(x) for x in zip(*found, strict=True))
             columns = [sig.view(np.int64), np.repeat(np.array(keys, np.int64), many), np.repeat(np.array(sizes, np.int32), many), ahead.view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "k", "n", "ahead"])
 
     return documents.select("text").mapInArrow(index, "sig long, k long, n int, ahead long")
 
 
+def _further(rows: DataFrame, documents: DataFrame, n: int, threshold: Threshold, plan: list[Band], most: int) -> DataFrame:
+    """The members (first, id, ahead, component) of crowded groups by keys with ``most`` further segments.
+
+    ``first`` is a group's signature. The result has the key as ``sig``, and ``out``, how many shingles the key leaves out;
+    keys that only one component has are dropped. What a document has in ``wanted`` is bounded by its own signatures.
+    """
+    shingler, reach = Shingler(n), _reach(plan, threshold)
+    wanted = rows.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("first").alias("wanted"))
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in pieces(batches):
+            found = []
+            sets = shingler.sets(batch.column("text"))
+            for i, (s, sigs) in enumerate(zip(sets, batch.column("wanted").to_pylist(), strict=True)):
+                for first, keys, left_out in further_keys(s, reach(len(s)) if len(s) else [], np.array(sigs, np.int64), most):
+                    found.append((np.full(len(keys), i), np.full(len(keys), first), keys, left_out))
+            if found:
+                at, *columns = (pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), *columns], ["id", "first", "sig", "out"])
+
+    named = documents.select("doc_id", "text").join(wanted, "doc_id")
+    kind = T.StructType([T.StructField("id", documents.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("first", "sig", "out")]])
+    keyed = named.mapInArrow(read, kind).groupBy("first", "id", "sig").agg(F.min("out").alias("out"))
+    keyed = keyed.join(rows.select("first", "id", "ahead", "component"), ["first", "id"])
+    return _apart(keyed)
+
+
 def _described_sets(pairs: DataFrame, documents: DataFrame, n: int, describe) -> DataFrame:
     """Rows (k, n, v) with ``describe`` of the set of each document that the pairs name."""
     shingler = Shingler(n)
@@ -370,10 +449,34 @@ def _parted(members: DataFrame, found: DataFrame) -> DataFrame:
     placed = members.select("sig", "id", "ahead", "weight").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "sig", "id", "ahead", "weight", F.coalesce("component", "id").alias("component")
     )
+    return materialise(_apart(placed), "join-parted")
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """The rows of groups with several components, with the group's largest one as ``main``."""
     parts = placed.groupBy("sig", "component").agg(F.count("*").alias("many"))
     parts = parts.groupBy("sig").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts"))
     several = parts.where("parts > 1").select("sig", F.col("top.component").alias("main"))
-    return materialise(placed.join(several, "sig"), "join-parted")
+    return placed.join(several, "sig")
+
+
+def _met(every: DataFrame, bits: DataFrame, threshold: Threshold, most: int) -> DataFrame:
+    """The pairs that can link of a group's members outside its main component with all of other components."""
+    every = every.join(bits, "id")
+    return (
+        every.where("component <> main")
+        .alias("l")
+        .join(
+            every.alias("r"),
+            (F.col("l.sig") == F.col("r.sig"))
+            & (F.col("l.component") != F.col("r.component"))
+            & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
+            & (F.col("l.out") + F.col("r.out") <= most)
+            & _follows("l.ahead", "r.ahead")
+            & _possible(threshold, "l", "r"),
+        )
+        .select(*_pair("l", "r"))
+    )
 
 
 def _components(documents: DataFrame, described: DataFrame, classes: DataFrame, n: int, threshold: Threshold) -> DataFrame:
@@ -428,23 +531,22 @@ def _components(documents: DataFrame, described: DataFrame, classes: DataFrame,
         again = possible(starred(members, elected(members.where("component <> main"))), tested)
         tested, found = tested.unionAll(again), extended_components(found, _links(again, documents, n, threshold), "a", "b")
 
-    # Members that no centre joined meet all members of their groups that are still in other components.
-    every = _parted(members, found).join(bits, "id")
-    rest = (
-        every.where("component <> main")
-        .alias("l")
-        .join(
-            every.alias("r"),
-            (F.col("l.sig") == F.col("r.sig"))
-            & (F.col("l.component") != F.col("r.component"))
-            & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
-            & _follows("l.ahead", "r.ahead")
-            & _possible(threshold, "l", "r"),
-        )
-        .select(*_pair("l", "r"))
-        .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    )
+    # Members that no centre joined meet the members of their groups that are still in other components.
+    every = _parted(members, found).select("sig", F.col("sig").alias("first"), "id", "ahead", "component", "main", F.lit(0).cast("long").alias("out"))
+    met = []
+    for most in range(FURTHER + 1):
+        crowded = every.where("component <> main").groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > CROWD).select("sig")
+        crowded = if_small(crowded) if most < FURTHER else None
+        if crowded is None or crowded.isEmpty():
+            met.append(_met(every, bits, threshold, most))
+            break
+        met.append(_met(every.join(crowded, "sig", "left_anti"), bits, threshold, most))
+        kept_back = every.join(crowded, "sig").select("first", "id", "ahead", "component").distinct()
+        every = materialise(_further(kept_back, documents, n, threshold, plan, most + 1), "join-further")
+    rest = met[0]
+    for more in met[1:]:
+        rest = rest.unionAll(more)
+    rest = rest.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     last = _links(materialise(rest, "join-rest"), documents, n, threshold)
     return extended_components(found, last, "a", "b").withColumnRenamed("node", "id")
 

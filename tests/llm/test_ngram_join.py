@@ -140,7 +140,7 @@ def test_similar_sets_share_a_signature_under_any_allocation(num, den):
         assert den * min(len(x), len(y)) >= num * band.low or min(len(x), len(y)) >= band.low
         for light in (-1, 0, 1, 2):
             tried = join.Band(band.number, band.low, band.high, band.segments, light if band.segments > 1 else -1)
-            ours, theirs = (dict(zip(*map(np.ndarray.tolist, join.signatures(v, tried)), strict=True)) for v in (x, y))
+            ours, theirs = (dict(zip(*map(np.ndarray.tolist, join.signatures(v, tried)[:2]), strict=True)) for v in (x, y))
             apart = [ours[k] ^ theirs[k] for k in ours.keys() & theirs.keys()]
             assert any(all((a & ((1 << 8 * k) - 1)).bit_count() <= k for k in range(1, 9)) for a in apart)
 
@@ -168,3 +168,58 @@ def test_extended_components_are_those_of_all_edges(spark):
     assert got == sorted(map(tuple, connected_components(frame(edges), "a", "b").collect()))
     same = extended_components(found, frame([(None, 1)]), "a", "b")
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, found.collect()))
+
+
+def template_pages(many, replaced, seed=5):
+    """Pages of 240 words that one template made, each with some words of its own."""
+    rng = random.Random(seed)
+    template = [f"t{k}" for k in range(240)]
+    rows = []
+    for k in range(many):
+        page = list(template)
+        for at in rng.sample(range(240), replaced):
+            page[at] = f"own{rng.randrange(10**9)}"
+        rows.append((k, " ".join(page)))
+    return rows
+
+
+def enumerated_pairs(spark, rows, monkeypatch):
+    """How many pairs of members the last meeting looks at, and what the join gives."""
+    meetings, met = [], join._met
+
+    def counting(every, *rest):
+        sizes = every.selectExpr("sig", "cast(component <> main as long) as apart").groupBy("sig").agg({"apart": "sum", "*": "count"})
+        meetings.append(sizes.selectExpr("coalesce(sum(`sum(apart)` * `count(1)`), 0)").first()[0])
+        return met(every, *rest)
+
+    monkeypatch.setattr(join, "_met", counting)
+    found = sorted(tuple(r) for r in join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())
+    return sum(meetings), found
+
+
+def test_work_on_template_pages_is_not_quadratic(spark, monkeypatch):
+    """Over two doublings of the pages, at most 2.5 times the pairs for each."""
+    looked_at = []
+    for many in (1000, 2000, 4000):
+        pairs, found = enumerated_pairs(spark, template_pages(many, 14), monkeypatch)
+        assert all(k == component for k, _, component in found)
+        looked_at.append(pairs)
+    assert looked_at[2] <= 2.5**2 * looked_at[0], looked_at
+
+
+@pytest.mark.parametrize("replaced", [3, 4, 6])
+def test_crowded_groups_lose_no_link(spark, monkeypatch, replaced):
+    """Pages about the threshold apart, in groups so crowded that every further segment is asked for."""
+    monkeypatch.setattr(join, "CROWD", 2)
+    rows = template_pages(150, replaced)
+    pairs, found = enumerated_pairs(spark, rows, monkeypatch)
+    assert found == brute(rows, 3, 90, 100)
+
+
+def test_deletions_meet_sets_that_differ_little():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 9).astype(np.uint64)
+    for b, apart in ((a, 0), (a[1:], 1), (a[2:], 2), (np.append(a[1:], np.uint64(7)), 2), (a[3:], 3)):
+        for most in (1, 2):
+            x, y = (dict(zip(*join.deletions(v, most), strict=True)) for v in (a, b))
+            assert any(x[k] + y[k] <= most for k in set(x) & set(y)) == (apart <= most)
