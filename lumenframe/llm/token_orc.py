@@ -7,13 +7,19 @@ split by stripes, so a read of some documents skips stripes and row groups by
 metadata alone.
 
 Defined results: a null text is empty, and an empty text has only the end id;
-null ids come first; rows with equal ids are ordered by their texts' hashes; an
-empty table gives files without rows; only doc_id and text are read.
+null ids come first; rows with equal ids are ordered by their texts' hashes, and
+rows with equal texts as well are interchangeable; a very long text is encoded
+whole and is one row; an empty table gives files without rows; only doc_id and
+text are read, so further columns, whatever their names, change nothing.
+
+Texts are encoded by their pieces where the tokenizer's own normaliser and
+pre-tokenizer make that exact; with any other tokenizer whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -36,12 +42,31 @@ ORC_OPTIONS = {
 }
 #: Pieces between white space that a task remembers with their ids, and those that a worker keeps for its next task.
 REMEMBERED, KEPT = 600_000, 400_000
+#: What a tokenizer must do to texts for encoding by pieces to be right, and how its added tokens begin.
+PIECEWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+}
+ADDED = "<|"
 #: Bytes of text that are encoded at a time, and new pieces that are.
 SLICE, LEARNED = 1 << 20, 300
 
 
-
-
 def _between(data: np.ndarray, low: int, high: int) -> np.ndarray:
     """Where bytes lie in a range; for unsigned bytes one subtraction and one comparison."""
     return (data - np.uint8(low)) <= np.uint8(high - low)
@@ -168,7 +193,35 @@ class PieceEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
-def _encoder(path: str) -> PieceEncoder:
+def fits_pieces(path: str) -> bool:
+    """Whether a tokenizer's file says that it treats texts as ``PieceEncoder`` expects."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    added = all(t["content"].startswith(ADDED) and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in said.get("added_tokens") or [])
+    return added and all(said.get(key) == value for key, value in PIECEWISE.items())
+
+
+class WholeEncoder:
+    """Encodes whole texts, for tokenizers of any kind; slower than by pieces."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def keep(self, most: int) -> None:
+        """Nothing is remembered."""
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's closed by ``end_id``, and the number of ids of each text."""
+        found = [e.ids for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        sizes = np.array([len(ids) + 1 for ids in found], np.int64)
+        return np.array(list(itertools.chain.from_iterable([*ids, end_id] for ids in found)), np.int32), sizes
+
+
+def _encoder(path: str) -> PieceEncoder | WholeEncoder:
     """The encoder of this worker process, which keeps its pieces from task to task."""
     import os
     import sys
@@ -177,7 +230,7 @@ def _encoder(path: str) -> PieceEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     kept = sys.modules.setdefault("_lumenframe_worker", types.ModuleType("_lumenframe_worker")).__dict__
     if path not in kept:
-        kept[path] = PieceEncoder(path)
+        kept[path] = PieceEncoder(path) if fits_pieces(path) else WholeEncoder(path)
     return kept[path]
 
 

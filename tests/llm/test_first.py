@@ -381,3 +381,17 @@ def test_token_files_of_an_empty_table_and_null_id(spark, tmp_path):
     assert token_orc.tokenise(docs.limit(0), tokenizer_path(), 2).count() == 0
     first = token_orc.tokenise(docs, tokenizer_path(), 2).orderBy("start").first()
     assert first.doc_id is None and first.n_tokens == 1
+
+
+def test_tokens_of_another_kind_of_tokenizer(spark):
+    """A byte-level tokenizer keeps case and white space, so whole texts are encoded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_orc.fits_pieces(tokenizer_path()) and not token_orc.fits_pieces(path)
+    tokenizer = Tokenizer.from_file(path)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_orc.tokenise(frame(spark), path, 2).collect()}
+    for k, t in enumerate(TEXTS):
+        ids = np.asarray([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
