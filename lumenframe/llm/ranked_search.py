@@ -6,10 +6,12 @@ over all shards give every term's weight. Searching a shard cuts each posting li
 into blocks of variable length by dynamic programming, which minimises what the
 blocks' largest contributions exceed the postings' own by, plus a price for each
 block. The blocks in force at a document bound its score, the pivot test of
-block-max WAND made for all documents of a shard at once: those whose bound is
-below the least score that still counts are skipped block by block, and the others
-are scored exactly, highest bounds first, while that least score rises. A task
-keeps it from shard to shard; the tasks' best rows are ranked together.
+block-max WAND made for all documents of a shard at once: a block of a dense list
+bounds every document from its first to its last, one of a sparse list those that
+hold the term. Documents whose bound is below the least score that still counts are
+skipped, and the others are scored exactly, highest bounds first, while that least
+score rises. A task keeps it from shard to shard; the tasks' best rows are ranked
+together.
 
 Scores are 64-bit integers, so no order of summation changes them. Terms are
 compared by 64-bit hashes. Queries are worked in groups of about GROUP_BYTES of
@@ -44,6 +46,8 @@ GROUP_BYTES = 4 << 20
 SHARD_DOCUMENTS, SHARD_POSTINGS = 16_384, 1 << 19
 #: Postings in which the blocks are chosen at once, and a block's price in average contributions of its list.
 STRETCH, BLOCK_PRICE = 128, 4
+#: A list is sparse in a shard if fewer than one of so many documents hold its term.
+SPARSE = 16
 #: Fixed values of the score: the scale of weights, of quotients and of saturation, and the shares of the length rule.
 WEIGHT, QUOTIENT, PER_TERM, PER_LENGTH, FLAT, SLOPE = 1000, 1_000_000_000, 1000, 12, 75, 25
 
@@ -227,6 +231,9 @@ class ShardIndex:
         self.block_first, self.block_last = at[begins], at[np.append(begins[1:], len(at))[: len(begins)] - 1]
         self.block_begin = np.searchsorted(begins, ends - df)
         self.block_many = np.diff(self.block_begin, append=len(begins))
+        # postings of sparse lists with what bounds them; of dense ones blocks alone are looked at
+        self.sparse, self.df, self.list_begin, self.document = df * SPARSE < self.many, df, ends - df, at
+        self.largest = np.repeat(self.block_largest, np.diff(begins, append=len(at)))
         by = np.argsort(at, kind="stable")
         self.term, self.value = np.repeat(self.terms, df)[by], value[by]
         self.posting_many = np.bincount(at, minlength=self.many)
@@ -234,16 +241,21 @@ class ShardIndex:
         self.scored = 0
 
     def bounds(self, terms: np.ndarray, repeats: np.ndarray) -> np.ndarray:
-        """For every document the sum of the largest contributions of the blocks that hold it."""
+        """For every document the sum of the largest contributions of the blocks that bound it."""
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         here = self.terms[at] == terms
         at, repeats = at[here], repeats[here]
-        block = _ranges(self.block_begin[at], self.block_many[at])
-        worth = self.block_largest[block] * np.repeat(repeats, self.block_many[at])
+        dense, often = at[~self.sparse[at]], repeats[~self.sparse[at]]
+        block = _ranges(self.block_begin[dense], self.block_many[dense])
+        worth = self.block_largest[block] * np.repeat(often, self.block_many[dense])
         change = np.zeros(self.many + 1, np.int64)
         np.add.at(change, self.block_first[block], worth)
         np.subtract.at(change, self.block_last[block] + 1, worth)
-        return np.cumsum(change[:-1])
+        bound = np.cumsum(change[:-1])
+        rare, often = at[self.sparse[at]], repeats[self.sparse[at]]
+        posting = _ranges(self.list_begin[rare], self.df[rare])
+        np.add.at(bound, self.document[posting], self.largest[posting] * np.repeat(often, self.df[rare]))
+        return bound
 
     def scores(self, documents: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Exact scores; ``query`` has the repeats of every term of the vocabulary."""
