@@ -63,3 +63,49 @@ def test_damage_ends_a_file_and_no_pages_give_no_files(spark, tmp_path):
         out.write(data[:cut] + b"C" * 14 + data[cut + 14 :])
     assert sorted(r.page_id for r in warc.read_archives(manifest).collect()) == list(range(7))
     assert warc.archive_round_trip(pages(spark, rows()).limit(0)).count() == 0
+
+
+class Counting:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, data):
+        import io
+
+        self.file, self.read_bytes = io.BytesIO(data), 0
+
+    def seek(self, at):
+        self.file.seek(at)
+
+    def read(self, many):
+        data = self.file.read(many)
+        self.read_bytes += len(data)
+        return data
+
+
+def test_headers_planted_in_a_payload_are_not_read_for(spark, tmp_path):
+    """500 headers in one payload, each of a record that ends where the true one does."""
+    html = "end"
+    for k in range(500):
+        body = "x" * 400 + html
+        html = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {len(body)}\r\n\r\n" + body
+    record = warc._record({"html": html, "page_id": 1, "url": "u", "original": None, "digest": ""})
+    for block in (1 << 15, 1 << 20):
+        read = 0
+        found = []
+        for start in range(0, len(record), block):
+            file = Counting(record)
+            found += warc.block_candidates(file, start, min(len(record), start + block), len(record))
+            read += file.read_bytes
+        assert len(found) == 501
+        file = Counting(record)
+        true = next(r for r in found if r["offset"] == 0)
+        assert warc.payload(file, true["begin"], true["next"] - 4, False) == (len(html), hashlib.sha256(html.encode()).hexdigest())
+        assert read + file.read_bytes <= 3 * len(record)
+    got = warc.archive_round_trip(pages(spark, [(1, "u", html), (2, "u", "y")]), f"file://{tmp_path}/w").collect()
+    assert sorted(map(tuple, got)) == expected([(1, "u", html), (2, "u", "y")])
+
+
+def test_originals_by_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    got = warc.archive_round_trip(pages(spark, rows()), f"file://{tmp_path}/w")
+    assert sorted(map(tuple, got.collect()), key=str) == expected(rows())
