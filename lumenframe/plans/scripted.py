@@ -7,6 +7,8 @@ them; the scripted OCR answers by the size or the first byte of what it is given
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from lumenframe.plans.catalogue import ORACLE_SQL, QUERIES, SETTINGS, query, tab
 from lumenframe.schema import OCR_DOC
 from lumenframe.sources import images as image_files
 from lumenframe.sources import sinks
+from lumenframe.sources.jpeg import encode_jpeg
 from lumenframe.workspace import scratch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]  # those of the catalogue, with this module's
@@ -205,11 +208,16 @@ def absent_lists(spark, sf_dir):
     return docs.select("event_id", (F.size(shown) > 0).alias("has_texts"), F.size(shown).alias("n_texts"), best.getField("text").alias("text"))
 
 
+def _folder(spark, name: str) -> str:
+    """The URI of an unused folder."""
+    folder = scratch(spark, name)
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
 @query(f"""SELECT vec_id::VARCHAR AS stem, {HEIGHT} AS height, {WIDTH} AS width, repeat(m, 72) AS pixels FROM ({_IMAGES})""")
 def image_files_round_trip(spark, sf_dir):
     """Every image written as a file of its own, and all files read back by their paths."""
-    folder = scratch(spark, "images")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = _folder(spark, "images")
     # the write has to be over before the folder is listed
     sinks.write_images(images(spark, sf_dir), folder, "vec_id").write.format("noop").mode("overwrite").save()
     read = image_files.readable(image_files.read_images(spark, folder, glob="*.ppm"))
@@ -224,3 +232,41 @@ def report_lines(spark, sf_dir):
     """Display lines of numbered detections."""
     found = pipelines.detect_vehicles(images(spark, sf_dir), _detector())
     return sinks.detection_lines(detections.number_rows(found, ["vec_id"], ["pos"]), ["vec_id"])
+
+
+@query(f"""SELECT vec_id::VARCHAR AS stem, {HEIGHT} AS height, {WIDTH} AS width, repeat(m, 72) AS pixels FROM ({_IMAGES})""")
+def png_files_round_trip(spark, sf_dir):
+    """Every image written as a PNG file, and all files decoded again, compared pixel by pixel."""
+    folder = _folder(spark, "png")
+    sinks.write_images(images(spark, sf_dir), folder, "vec_id", suffix=".png").write.format("noop").mode("overwrite").save()
+    read = image_files.readable(image_files.read_images(spark, folder, glob="*.png"))
+    return read.select(
+        detections.file_stem(F.col("path")).alias("stem"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.lower(F.hex("image.data")).alias("pixels")
+    )
+
+
+#: Quality at which the quantisation table is the standard's own, and its first step, that of a block's mean.
+HALF_QUALITY, MEAN_STEP = 50, 16
+
+
+@query(f"""SELECT vec_id::VARCHAR AS stem, p::INT AS block, repeat(printf('%02x', g), 64) AS pixels FROM (SELECT vec_id, p,
+    greatest(0, least(255, floor(round_even((v - 128) * 8 / {MEAN_STEP}.0::DOUBLE, 0) * {MEAN_STEP} / 8 + 128.5::DOUBLE)))::INT AS g
+    FROM (SELECT vec_id, p, least(255, floor(abs(embedding[p + 1]::DOUBLE) * 400)) AS v FROM embeddings, range(64) t(p)))""")
+def jpeg_blocks(spark, sf_dir):
+    """Each embedding as an image of 8 x 8 blocks of one gray, written as JPEG files and decoded again.
+
+    Such a block has one coefficient, so SQL can tell what quantising leaves of it.
+    """
+    gray = F.transform("embedding", lambda v: F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 400)).cast("int"))
+    byte = F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0"))
+    row = lambda r: F.repeat(F.array_join(F.transform(F.slice(byte, 8 * r + 1, 8), lambda b: F.repeat(b, 8)), ""), 8)
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), row), ""))
+    image = F.struct(F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"))
+    folder = _folder(spark, "jpeg")
+    blocks = table(spark, sf_dir, "embeddings").select("vec_id", image.alias("image"))
+    half = functools.partial(encode_jpeg, quality=HALF_QUALITY)
+    sinks.write_images(blocks, folder, "vec_id", half, ".jpg").write.format("noop").mode("overwrite").save()
+    read = image_files.readable(image_files.read_images(spark, folder, glob="*.jpg"))
+    flat = read.select(detections.file_stem(F.col("path")).alias("stem"), F.lower(F.hex("image.data")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
+    corner = 1024 * F.floor(F.col("block") / 8) + 16 * (F.col("block") % 8) + 1  # of hexadecimal digits, 128 a row
+    return flat.select("stem", "block", F.concat(*[F.substring("h", (corner + 128 * y).cast("int"), F.lit(16)) for y in range(8)]).alias("pixels"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.schema import IMAGE
+from lumenframe.sources.jpeg import decode_jpeg
+from lumenframe.sources.png import SIGNATURE, decode_png
 
 Decode = Callable[[bytes], np.ndarray | None]
 
@@ -34,7 +36,14 @@ def encode_pnm(array: np.ndarray) -> bytes:
     return f"P{6 if c == 3 else 5}\n{w} {h}\n255\n".encode() + np.ascontiguousarray(array[:, :, ::-1]).tobytes()
 
 
-def read_images(spark: SparkSession, path: str, decode: Decode = decode_pnm, glob: str = "*") -> DataFrame:
+def decode_image(data: bytes) -> np.ndarray | None:
+    """JPEG, PNG, PGM or PPM by the first bytes; None, or an error of the decoder's, if it can't be read."""
+    if data.startswith(b"\xff\xd8"):
+        return decode_jpeg(data)
+    return decode_png(data) if data.startswith(SIGNATURE) else decode_pnm(data)
+
+
+def read_images(spark: SparkSession, path: str, decode: Decode = decode_image, glob: str = "*") -> DataFrame:
     """Rows (path, image); the image is null if the file can't be decoded.
 
     Only the path and the content are read, and the content goes no further

@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from lumenframe.functions.display import padded, two_places
 from lumenframe.operators import kernels
 from lumenframe.sources.images import encode_pnm
+from lumenframe.sources.jpeg import encode_jpeg
+from lumenframe.sources.png import encode_png
 
 
-def write_images(df: DataFrame, folder: str, name: str, encode: Callable = encode_pnm, suffix: str = ".ppm") -> DataFrame:
+#: Encoders by file suffix.
+ENCODERS = {".ppm": encode_pnm, ".png": encode_png, ".jpg": encode_jpeg}
+
+
+def write_images(df: DataFrame, folder: str, name: str, encode: Callable | None = None, suffix: str = ".ppm") -> DataFrame:
     """Write each row's image as a file named by column ``name``; returns (name, path, bytes) when run.
 
+    The suffix tells the format (.jpg, .png or .ppm) unless ``encode`` is given.
+
     Files are written by tasks through the file system of the folder's URI, and
     a retried task overwrites its own files with the same bytes.
     """
+    encode = encode or ENCODERS[suffix]
 
     def run(batches):
         import pyarrow as pa

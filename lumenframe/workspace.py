@@ -1,7 +1,8 @@
-"""Scratch folders for checkpoints of streams."""
+"""Scratch folders for files and checkpoints of streams."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,6 +10,13 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """An unused folder in ``spark.checkpoint.dir``; on this machine only where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lumenframe-")
+    """An unused folder in ``spark.checkpoint.dir``.
+
+    Where that is unset a folder of this machine serves if driver and executors are
+    one process (``local`` masters, as in tests); elsewhere that is an error.
+    """
+    base, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="lumenframe-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
