@@ -56,8 +56,8 @@ BITMAP = 8
 AHEAD, AHEAD_BITS = 8, 8
 #: Centres that a group with several components is given before its members are paired with each other.
 ELECTIONS = 2
-#: Members apart beyond which a group's key takes further segments, and the most of these.
-CROWD, FURTHER = 16, 2
+#: Members apart beyond which a group's key takes further segments, so the most that one is compared with; and the most segments.
+CROWD, FURTHER = 1024, 2
 #: The price of a proposed pair, in signatures; the chance that two segments of one shingle are equal.
 PAIR_PRICE, EQUAL_SINGLES = 4.0, 1e-3
 
