@@ -1,53 +1,91 @@
 """Multi-object tracking by the two-pass association of ByteTrack (Zhang et al., ECCV 2022).
 
-One step function serves batch and Structured Streaming. Tracks are predicted
-with a constant velocity, matched first with confident boxes, then with faint
-ones; unmatched confident boxes start tracks and lost tracks age out. Ids count
-from 1 in each video and belong to that video.
+One step function serves batch and Structured Streaming. A Kalman filter predicts
+every track. Confident boxes are matched with confirmed and lost tracks, faint boxes
+then with those tracks only that the last frame still saw, and confident boxes that
+are left with tentative tracks. What is left of them starts tentative tracks, which
+a match in the next frame confirms and its lack ends; in a video's first frame
+tracks are confirmed at once. Lost tracks age out. A track gets its id when it is
+confirmed; ids count from 1 in each video and belong to that video.
 
 Frames of one video are worked in order by one task, which holds the tracks and
 one frame: Spark partitions by video and sorts, and no video is collected.
 Frames without boxes still age tracks. Filter classes before this stage, since a
-filter after it would change the association.
+filter after it would change the association. Boxes without area, or with a
+coordinate or confidence that is null or NaN, are never tracked.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumenframe.streaming import motion
+
 
 @dataclass(frozen=True)
 class TrackSettings:
-    """Thresholds; the defaults follow the publication's spirit and are no promise of equal ids."""
+    """Thresholds; the defaults follow the publication's spirit and are no promise of equal ids.
+
+    ``buffer`` is for how many frames a lost track is kept, ``quiet`` after how many
+    seconds without frames a stream forgets a video.
+    """
 
     high: float = 0.5
     low: float = 0.1
     start: float = 0.6
     least_iou: float = 0.2
+    faint_iou: float = 0.5
+    tentative_iou: float = 0.3
     buffer: int = 30
+    quiet: float = 3600.0
+
+
+TENTATIVE, TRACKED, LOST = "tentative", "tracked", "lost"
+#: A track as it stands in a stream's state.
+TRACK = T.StructType(
+    [
+        T.StructField("id", T.IntegerType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("seen", T.LongType()),
+        T.StructField("mean", T.ArrayType(T.DoubleType())),
+        T.StructField("covariance", T.ArrayType(T.DoubleType())),
+    ]
+)
 
 
 @dataclass
-class TrackerState:
-    """Tracks of one video: id, box, velocity and the last frame seen."""
+class Track:
+    """A track: id (0 until it is confirmed), status, the last frame that saw it, and its motion."""
 
-    next_id: int = 1
-    last_frame: int = -1
-    tracks: list[dict] = field(default_factory=list)
+    id: int
+    status: str
+    seen: int
+    mean: np.ndarray
+    covariance: np.ndarray
 
-    def dump(self) -> str:
-        return json.dumps(asdict(self))
+    def row(self) -> tuple:
+        return self.id, self.status, self.seen, self.mean.tolist(), self.covariance.ravel().tolist()
 
     @staticmethod
-    def load(text: str) -> TrackerState:
-        return TrackerState(**json.loads(text))
+    def of(row) -> Track:
+        id_, status, seen, mean, covariance = row
+        return Track(int(id_), str(status), int(seen), np.array(list(mean)), np.array(list(covariance)).reshape(8, 8))
+
+
+@dataclass
+class TrackerState:
+    """Tracks of one video, the next id and the last frame worked."""
+
+    next_id: int = 1
+    last_frame: int = -1
+    tracks: list[Track] = field(default_factory=list)
 
 
 def _ious(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,38 +127,80 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return [(int(owner[c]) - 1, c - 1) for c in range(1, m + 1) if owner[c]]
 
 
+def _predict(state: TrackerState, frames: int) -> None:
+    """Every track moved on by so many frames; the height of a lost one stays."""
+    if not state.tracks:
+        return
+    means, covariances = np.stack([t.mean for t in state.tracks]), np.stack([t.covariance for t in state.tracks])
+    means[[t.status == LOST for t in state.tracks], 7] = 0.0
+    for _ in range(frames):
+        means, covariances = motion.predict(means, covariances)
+    for t, mean, covariance in zip(state.tracks, means, covariances, strict=True):
+        t.mean, t.covariance = mean, covariance
+
+
+def _match(tracks: list[Track], boxes: np.ndarray, frame_idx: int, least: float) -> tuple[dict[int, Track], list[Track], list[int]]:
+    """Tracks by the box that each is matched with and updated by, the tracks left, and the boxes left."""
+    if not tracks or not len(boxes):
+        return {}, tracks, list(range(len(boxes)))
+    overlap = _ious(motion.to_boxes(np.stack([t.mean for t in tracks])), boxes)
+    # a pair that must not be is dearer than all others together
+    pairs = [(r, c) for r, c in assign(np.where(overlap >= least, 1 - overlap, 1.0 + overlap.size)) if overlap[r, c] >= least]
+    if pairs:
+        chosen = [tracks[r] for r, _ in pairs]
+        measures = motion.to_measure(boxes[[c for _, c in pairs]])
+        updated = motion.update(np.stack([t.mean for t in chosen]), np.stack([t.covariance for t in chosen]), measures)
+        for t, mean, covariance in zip(chosen, *updated, strict=True):
+            t.mean, t.covariance, t.seen, t.status = mean, covariance, frame_idx, TRACKED
+    taken, used = {r for r, _ in pairs}, {c for _, c in pairs}
+    return {c: tracks[r] for r, c in pairs}, [t for k, t in enumerate(tracks) if k not in taken], [c for c in range(len(boxes)) if c not in used]
+
+
+def _trackable(confidence: float | None, box: list) -> bool:
+    values = [confidence, *box]
+    return len(box) == 4 and all(v is not None and math.isfinite(v) for v in values) and box[2] > box[0] and box[3] > box[1]
+
+
 def step(state: TrackerState, frame_idx: int, boxes: list[tuple[float, list[float]]], settings: TrackSettings) -> list[int | None]:
     """Advance ``state`` by one frame; the id of each box (confidence, xyxy), None if untracked."""
+    first, gap = state.last_frame < 0, frame_idx - state.last_frame
     state.last_frame = frame_idx
+    state.tracks = [t for t in state.tracks if frame_idx - t.seen <= settings.buffer]
+    _predict(state, gap)
+    able = [k for k, (c, box) in enumerate(boxes) if _trackable(c, box)]
+    confident = [k for k in able if boxes[k][0] >= settings.high]
+    faint = [k for k in able if settings.low <= boxes[k][0] < settings.high]
+    at = lambda some: np.array([boxes[k][1] for k in some], float).reshape(-1, 4)
+    found: dict[int, Track] = {}
+
+    def meet(tracks: list[Track], some: list[int], least: float) -> tuple[list[Track], list[int]]:
+        matched, alone, left = _match(tracks, at(some), frame_idx, least)
+        found.update({some[c]: t for c, t in matched.items()})
+        return alone, [some[c] for c in left]
+
+    tentative = [t for t in state.tracks if t.status == TENTATIVE]
+    alone, confident = meet([t for t in state.tracks if t.status != TENTATIVE], confident, settings.least_iou)
+    unseen, _ = meet([t for t in alone if t.status == TRACKED], faint, settings.faint_iou)
+    for t in unseen:
+        t.status = LOST
+    ended, confident = meet(tentative, confident, settings.tentative_iou)
+    state.tracks = [t for t in state.tracks if not any(t is e for e in ended)]
+    fresh = [k for k in confident if boxes[k][0] >= settings.start]
+    if fresh:
+        for k, mean, covariance in zip(fresh, *motion.start(motion.to_measure(at(fresh))), strict=True):
+            found[k] = Track(0, TRACKED if first else TENTATIVE, frame_idx, mean, covariance)
+            state.tracks.append(found[k])
     ids: list[int | None] = [None] * len(boxes)
-    predicted = {k: np.array(t["box"]) + np.array(t["velocity"]) * (frame_idx - t["seen"]) for k, t in enumerate(state.tracks)}
-    free = set(predicted)
-    tiers = (lambda c: c >= settings.high, lambda c: settings.low <= c < settings.high)
-    for tier in tiers:
-        candidates = [k for k, (c, _) in enumerate(boxes) if ids[k] is None and tier(c)]
-        rows = sorted(free)
-        if not candidates or not rows:
-            continue
-        overlap = _ious(np.array([predicted[r] for r in rows]), np.array([boxes[k][1] for k in candidates], float))
-        for r, c in assign(1 - overlap):
-            if overlap[r, c] >= settings.least_iou:
-                track, box = state.tracks[rows[r]], np.array(boxes[candidates[c]][1], float)
-                gap = max(1, frame_idx - track["seen"])
-                track["velocity"] = (0.5 * np.array(track["velocity"]) + 0.5 * (box - np.array(track["box"])) / gap).tolist()
-                track["box"], track["seen"] = box.tolist(), frame_idx
-                ids[candidates[c]] = track["id"]
-                free.discard(rows[r])
-    for k, (confidence, box) in enumerate(boxes):
-        if ids[k] is None and confidence >= settings.start:
-            state.tracks.append({"id": state.next_id, "box": [float(x) for x in box], "velocity": [0.0] * 4, "seen": frame_idx})
-            ids[k] = state.next_id
-            state.next_id += 1
-    state.tracks = [t for t in state.tracks if frame_idx - t["seen"] <= settings.buffer]
+    for k in sorted(found):
+        if found[k].status == TRACKED:
+            if not found[k].id:
+                found[k].id, state.next_id = state.next_id, state.next_id + 1
+            ids[k] = found[k].id
     return ids
 
 
 #: Input: video_id, frame_idx and boxes (null if the model gave none).
-TRACKED = T.StructType(
+FOUND = T.StructType(
     [
         T.StructField("video_id", T.StringType()),
         T.StructField("frame_idx", T.LongType()),
@@ -153,35 +233,66 @@ def track(frames: DataFrame, settings: TrackSettings = TrackSettings()) -> DataF
                 if r["video_id"] != video or state.last_frame < 0:
                     video, state = r["video_id"], TrackerState()
                 out.append(_row(state, video, r["frame_idx"], r["boxes"], settings))
-            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(TRACKED))
+            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(FOUND))
+
+    return ordered.mapInArrow(run, FOUND)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _processor(settings: TrackSettings):
+    """The stateful processor of a video: a list of typed tracks, counters, and a timer that forgets a quiet video."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class VideoTracker(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.tracks = handle.getListState("tracks", TRACK)
+            self.counters = handle.getValueState("counters", "next_id int, last_frame long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            import pandas as pd
 
-    return ordered.mapInArrow(run, TRACKED)
+            state = TrackerState()
+            if self.counters.exists():
+                state.next_id, state.last_frame = map(int, self.counters.get())
+                state.tracks = [Track.of(t) for t in self.tracks.get()]
+            given = [r for part in rows for r in part[["frame_idx", "boxes"]].itertuples(index=False)]
+            out = []
+            for r in sorted(given, key=lambda r: r.frame_idx):
+                if r.frame_idx > state.last_frame:
+                    boxes = None if r.boxes is None else [b.asDict() if hasattr(b, "asDict") else b for b in r.boxes]
+                    out.append(_row(state, key[0], int(r.frame_idx), boxes, settings))
+            self.counters.update((state.next_id, state.last_frame))
+            self.tracks.put([t.row() for t in state.tracks]) if state.tracks else self.tracks.clear()
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(settings.quiet * 1000))
+            yield pd.DataFrame(out, columns=FOUND.names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.tracks.clear()
+            self.counters.clear()
+            return iter(())
+
+        def close(self):
+            """Nothing is held beside the state."""
+
+    return VideoTracker()
 
 
 def track_stream(frames: DataFrame, settings: TrackSettings = TrackSettings()) -> DataFrame:
     """track() over a stream, with the tracks of each video in checkpointed state.
 
     The frames of a micro-batch are sorted; a frame that isn't after the last
-    one worked is rejected, since tracks can't be wound back.
+    one worked is rejected, since tracks can't be wound back. A video without
+    frames for ``quiet`` seconds is forgotten; later frames of it begin anew. The
+    session's state store becomes RocksDB, which typed state needs.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def run(key, groups, state):
-        import pandas as pd
-
-        tracker = TrackerState.load(state.get[0]) if state.exists else TrackerState()
-        rows = [r for g in groups for r in g[["frame_idx", "boxes"]].itertuples(index=False)]
-        out = []
-        for r in sorted(rows, key=lambda r: r.frame_idx):
-            if r.frame_idx > tracker.last_frame:
-                boxes = None if r.boxes is None else [b.asDict() if hasattr(b, "asDict") else b for b in r.boxes]
-                out.append(_row(tracker, key[0], int(r.frame_idx), boxes, settings))
-        state.update((tracker.dump(),))
-        yield pd.DataFrame(out, columns=TRACKED.names)
-
+    frames.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = frames.select("video_id", "frame_idx", "boxes").groupBy("video_id")
-    state = T.StructType([T.StructField("tracker", T.StringType())])
-    return keyed.applyInPandasWithState(run, TRACKED, state, "append", GroupStateTimeout.NoTimeout)
+    return keyed.transformWithStateInPandas(_processor(settings), FOUND, "append", "processingTime")
 
 
 def running_totals(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -210,6 +321,16 @@ def run_to_end(stream: DataFrame, table: str, checkpoint: str, mode: str = "appe
 
 
 def write_each_batch(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
-    """Call ``write(df, batch_id)`` for every micro-batch; returns the running query."""
-    writer = stream.writeStream.foreachBatch(write).outputMode(mode)
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Call ``write(df, batch_id)`` for every micro-batch of what the source holds; returns the running query.
+
+    Without batches that have no rows: a stream with timers would go on with them
+    for ever. Its timers go off with the next rows; in a stream that runs on, by themselves.
+    """
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        writer = stream.writeStream.foreachBatch(write).outputMode(mode)
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)

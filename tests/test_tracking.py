@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenframe.streaming import tracking
+from lumenframe.streaming import motion, tracking
 from lumenframe.streaming.tracking import TrackerState, TrackSettings, step
 
 BOXES = "video_id string, frame_idx long, boxes array<struct<confidence:double,xyxy:array<double>>>"
@@ -43,12 +43,82 @@ def test_ids_survive_crossings_gaps_and_faint_frames():
 def test_faint_boxes_start_nothing_and_lost_tracks_age_out():
     state = TrackerState()
     assert step(state, 0, [(0.3, [0, 0, 9, 9])], TrackSettings()) == [None]
-    assert step(state, 1, [(0.9, [0, 0, 9, 9])], TrackSettings()) == [1]
-    for k in range(2, 40):
+    assert step(state, 1, [(0.9, [0, 0, 9, 9])], TrackSettings()) == [None]
+    assert step(state, 2, [(0.9, [0, 0, 9, 9])], TrackSettings()) == [1]
+    for k in range(3, 40):
         step(state, k, [], TrackSettings())
+        assert [t.status for t in state.tracks] == ([tracking.LOST] if k <= 32 else [])
+    assert step(state, 40, [(0.9, [0, 0, 9, 9])], TrackSettings()) == [None]
+    assert step(state, 41, [(0.9, [0, 0, 9, 9])], TrackSettings()) == [2]
+
+
+def test_a_tentative_track_ends_without_a_second_look():
+    state = TrackerState()
+    step(state, 0, [], TrackSettings())
+    assert step(state, 1, [(0.9, [0, 0, 9, 9])], TrackSettings()) == [None]
+    assert [t.status for t in state.tracks] == [tracking.TENTATIVE]
+    step(state, 2, [], TrackSettings())
     assert state.tracks == []
-    assert step(state, 40, [(0.9, [0, 0, 9, 9])], TrackSettings()) == [2]
-    assert TrackerState.load(state.dump()) == state
+
+
+def test_faint_boxes_meet_recently_seen_tracks_only():
+    still = [0.0, 0.0, 20.0, 20.0]
+    state = TrackerState()
+    assert step(state, 0, [(0.9, still)], TrackSettings()) == [1]
+    assert step(state, 1, [(0.2, still)], TrackSettings()) == [1]
+    assert step(state, 2, [], TrackSettings()) == []
+    assert step(state, 3, [(0.2, still)], TrackSettings()) == [None]  # lost by now
+    assert step(state, 4, [(0.9, still)], TrackSettings()) == [1]
+
+
+def test_occlusion_is_bridged_by_the_predicted_motion():
+    """Hidden for ten frames, the box comes back 80 pixels on, where only its predicted place overlaps it."""
+    state = TrackerState()
+    for k in range(40):
+        ids = step(state, k, [] if 15 <= k < 25 else [moving(k, 0, 8)], TrackSettings())
+        assert ids in ([], [1])
+    stays = TrackerState()
+    for k in range(15):
+        step(stays, k, [moving(0, 0, 8)], TrackSettings())
+    assert step(stays, 25, [moving(10, 0, 8)], TrackSettings()) == [None]  # a still box isn't expected there
+
+
+def test_boxes_that_cannot_be_tracked():
+    odd = [(0.9, [0, 0, 0, 9]), (0.9, [5, 5, 1, 9]), (0.9, [float("nan"), 0, 9, 9]), (float("nan"), [0, 0, 9, 9]), (None, [0, 0, 9, 9]), (0.9, [0, 0, 9])]
+    assert step(TrackerState(), 0, odd, TrackSettings()) == [None] * 6
+
+
+def test_motion_by_hand():
+    """A box of height 20: one start, one prediction and one correction of its centre, by the scalar formulas."""
+    measure = motion.to_measure(np.array([[0.0, 10.0, 10.0, 30.0]]))
+    assert measure.tolist() == [[5.0, 20.0, 0.5, 20.0]] and motion.to_boxes(measure).tolist() == [[0.0, 10.0, 10.0, 30.0]]
+    mean, cov = motion.start(measure)
+    place, speed = (2 * 20 / 20) ** 2, (10 * 20 / 160) ** 2
+    assert mean[0].tolist() == [5.0, 20.0, 0.5, 20.0, 0, 0, 0, 0]
+    assert np.allclose(np.diag(cov[0]), [place, place, 1e-4, place, speed, speed, 1e-10, speed])
+    mean, cov = motion.predict(mean, cov)
+    place, speed, both = place + speed + 1.0, speed + (20 / 160) ** 2, speed
+    assert np.allclose([cov[0, 0, 0], cov[0, 4, 4], cov[0, 0, 4]], [place, speed, both])
+    mean, cov = motion.update(mean, cov, np.array([[9.0, 20.0, 0.5, 20.0]]))
+    noise = 1.0
+    assert np.allclose(mean[0, [0, 4]], [5 + 4 * place / (place + noise), 4 * both / (place + noise)])
+    assert np.allclose(cov[0, 0, 0], place - place**2 / (place + noise)) and np.allclose(cov[0, 4, 4], speed - both**2 / (place + noise))
+    assert np.allclose(mean[0, [1, 2, 3]], [20.0, 0.5, 20.0])
+
+
+def test_speed_is_learned():
+    mean, cov = motion.start(motion.to_measure(np.array([[0.0, 0.0, 20.0, 20.0]])))
+    for k in range(1, 60):
+        mean, cov = motion.update(*motion.predict(mean, cov), motion.to_measure(np.array([[3.0 * k, 0.0, 3.0 * k + 20, 20.0]])))
+    assert np.allclose(mean[0, 4:], [3, 0, 0, 0], atol=0.01) and np.allclose(mean[0, 0], 10 + 3 * 59, atol=0.05)
+
+
+def test_tracks_survive_as_rows():
+    state = TrackerState()
+    for k in range(3):
+        step(state, k, [moving(k, 0, 4)], TrackSettings())
+    again = tracking.Track.of(state.tracks[0].row())
+    assert again.row() == state.tracks[0].row()
 
 
 def rows():
@@ -89,6 +159,35 @@ def test_stream_equals_batch_for_a_split_into_micro_batches(spark, tmp_path):
     assert sorted(map(key, spark.table("tracked_stream").collect())) == want
 
 
+def test_a_restart_from_the_checkpoint_goes_on_with_the_same_ids(spark, tmp_path):
+    df = spark.createDataFrame(rows(), BOXES)
+    stream = lambda: tracking.track_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*")))
+    for part, (low, high) in enumerate([(0, 9), (9, 24)]):
+        df.where(f"frame_idx >= {low} and frame_idx < {high}").coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+        tracking.run_to_end(stream(), "restarted", str(tmp_path / "ck"))  # a new query each time
+    assert sorted(map(key, spark.table("restarted").collect())) == sorted(map(key, tracking.track(df).collect()))
+
+
+def test_a_quiet_video_is_forgotten(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame(rows(), BOXES)
+    quiet = TrackSettings(quiet=0.1)
+    stream = lambda: tracking.track_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*")), quiet)
+
+    def known():
+        state = spark.read.format("statestore").option("stateVarName", "counters").load(str(tmp_path / "ck"))
+        return sorted(r[0] for r in state.selectExpr("key.video_id").collect())
+
+    for part, rule in enumerate(("video_id = 'a' and frame_idx < 9", "video_id = 'b' and frame_idx < 9", "video_id = 'a' and frame_idx >= 9")):
+        df.where(rule).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+        tracking.run_to_end(stream(), "quiet", str(tmp_path / "ck"))
+        assert known() == ["a", "b", "a"][part : part + 1]
+        time.sleep(0.5)
+    late = {r.frame_idx: r.track_ids for r in spark.table("quiet").where("video_id = 'a' and frame_idx >= 9").collect()}
+    assert late[9] == [1, 2]  # anew
+
+
 def test_batches_reach_a_writer(spark, tmp_path):
     df = spark.createDataFrame(rows(), BOXES)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
