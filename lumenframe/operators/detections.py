@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenframe.functions import boxes
 from lumenframe.schema import Settings
+from lumenframe.workspace import scratch
 
 
 def flatten_results(df: DataFrame, results: str = "results") -> DataFrame:
@@ -44,8 +46,8 @@ def best_per_group(df: DataFrame, keys: list[str], score: str, order: list[str |
     Groups without such a row give none; NaN never wins. The rank limit is
     applied before the shuffle as well as after it, so a hot group is cut early.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), *order))
-    return df.where((F.col(score) > 0) & ~F.isnan(score)).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    rank, name = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), *order)), unused(df.columns, "rank")
+    return df.where((F.col(score) > 0) & ~F.isnan(score)).withColumn(name, rank).where(F.col(name) == 1).drop(name)
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "n") -> DataFrame:
@@ -53,6 +55,39 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str | Column], name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
+def number_split(df: DataFrame, keys: list[str], order: list[str], name: str = "n", slices: int = 64) -> DataFrame:
+    """``number_rows`` where one key may hold most rows: a key's rows spread over many tasks.
+
+    Rows are cut into about ``slices`` ranges of (keys, order) for all keys together and
+    written with their range, in the shared folder, since sampled ranges wouldn't be the
+    same twice. Each range is numbered by itself; what stands before a key in earlier
+    ranges is joined back and added: a row for each key and range.
+    ``order`` must be names of columns; rows that are equal in all of them are numbered
+    in any order, and are in one range.
+    """
+    part, before, rank = (unused(df.columns, c) for c in ("part", "before", "rank"))
+    path = scratch(df.sparkSession, "numbered")
+    df.repartitionByRange(slices, *keys, *order).withColumn(part, F.spark_partition_id()).write.parquet(path)
+    placed = df.sparkSession.read.schema(T.StructType([*df.schema, T.StructField(part, T.IntegerType())])).parquet(path)
+    counted = placed.groupBy(*keys, part).agg(F.count("*").alias(before))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn(before, F.coalesce(F.sum(before).over(earlier), F.lit(0)))
+    within = Window.partitionBy(part, *keys).orderBy(*order)
+    ranked = placed.withColumn(rank, F.row_number().over(within)).alias("l")
+    same = F.col(f"l.{part}") == F.col(f"r.{part}")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    joined = ranked.join(counted.alias("r"), same)
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{rank}") + F.col(f"r.{before}")).cast("long").alias(name))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or the first longer one that no column has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def stride(df: DataFrame, step: int) -> DataFrame:
     """Every ``step``-th frame counted from 1; a filter below whatever decodes or detects."""
     return df.where((F.col("frame_idx") + 1) % step == 0)

@@ -99,7 +99,7 @@ def draw_box(array: np.ndarray, box, colour=(0, 255, 0), thickness: int = 2) ->
     out = np.array(array, copy=True)
     x1, y1, x2, y2 = (int(v) for v in box)
     h, w = out.shape[:2]
-    xs, ys = slice(max(0, x1), min(w, x2)), slice(max(0, y1), min(h, y2))
+    xs, ys = slice(max(0, x1), max(0, min(w, x2))), slice(max(0, y1), max(0, min(h, y2)))
     for t in range(thickness):
         for y in (y1 + t, y2 - 1 - t):
             if 0 <= y < h:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions import boxes, display, text
-from lumenframe.operators import detections, kernels
+from lumenframe.operators import detections, kernels, suppression
 from lumenframe.schema import OCR_DOC, Settings
 from lumenframe.streaming import tracking
 from lumenframe.workspace import scratch
@@ -161,10 +161,9 @@ def row_numbering(spark, sf_dir):
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS frames
     FROM events""")
 def running_frames(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    so_far = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.count("*").over(so_far).alias("frames"))
+    """The running count of frames of a user is its number among them; a busy user's rows spread over tasks."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return detections.number_split(events, ["user_id"], ["event_id"], "frames")
 
 
 @query("""SELECT hour, string_agg(user_id::VARCHAR, ',' ORDER BY user_id) AS ids, count(*) AS n
@@ -373,3 +372,35 @@ def truth_match(spark, sf_dir):
     scored = pairs.select("object_pos", "pos", boxes.iou(F.col("t.bbox"), F.col("f.bbox")).alias("iou")).where("iou >= 0.3")
     best = detections.best_per_group(scored, ["object_pos"], "iou", ["pos"])
     return best.select("object_pos", "pos", F.round("iou", 9).alias("iou"))
+
+
+#: Boxes of a vector for suppression: twelve of five numbers, two classes, rounded confidences that tie, some of them NaN.
+_OVERLAPS = """SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY isnan(confidence), CASE WHEN isnan(confidence) THEN 0 ELSE -confidence END, j) AS r
+    FROM (SELECT vec_id, j::INT AS j, (j % 2)::INT AS class_id, CASE WHEN vec_id % 7 = 0 AND j = 11 THEN 'nan'::DOUBLE ELSE floor(abs(e[5 * j + 5]) * 40) / 10 END AS confidence,
+    e[5 * j + 1] * 200 AS x1, e[5 * j + 2] * 200 AS y1, e[5 * j + 1] * 200 + 30 + abs(e[5 * j + 3]) * 100 AS x2, e[5 * j + 2] * 200 + 30 + abs(e[5 * j + 4]) * 100 AS y2
+    FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), range(12) t(j))"""
+_COMMON = "greatest(0.0::DOUBLE, least(k.x2, b.x2) - greatest(k.x1, b.x1)) * greatest(0.0::DOUBLE, least(k.y2, b.y2) - greatest(k.y1, b.y1))"
+
+
+@query(f"""WITH RECURSIVE b AS MATERIALIZED ({_OVERLAPS}), kept AS (
+    SELECT vec_id, 0::BIGINT AS r, []::STRUCT(class_id INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, j INT)[] AS l FROM embeddings UNION ALL
+    SELECT s.vec_id, b.r, CASE WHEN len(list_filter(s.l, lambda k: k.class_id = b.class_id
+    AND {_COMMON} / ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_COMMON}) > 0.3)) > 0 THEN s.l
+    ELSE list_append(s.l, {{'class_id': b.class_id, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'j': b.j}}) END
+    FROM kept s JOIN b ON b.vec_id = s.vec_id AND b.r = s.r + 1)
+    SELECT vec_id, array_to_string(list_transform(l, lambda k: k.j), ',') AS stayed FROM kept WHERE r = 12""")
+def suppressed_boxes(spark, sf_dir):
+    """The numbers of the boxes that suppression within a class leaves, best first; equal and NaN confidences among them."""
+    e = lambda j, k: F.get("embedding", F.lit(5 * j + k)).cast("double")
+    confidence = lambda j: F.floor(F.abs(e(j, 4)) * 40).cast("double") / 10
+
+    def box(j: int):
+        unsure = F.when((F.col("vec_id") % 7 == 0) & F.lit(j == 11), F.lit(float("nan"))).otherwise(confidence(j))
+        x, y = e(j, 0) * 200, e(j, 1) * 200
+        xyxy = F.array(x, y, x + 30 + F.abs(e(j, 2)) * 100, y + 30 + F.abs(e(j, 3)) * 100, F.lit(float(j)))
+        return F.struct(F.lit(j % 2).alias("class_id"), unsure.alias("confidence"), xyxy.alias("xyxy"))
+
+    found = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.array(*[box(j) for j in range(12)])).alias("results"))
+    stayed = suppression.suppress_results(found, 0.3).select("vec_id", F.flatten("results").alias("boxes"))
+    numbers = F.transform("boxes", lambda b: F.get(b.getField("xyxy"), F.lit(4)).cast("int").cast("string"))
+    return stayed.select("vec_id", F.array_join(numbers, ",").alias("stayed"))

@@ -18,8 +18,9 @@ from lumenframe.operators.models import ModelSpec, ScriptedDetector
 from lumenframe.plans import pipelines
 from lumenframe.plans.catalogue import ORACLE_SQL, QUERIES, SETTINGS, query, table
 from lumenframe.schema import OCR_DOC
+from lumenframe.sources import frames as frame_files
 from lumenframe.sources import images as image_files
-from lumenframe.sources import sinks
+from lumenframe.sources import sinks, videos
 from lumenframe.sources.jpeg import encode_jpeg
 from lumenframe.workspace import scratch
 
@@ -109,15 +110,18 @@ def plan_detect_plates(spark, sf_dir):
 
 
 @query(f"""WITH found AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY j) - 1 AS pos FROM ({_BOXES}) WHERE confidence >= 0.25),
-    inside AS ({_INSIDE}, pos FROM found),
-    sized AS (SELECT *, least(5.0::DOUBLE, 3800.0::DOUBLE / greatest(x2 - x1, y2 - y1)) AS s FROM inside WHERE x2 > x1 AND y2 > y1),
-    enlarged AS (SELECT *, trunc((x2 - x1) * s)::INT AS w, trunc((y2 - y1) * s)::INT AS h FROM sized)
+    inside AS (SELECT *, least(greatest(x1, 0), {WIDTH}) AS a1, least(greatest(y1, 0), {HEIGHT}) AS b1,
+    least(greatest(x2, 0), {WIDTH}) AS a2, least(greatest(y2, 0), {HEIGHT}) AS b2 FROM found),
+    sized AS (SELECT *, least(5.0::DOUBLE, 3800.0::DOUBLE / greatest(a2 - a1, b2 - b1)) AS s FROM inside WHERE a2 > a1 AND b2 > b1),
+    enlarged AS (SELECT *, trunc((a2 - a1) * s)::INT AS w, trunc((b2 - b1) * s)::INT AS h FROM sized)
     SELECT vec_id, pos::INT AS pos, CASE WHEN greatest(w % 16, h % 16) = 0 THEN '' WHEN w % 16 >= h % 16 THEN 'W' || w ELSE 'H' || h END AS text,
-    confidence AS detection_confidence, greatest(w % 16, h % 16) / 16.0::DOUBLE AS ocr_confidence, x1, y1, x2, y2 FROM enlarged""")
+    confidence AS detection_confidence, greatest(w % 16, h % 16) / 16.0::DOUBLE AS ocr_confidence, x1, y1, x2, y2,
+    a1 || ',' || b1 || ',' || a2 || ',' || b2 AS crop FROM enlarged""")
 def plan_detect_and_read(spark, sf_dir):
     """Detect, crop, enlarge, equalise, read and choose: the OCR reads the size of what it is given."""
     read = pipelines.detect_and_read(images(spark, sf_dir), _detector(), ModelSpec(SizeOcr))
-    return read.select("vec_id", "pos", "text", "detection_confidence", "ocr_confidence", *_corners())
+    crop = F.array_join(F.col("crop_bbox").cast("array<string>"), ",").alias("crop")
+    return read.select("vec_id", "pos", "text", "detection_confidence", "ocr_confidence", *_corners(), crop)
 
 
 _BEST = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY confidence DESC, j) AS r
@@ -270,3 +274,81 @@ def jpeg_blocks(spark, sf_dir):
     flat = read.select(detections.file_stem(F.col("path")).alias("stem"), F.lower(F.hex("image.data")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
     corner = 1024 * F.floor(F.col("block") / 8) + 16 * (F.col("block") % 8) + 1  # of hexadecimal digits, 128 a row
     return flat.select("stem", "block", F.concat(*[F.substring("h", (corner + 128 * y).cast("int"), F.lit(16)) for y in range(8)]).alias("pixels"))
+
+
+_GREEN = f"""SELECT vec_id, p, count(b.j) > 0 AS drawn, any_value(substr(repeat(m, 72), cast(6 * p + 1 AS INT), 6)) AS old
+    FROM ({_IMAGES}) i CROSS JOIN range({WIDTH * HEIGHT}) t(p) LEFT JOIN (SELECT vec_id AS of, j, x1, y1, x2, y2 FROM ({_BOXES}) WHERE class IS NOT NULL) b
+    ON b.of = vec_id AND ((p % {WIDTH} >= x1 AND p % {WIDTH} < x2 AND p // {WIDTH} IN (y1, y1 + 1, y2 - 2, y2 - 1))
+    OR (p // {WIDTH} >= y1 AND p // {WIDTH} < y2 AND p % {WIDTH} IN (x1, x1 + 1, x2 - 2, x2 - 1))) GROUP BY vec_id, p"""
+
+
+@query(f"SELECT vec_id, string_agg(CASE WHEN drawn THEN '00ff00' ELSE old END, '' ORDER BY p) AS pixels FROM ({_GREEN}) GROUP BY vec_id")
+def annotated_frames(spark, sf_dir):
+    """The outlines of vehicles on every image, two points wide and clipped, compared pixel by pixel."""
+    drawn = pipelines.annotated_frames(images(spark, sf_dir), _detector(), labels=False)
+    return drawn.select("vec_id", F.lower(F.hex("image.data")).alias("pixels"))
+
+
+#: A scene of a hundred frames: two vehicles that pass each other, one of them hidden and later faint, a third that comes late, and a person.
+HIDDEN, FAINT, LATE = range(40, 45), 60, 70
+
+
+def _scene(k: int) -> list[list[tuple]]:
+    found = [(0, 0.9, 10.0, 200.0, 30.0, 260.0), (2, 0.9, 3.0 * k, 0.0, 3.0 * k + 40, 30.0)]
+    if k not in HIDDEN:
+        found.append((7, 0.3 if k == FAINT else 0.8, 300.0 - 3 * k, 40.0, 360.0 - 3 * k, 90.0))
+    if k >= LATE:
+        found.append((5, 0.7, 500.0, 100.0 + k, 560.0, 160.0 + k))
+    return [found]
+
+
+@query(f"""SELECT (vec_id // 100)::VARCHAR AS video_id, vec_id % 100 AS frame_idx, true AS has_boxes, '1'
+    || CASE WHEN vec_id % 100 BETWEEN {HIDDEN.start} AND {HIDDEN.stop - 1} THEN '' ELSE ',2' END
+    || CASE WHEN vec_id % 100 > {LATE} THEN ',3' ELSE '' END AS track_ids FROM embeddings""")
+def track_vehicles(spark, sf_dir):
+    """Ids of vehicles through crossing, hiding, a faint frame and a late arrival, which a second frame confirms; the person is left out."""
+    seen = frames(spark, sf_dir)
+    # the first byte of an image tells the script the frame's number
+    data = F.unhex(F.rpad(F.lpad(F.hex(F.col("frame_idx")), 2, "0"), 6, "0"))
+    image = F.struct(F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(3).alias("n_channels"), data.alias("data"))
+    scene = ModelSpec(ScriptedDetector, ({k: _scene(k) for k in range(100)},))
+    tracked = pipelines.track_vehicles(seen.withColumn("image", image), scene)
+    return tracked.select("video_id", "frame_idx", "has_boxes", F.array_join(F.col("track_ids").cast("array<string>"), ",").alias("track_ids"))
+
+
+#: A square frame of one gray, the first byte of the md5; at the usual quality JPEG keeps it exactly.
+_GRAYS = f"""SELECT (vec_id // 100)::VARCHAR AS video, vec_id % 100 AS frame_idx, 25.0::DOUBLE AS fps, 16 AS height, 16 AS width,
+    repeat(substr(m, 1, 2), 256) AS pixels FROM ({_IMAGES})"""
+
+
+def _videos(spark, sf_dir) -> str:
+    """The folder of AVI files of such frames, one for each hundred embeddings."""
+    data = F.unhex(F.repeat(F.substring(F.hex("image.data"), 1, 2), 256))
+    gray = F.struct(F.lit(16).alias("height"), F.lit(16).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"))
+    folder = _folder(spark, "videos")
+    videos.write_videos(frames(spark, sf_dir).withColumn("image", gray), folder)
+    return folder
+
+
+def _shown(seen: DataFrame) -> DataFrame:
+    size = [F.col(f"image.{c}").alias(c) for c in ("height", "width")]
+    return seen.select(detections.file_stem(F.col("video_id")).alias("video"), "frame_idx", "fps", *size, F.lower(F.hex("image.data")).alias("pixels"))
+
+
+@query(_GRAYS)
+def videos_round_trip(spark, sf_dir):
+    """Videos written in segments and stitched, then planned and decoded by tasks."""
+    return _shown(frame_files.read_videos(videos.list_videos(spark, _videos(spark, sf_dir))))
+
+
+@query(f"SELECT * FROM ({_GRAYS}) WHERE (frame_idx + 1) % 10 = 0")
+def videos_strided(spark, sf_dir):
+    """Every tenth frame of the same videos; no other is decoded."""
+    return _shown(frame_files.read_videos(videos.list_videos(spark, _videos(spark, sf_dir)), stride=SETTINGS.stride))
+
+
+@query("SELECT (vec_id // 100)::VARCHAR AS video, 25.0::DOUBLE AS fps, 16 AS height, 16 AS width, count(*) AS frames FROM embeddings GROUP BY vec_id // 100")
+def video_metadata(spark, sf_dir):
+    """What the headers of the same videos say, read by tasks."""
+    manifest = frame_files.video_manifest(videos.list_videos(spark, _videos(spark, sf_dir)))
+    return manifest.select(detections.file_stem(F.col("video_id")).alias("video"), "fps", "height", "width", "frames")

@@ -85,8 +85,9 @@ def test_detect_and_read(images):
         got = pipelines.detect_and_read(images, DETECTOR, OCR, variable_scale=variable).collect()
         assert {(r.image_id, r.text, r.detection_confidence, r.ocr_confidence, tuple(r.bbox)) for r in got} == {
             ("i1", "AB1", 0.9, 0.6, (1, 2, 30, 20)), ("i1", "AB1", 0.99, 0.6, (5, 5, 9, 9)),
-            ("i2", "AB1", 0.7, 0.6, (0, 2, 30, 20)), ("i2", "AB1", 0.7, 0.6, (1, 2, 30, 20)),
+            ("i2", "AB1", 0.7, 0.6, (-3, 2, 30, 20)), ("i2", "AB1", 0.7, 0.6, (1, 2, 30, 20)),
         }
+        assert {tuple(r.crop_bbox) for r in got if r.image_id == "i2"} == {(0, 2, 30, 20), (1, 2, 30, 20)}
     silent = pipelines.detect_and_read(images, DETECTOR, ModelSpec(ScriptedOcr, ({},)), Settings(min_confidence=0.95)).collect()
     assert [(r.text, r.ocr_confidence) for r in silent] == [("", 0.0)]
 
@@ -154,24 +155,44 @@ def test_frame_source_reads_ranges_and_strides(spark, video):
     assert all(r.image.data == plain[r.frame_idx] for r in strided.collect())
 
 
-def test_stride_reads_only_its_frames(tmp_path, monkeypatch):
+def test_stride_reads_only_its_frames(spark, tmp_path):
     video = str(tmp_path / "long.npy")
     np.save(video, np.zeros((1000, 2, 2, 3), np.uint8))
-    monkeypatch.setattr(frame_source, "FRAMES_PER_TASK", 16)
-    reader = frame_source.FrameReader({"path": video, "stride": "10"})
-    decoded = []
-    read = frame_source.NpyVideo.read
-
-    def counted(self, *args):
-        for frame in read(self, *args):
-            decoded.append(1)
-            yield frame
-
-    monkeypatch.setattr(frame_source.NpyVideo, "read", counted)
-    rows = [r[1] for p in reader.partitions() for r in reader.read(p)]
-    assert rows == list(range(9, 1000, 10)) and len(decoded) == 100
-    reader = frame_source.FrameReader({"path": video, "start": "18", "stop": "19"})
-    assert [(p.start, p.stop) for p in reader.partitions()] == [(18, 19)]
+    seen = []
+
+    class Counting(frame_source.NpyVideo):
+        def read(self, *args):
+            for frame in super().read(*args):
+                seen.append(1)
+                yield frame
+
+    files = spark.createDataFrame([(video, video)], "video_id string, path string")
+    dealt = frame_source.ranges(frame_source.video_manifest(files), 10, per_task=16).orderBy("first").collect()
+    assert [(r.first, r.last) for r in dealt] == [(k, min(k + 160, 1000)) for k in range(9, 1000, 160)]
+    assert [k for r in dealt for k, _ in frame_source.decoded(r.asDict(), 10, Counting())] == list(range(9, 1000, 10)) and len(seen) == 100
+    one = frame_source.ranges(frame_source.video_manifest(files), start=18, stop=19).collect()
+    assert [(r.first, r.last) for r in one] == [(18, 19)]
+
+
+def test_many_videos_are_planned_by_tasks(spark):
+    import os
+
+    driver = os.getpid()
+
+    class Remote:
+        def open(self, path):
+            assert os.getpid() != driver
+            return 25.0, 4, 4, int(path) % 3 * 300
+
+        def read(self, path, start, stop, step):
+            assert os.getpid() != driver
+            yield from (np.zeros((1, 1, 1), np.uint8) for _ in range(start, stop, step))
+
+    files = spark.range(10_000).selectExpr("cast(id as string) as video_id", "cast(id as string) as path")
+    dealt = frame_source.ranges(frame_source.video_manifest(files, Remote()))
+    assert dealt.count() == 3333 * 2 + 3333 * 3
+    some = frame_source.read_videos(files.where("video_id < 30"), Remote(), stride=100)
+    assert some.count() == 10 * 3 + 10 * 6
 
 
 def test_video_plans(spark, video, tmp_path):
