@@ -13,6 +13,7 @@ from typing import Any
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space and words of the corpus contracts: words are runs of other characters.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
@@ -151,6 +152,20 @@ def labelled_sample(
     return sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), counts
 
 
+def within_bytes(sample: DataFrame, group: str, most: int) -> DataFrame:
+    """The rows of a written, bounded sample (doc_id, text, ``group``) that a model may be fitted on in the driver.
+
+    Of each group texts are taken by a hash of the id while they have at most ``most``
+    bytes together; texts of more than an eighth of that are passed over.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    sized = sample.select("doc_id", group, size).where(F.col("size") * 8 <= most)
+    order = Window.partitionBy(group).orderBy(spin(F.col("doc_id")), "doc_id", "size")
+    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ids = sized.withColumn("upto", upto).where(F.col("upto") <= most).select("doc_id", group).distinct()
+    return sample.join(F.broadcast(ids), ["doc_id", group], "left_semi").select(*sample.columns)  # ids of a bounded sample
+
+
 def pieces(batches: Iterator[Any], rows: int = 500, size: int = 8 << 20) -> Iterator[Any]:
     """The rows of Arrow batches, at most ``rows`` and about ``size`` bytes at a time.
 

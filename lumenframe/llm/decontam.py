@@ -10,8 +10,10 @@ and store it in the shared folder; every task that reads documents has only the
 hashes of all windows, eight bytes and a block's number for each, and a bit table
 of word pairs. Stretches of a document whose neighbours are all such pairs are
 looked up among the windows, and only the automata of blocks that hold one of
-theirs are loaded and walked, at most KEPT_BLOCKS at a time. So a task's memory
-grows with the benchmark by twelve bytes a word, and the driver's likewise.
+theirs are loaded and walked, at most KEPT_BLOCKS at a time. A task looks at
+PIECE_BYTES of text at once and walks its stretches block by block, so a block is
+loaded once for so many bytes at most. A task's memory grows with the benchmark by
+twelve bytes a word, and the driver's likewise.
 
 Defined results: null and empty texts have no words; texts of any length are read
 whole; an item without words is ignored, and one with a null id too; items that
@@ -40,6 +42,8 @@ from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 WINDOW = 13
 #: Bytes of items in one block, whose automaton takes some 60 MB in a task; automata a task keeps; words after which an item is cut.
 BLOCK_BYTES, KEPT_BLOCKS, PART_WORDS = 256 << 10, 2, 20_000
+#: Rows and bytes of text that are looked at together.
+PIECE_ROWS, PIECE_BYTES = 20_000, 8 << 20
 #: Bits of the word-pair table.
 PAIR_BITS = 22
 #: Bytes of benchmark text that are accepted, some 130 MB of window hashes: test sets are published by hand and small.
@@ -341,7 +345,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
 
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
         here = detector()
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE_ROWS, PIECE_BYTES):
             rows = list(here.inspect(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -409,7 +413,7 @@ def clean_documents(documents: DataFrame, benchmark: DataFrame, window: int = WI
         import pyarrow as pa
 
         at, here = columns.index("text"), detector()
-        for batch in pieces(batches):
+        for batch in pieces(batches, PIECE_ROWS, PIECE_BYTES):
             keep, texts = [], []
             for text, (n, spans, _) in zip(batch.column(at), here.inspect(batch.column(at)), strict=True):
                 hit = sum(b - a for a, b in spans)

@@ -10,7 +10,8 @@ For scoring, embedding and filters fold into lookup tables over symbols and
 pairs of symbols, so a response is a sum of a few table rows.
 
 Fitting uses a bounded sample: all windows of ``PER_LANGUAGE`` labelled documents
-of each language, in small batches. Defined results: a null text, or one without
+of each language, of ``SAMPLE_BYTES`` bytes together at most, shared by the
+languages, in small batches. Defined results: a null text, or one without
 a letter, is ``und`` with score 1; without labelled documents every text is
 ``und`` with score 0; texts of any length are read whole; rows that repeat have
 the same result each and are learned from once; of languages that score the same
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lumenframe.llm.common import fold, pieces, ship, spin
+from lumenframe.llm.common import fold, intermediates, materialise, pieces, ship, spin, within_bytes
 from lumenframe.llm.textscan import text_buffers
 
 #: Bytes of a window, symbols, width of an embedding, filters of each width, and the widths.
@@ -35,6 +36,8 @@ WINDOW, SYMBOLS, EMBEDDING, FILTERS = 128, 64, 8, 16
 WIDTHS = (2, 3, 4)
 #: Labelled documents of each language and the most languages, which bound the sample; passes over it.
 PER_LANGUAGE, MOST_LANGUAGES, EPOCHS = 500, 300, 4
+#: Bytes of the sampled texts together, and of one language; texts longer than an eighth of a language's share are not learned from.
+SAMPLE_BYTES, LANGUAGE_BYTES = 128 << 20, 8 << 20
 #: Windows that are scored at a time.
 BATCH = 1024
 UNDETERMINED = "und"
@@ -164,8 +167,8 @@ def _learnable(documents: DataFrame, modulus: int, held_out: int) -> DataFrame:
     return known.where(fold(F.col("doc_id"), modulus) != held_out)
 
 
-def _sampled_windows(documents: DataFrame, modulus: int, held_out: int) -> DataFrame:
-    """Rows (lang, windows): all windows of each sampled document; ids are drawn by a hash."""
+def _sampled_windows(documents: DataFrame, modulus: int, held_out: int, most: int = LANGUAGE_BYTES) -> DataFrame:
+    """Rows (lang, windows): all windows of each sampled document; ids are drawn by a hash, of a language at most ``most`` bytes of text."""
     known = _learnable(documents, modulus, held_out)
     # A hash threshold from each language's count leaves a few thousand ids of any language before they are ranked.
     counts = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("many")))
@@ -173,6 +176,7 @@ def _sampled_windows(documents: DataFrame, modulus: int, held_out: int) -> DataF
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("spin", "doc_id"))
     ids = few.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).select("doc_id", "lang").distinct()
     picked = documents.where("text is not null").select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
+    picked = within_bytes(materialise(picked, "language-sample"), "lang", most)
 
     def pick(batches):
         import pyarrow as pa
@@ -190,7 +194,10 @@ def language_model(documents: DataFrame, modulus: int = 4, held_out: int = 2) ->
     many = _learnable(documents, modulus, held_out).select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if many > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows = sorted({(r.lang, bytes(r.windows)) for r in _sampled_windows(documents, modulus, held_out).collect() if r.windows})
+    share = min(LANGUAGE_BYTES, SAMPLE_BYTES // max(1, many))
+    with intermediates():
+        found = _sampled_windows(documents, modulus, held_out, share).collect()
+    rows = sorted({(r.lang, bytes(r.windows)) for r in found if r.windows})
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})

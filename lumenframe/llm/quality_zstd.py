@@ -7,8 +7,8 @@ that neither dictionary has seen turns that into the probability of good; it
 also reads how far the text was compressed, since a text that repeats itself
 compresses alike with any dictionary.
 
-Fitting uses a bounded sample (``per_class`` documents of each label, whole
-texts). Scoring compresses every block of every text in the tasks that read it,
+Fitting uses a bounded sample (``per_class`` documents of each label, whole texts,
+of at most ``CLASS_BYTES`` bytes together). Scoring compresses every block of every text in the tasks that read it,
 without a shuffle.
 
 Defined results: null and empty texts have a difference of 0 and the score of
@@ -27,10 +27,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lumenframe.llm.common import labelled_sample, pieces, ship
+from lumenframe.llm.common import discard, labelled_sample, materialise, pieces, ship, within_bytes
 
-#: Labelled documents of each class that are used for fitting.
-PER_CLASS = 3000
+#: Labelled documents of each class that are used for fitting, and their bytes together; longer ones than an eighth of
+#: that are not learned from.
+PER_CLASS, CLASS_BYTES = 3000, 32 << 20
 #: Bytes that are compressed on their own, the compression level, and bytes of a dictionary.
 BLOCK, LEVEL, DICTIONARY = 1024, 3, 112_640
 #: Bytes of the smallest dictionary that is tried, where there is too little text to train a larger one.
@@ -143,8 +144,11 @@ def fit_quality(rows: list[tuple[int, str | None, int]], shares: dict[int, int])
 
 def quality_model(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, per_class: int = PER_CLASS) -> QualityModel:
     """The model of ``labels.quality`` from documents outside the held-out fold."""
-    sample, shares = labelled_sample(documents, labels, "quality", modulus, held_out, per_class)
-    return fit_quality([tuple(r) for r in sample.collect()], shares)
+    drawn, shares = labelled_sample(documents, labels, "quality", modulus, held_out, per_class)
+    sample = materialise(drawn, "quality-sample")
+    rows = within_bytes(sample, "label", CLASS_BYTES).select("doc_id", "text", "label").collect()
+    discard(sample)
+    return fit_quality([tuple(r) for r in rows], shares)
 
 
 def score_quality(documents: DataFrame, model: QualityModel) -> DataFrame:

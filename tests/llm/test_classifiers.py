@@ -266,3 +266,18 @@ def test_labels_of_the_held_out_fold_change_nothing(corpus):
     inside = fold(F.col("doc_id"), 4) == 2
     other = docs.withColumn("lang", F.when(inside, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("lang")))
     assert pickle.dumps(langid.language_model(docs, 4, 2)) == pickle.dumps(langid.language_model(other, 4, 2))
+
+
+def test_samples_for_the_driver_are_bounded_in_bytes(spark):
+    from lumenframe.llm.common import within_bytes
+
+    rows = [(k, "é" * (10 + k % 7), k % 2) for k in range(400)] + [(1000, "x" * 500, 1), (1001, None, 0), (3, "again", 1)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = within_bytes(sample, "label", 1600).collect()
+    for y in (0, 1):
+        mine = [r for r in got if r.label == y]
+        size = sum(len((r.text or "").encode()) for r in mine)
+        assert 1600 - 40 < size <= 1600 + 40 and 1000 not in {r.doc_id for r in mine}
+    assert sorted(within_bytes(sample, "label", 1 << 20).collect(), key=str) == sorted(sample.collect(), key=str)
+    assert sorted(got, key=str) == sorted(within_bytes(sample.repartition(5), "label", 1600).collect(), key=str)
+    assert within_bytes(sample.limit(0), "label", 1600).count() == 0

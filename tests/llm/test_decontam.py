@@ -84,3 +84,20 @@ def test_long_spans_are_cut(spark):
     assert [r.text for r in got] == [text.replace(item.upper(), "")] * 2
     assert decontam.clean_documents(docs.limit(0), bench).count() == 0
     assert decontam.clean_documents(docs, bench.limit(0)).count() == 3
+
+
+def test_each_block_is_loaded_once_for_a_piece(spark, monkeypatch):
+    """Every text holds windows of every block, in an order of its own."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(15))) for k in range(12)]
+    texts = [" , ".join(t for _, t in rng.sample(items, 12)) for _ in range(700)]
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 200)
+    detector = decontam.benchmark_detector(spark.createDataFrame(items, "item_id int, text string"))
+    loads, opened = [], decontam.open_store
+    monkeypatch.setattr(decontam, "open_store", lambda uri: loads.append(uri) or opened(uri))
+    found = list(detector.inspect(pa.array(texts)))
+    assert all(len(names) == 12 for _, _, names in found)
+    assert len(detector.stored) > 3 and len(loads) == len(set(loads)) <= len(detector.stored)
+    assert decontam.PIECE_ROWS > 700  # which one piece holds
