@@ -13,6 +13,11 @@ def to_int_box(xyxy: Column) -> Column:
     return F.transform(xyxy, lambda v: v.cast("int"))
 
 
+def to_ints(values: Column) -> Column:
+    """Numbers of a model, such as track ids, as whole numbers, truncated toward zero; a null array stays null."""
+    return F.transform(values, lambda v: v.cast("int"))
+
+
 def corner(box: Column, k: int) -> Column:
     """Coordinate ``k`` (x1, y1, x2, y2); null if the box is shorter."""
     return F.get(box, F.lit(k))

@@ -130,6 +130,11 @@ def found_flags(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     )
 
 
+def note_if_empty(df: DataFrame, text: str, name: str = "line") -> DataFrame:
+    """One row with ``text`` if ``df`` has none, else no row; a count that stops nothing else."""
+    return df.limit(1).agg(F.count("*").alias("many")).where("many = 0").select(F.lit(text).alias(name))
+
+
 def file_stem(path: Column) -> Column:
     """A file's name without folders and its last suffix."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]+$", "")

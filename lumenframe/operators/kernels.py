@@ -2,7 +2,9 @@
 
 They follow published definitions (Keys cubic convolution with a = -0.75 and
 replicated borders, ITU-R 601 luma, Zuiderveld's contrast-limited adaptive
-equalisation); bit-exact agreement with other libraries is not claimed.
+equalisation); bit-exact agreement with other libraries is not claimed. Results
+are rounded to millionths before they become whole numbers, so that ties don't hang
+on the last bit of a sum.
 """
 
 from __future__ import annotations
@@ -32,8 +34,13 @@ def crop(array: np.ndarray, box) -> np.ndarray:
     return array[y1:y2, x1:x2]
 
 
+def _whole(values: np.ndarray) -> np.ndarray:
+    """The nearest whole numbers from 0 to 255; halves go up."""
+    return np.clip(np.floor(np.round(values, 6) + 0.5), 0, 255).astype(np.uint8)
+
+
 def gray(array: np.ndarray) -> np.ndarray:
-    return np.floor(array[:, :, :3] @ np.array(LUMA) + 0.5).astype(np.uint8)
+    return _whole(array[:, :, :3] @ np.array(LUMA))
 
 
 def to_bgr(plane: np.ndarray) -> np.ndarray:
@@ -59,7 +66,7 @@ def resize(array: np.ndarray, width: int, height: int) -> np.ndarray:
     rows, columns = _cubic_matrix(array.shape[0], height), _cubic_matrix(array.shape[1], width)
     out = np.einsum("yi,ij...->yj...", rows, array.astype(float), optimize=True)
     out = np.einsum("xj,yj...->yx...", columns, out, optimize=True)
-    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+    return _whole(out)
 
 
 def clahe(plane: np.ndarray, clip_limit: float = 2.0, tiles: int = 8) -> np.ndarray:
@@ -84,7 +91,7 @@ def clahe(plane: np.ndarray, clip_limit: float = 2.0, tiles: int = 8) -> np.ndar
     at = lambda a, b: maps[np.clip(a, 0, tiles - 1)[:, None], np.clip(b, 0, tiles - 1)[None, :], plane]
     top = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx
     low = at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
-    return np.floor(top * (1 - fy) + low * fy + 0.5).astype(np.uint8)
+    return _whole(top * (1 - fy) + low * fy)
 
 
 def enhance(array: np.ndarray, width: int, height: int, clip_limit: float, tiles: int) -> np.ndarray:

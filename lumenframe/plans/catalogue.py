@@ -12,7 +12,6 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lumenframe.functions import boxes, display, text
 from lumenframe.operators import detections, kernels, suppression
@@ -273,8 +272,8 @@ def gray_pixels(spark, sf_dir):
 
 
 def _planes(spark: SparkSession, sf_dir: str, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """A kernel over every embedding as an 8 x 8 gray plane; the result's size, sum and extremes."""
-    schema = T.StructType([T.StructField("vec_id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("height", "width", "total", "least", "most")]])
+    """A kernel over every embedding as an 8 x 8 gray plane: the result's size and pixels."""
+    schema = "vec_id long, height int, width int, pixels string"
 
     def stage(batches):
         import pyarrow as pa
@@ -282,23 +281,68 @@ def _planes(spark: SparkSession, sf_dir: str, run: Callable[[np.ndarray], np.nda
         for batch in batches:
             rows = []
             for key, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = run(np.clip(np.abs(np.array(values).reshape(8, 8)) * 400, 0, 255).astype(np.uint8)).astype(np.int64)
-                rows.append((key, out.shape[0], out.shape[1], int(out.sum()), int(out.min()), int(out.max())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], schema.names)
+                out = run(np.clip(np.abs(np.array(values).reshape(8, 8)) * 400, 0, 255).astype(np.uint8))
+                rows.append({"vec_id": key, "height": out.shape[0], "width": out.shape[1], "pixels": out.tobytes().hex()})
+            kinds = pa.schema([("vec_id", pa.int64()), ("height", pa.int32()), ("width", pa.int32()), ("pixels", pa.string())])
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(stage, schema)
 
 
-@query()
+_PLANE = "SELECT vec_id, p // 8 AS y, p % 8 AS x, floor(least(abs(embedding[p + 1]::DOUBLE) * 400, 255)) AS v FROM embeddings, range(64) t(p)"
+
+
+def _cubic_sql(target: str) -> str:
+    """Weights (t, s) of the cubic kernel that resamples 8 points to ``target``."""
+    return f"""SELECT t, least(greatest(b + k, 0), 7) AS s, sum(CASE WHEN d <= 1 THEN 1.25::DOUBLE * d * d * d - 2.25::DOUBLE * d * d + 1
+        WHEN d < 2 THEN -0.75::DOUBLE * (d * d * d - 5 * d * d + 8 * d - 4) ELSE 0 END) AS w
+        FROM (SELECT t, b, k, abs(a - (b + k)) AS d FROM (SELECT t, a, floor(a)::INT AS b FROM (SELECT t, (t + 0.5::DOUBLE) * 8 / {target} - 0.5::DOUBLE AS a FROM range({target}) r(t))), range(-1, 3) q(k)) GROUP BY t, s"""
+
+
+def _resized_sql(width: int, height: int) -> str:
+    """The plane resized: (vec_id, y, x, v)."""
+    return f"""SELECT vec_id, y, w.t AS x, greatest(0, least(255, floor(round(sum(w.w * v), 6) + 0.5::DOUBLE))) AS v
+        FROM (SELECT vec_id, h.t AS y, x, sum(h.w * v) AS v FROM ({_PLANE}) JOIN ({_cubic_sql(str(height))}) h ON h.s = y GROUP BY vec_id, h.t, x)
+        JOIN ({_cubic_sql(str(width))}) w ON w.s = x GROUP BY vec_id, y, w.t"""
+
+
+@query(f"SELECT vec_id, 24 AS height, 24 AS width, string_agg(printf('%02x', v::INT), '' ORDER BY y, x) AS pixels FROM ({_resized_sql(24, 24)}) GROUP BY vec_id")
 def resize_cubic(spark, sf_dir):
+    """Every plane enlarged three times, compared pixel by pixel."""
     return _planes(spark, sf_dir, lambda p: kernels.resize(p, 24, 24))
 
 
-@query()
+#: Adaptive equalisation of 40 x 32 points in tiles of 5 x 4: of 20 points the limit leaves one of each gray, and the rest is dealt to bins in even steps.
+_EQUAL = f"""WITH px AS MATERIALIZED ({_resized_sql(40, 32)}),
+    tiles AS MATERIALIZED (SELECT *, CASE WHEN rest > 0 THEN greatest(256 // rest, 1) ELSE 1 END AS step FROM (SELECT vec_id, y // 4 AS ty, x // 5 AS tx,
+    list(DISTINCT v) AS d, 20 - count(DISTINCT v) AS rest FROM px GROUP BY ALL)),
+    near AS (SELECT vec_id, y, x, v, least(greatest(floor(fy)::INT + a, 0), 7) AS ty, least(greatest(floor(fx)::INT + b, 0), 7) AS tx,
+    (CASE WHEN a = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN b = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS share
+    FROM (SELECT *, (y + 0.5::DOUBLE) / 4 - 0.5::DOUBLE AS fy, (x + 0.5::DOUBLE) / 5 - 0.5::DOUBLE AS fx FROM px), range(2) r(a), range(2) q(b)),
+    equal AS (SELECT vec_id, y, x, floor(round(sum(share * floor((len(list_filter(d, lambda u: u <= v)) + least(rest, v::INT // step + 1)) * 255 / 20.0::DOUBLE + 0.5::DOUBLE)), 6)
+    + 0.5::DOUBLE)::INT AS v FROM near JOIN tiles USING (vec_id, ty, tx) GROUP BY vec_id, y, x)"""
+
+
+@query(f"{_EQUAL} SELECT vec_id, 32 AS height, 40 AS width, string_agg(printf('%02x', v), '' ORDER BY y, x) AS pixels FROM equal GROUP BY vec_id")
 def clahe_tile(spark, sf_dir):
+    """Every plane enlarged and equalised, compared pixel by pixel."""
     return _planes(spark, sf_dir, lambda p: kernels.clahe(kernels.resize(p, 40, 32)))
 
 
+@query(f"{_EQUAL} SELECT vec_id, 32 AS height, 40 AS width, string_agg(repeat(printf('%02x', v), 3), '' ORDER BY y, x) AS pixels FROM equal GROUP BY vec_id")
+def enhanced_plane(spark, sf_dir):
+    """The whole chain before OCR on three equal channels: resize, gray, equalise, and back to three channels."""
+    return _planes(spark, sf_dir, lambda p: kernels.enhance(kernels.to_bgr(p), 40, 32, SETTINGS.clip_limit, SETTINGS.tiles))
+
+
+@query("""SELECT vec_id, 3 AS height, 7 AS width, string_agg(printf('%02x', floor(round(0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r, 6) + 0.5::DOUBLE)::INT), '' ORDER BY p) AS pixels
+    FROM (SELECT vec_id, p, floor(least(abs(embedding[3 * p + 1]::DOUBLE) * 400, 255)) AS b, floor(least(abs(embedding[3 * p + 2]::DOUBLE) * 400, 255)) AS g,
+    floor(least(abs(embedding[3 * p + 3]::DOUBLE) * 400, 255)) AS r FROM embeddings, range(21) t(p)) GROUP BY vec_id""")
+def gray_kernel(spark, sf_dir):
+    """The luma of 21 coloured points by the kernel that the plans use."""
+    return _planes(spark, sf_dir, lambda p: kernels.gray(p.ravel()[:63].reshape(3, 7, 3)))
+
+
 @query("""WITH crops AS (SELECT *, trunc(l_quantity)::INT AS x1, trunc(l_quantity + l_partkey % 7)::INT AS x2 FROM lineitem
     WHERE NOT (l_discount * 10 < 0.25)), reads AS (SELECT *, CASE
     WHEN l_tax * 10 > 0 AND l_tax >= l_discount AND l_returnflag <> '' THEN l_returnflag

@@ -352,3 +352,25 @@ def video_metadata(spark, sf_dir):
     """What the headers of the same videos say, read by tasks."""
     manifest = frame_files.video_manifest(videos.list_videos(spark, _videos(spark, sf_dir)))
     return manifest.select(detections.file_stem(F.col("video_id")).alias("video"), "fps", "height", "width", "frames")
+
+
+_LINES = f"""SELECT vec_id, j + 1 AS n, (j + 1) || '. ' || class || ' ' || printf('%.2f', confidence) || ' (' || x1 || ', ' || y1 || ', ' || x2 || ', ' || y2 || ')' AS line,
+    confidence FROM (SELECT vec_id, class, confidence, x1, y1, x2, y2, row_number() OVER (PARTITION BY vec_id ORDER BY j) - 1 AS j FROM ({_BOXES}) WHERE class IS NOT NULL)"""
+
+
+@query(f"""WITH l AS ({_LINES}) SELECT 0 AS section, NULL::BIGINT AS vec_id, NULL::BIGINT AS n, 0 AS part, '===== VEHICLES =====' AS line UNION ALL
+    SELECT 1, vec_id, n, 0, line FROM l UNION ALL SELECT 2, NULL, NULL, 0, 'Images with vehicles: ' || count(DISTINCT vec_id) FROM l UNION ALL
+    SELECT 2, NULL, NULL, 1, 'Vehicles: ' || count(*) FROM l UNION ALL SELECT 3, NULL, NULL, 0, repeat('=', 20)""")
+def console_report(spark, sf_dir):
+    """The report of all vehicles: banner, lines, totals and a rule."""
+    found = detections.number_rows(pipelines.detect_vehicles(images(spark, sf_dir), _detector()), ["vec_id"], ["pos"])
+    lines = sinks.detection_lines(found, ["vec_id", "n"])
+    totals = {"Images with vehicles": F.count_distinct("vec_id"), "Vehicles": F.count("*")}
+    return sinks.report(lines, "line", ["vec_id", "n"], "VEHICLES", "No vehicles.", totals)
+
+
+@query("SELECT vec_id, array_to_string(list_transform(embedding[1:6], lambda v: trunc(v::DOUBLE * 100)::INT), ',') AS ids FROM embeddings")
+def whole_ids(spark, sf_dir):
+    """A model's numbers as whole ones; truncation differs from rounding below zero."""
+    ids = boxes.to_ints(F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double") * 100))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(ids.cast("array<string>"), ",").alias("ids"))

@@ -94,7 +94,7 @@ VEHICLE_CLASSES = {2: "car", 3: "motorcycle", 5: "bus", 7: "truck"}
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds and factors of the plans."""
+    """Thresholds and factors of the plans; the defaults are fixed values, which results depend on."""
 
     min_confidence: float = 0.25
     largest_scale: float = 5.0

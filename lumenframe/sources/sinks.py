@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.display import padded, two_places
-from lumenframe.operators import kernels
+from lumenframe.operators import detections, kernels
 from lumenframe.sources.images import encode_pnm
 from lumenframe.sources.jpeg import encode_jpeg
 from lumenframe.sources.png import encode_png
+from lumenframe.streaming.tracking import write_each_batch
 
 
 #: Encoders by file suffix.
@@ -95,3 +96,40 @@ def detection_lines(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def frame_lines(df: DataFrame) -> DataFrame:
     """Display lines of frames with their number of detections."""
     return df.select(F.concat_ws(" ", F.lit("Frame"), padded(F.col("frame_idx") + 1), F.lit("|"), F.size("track_ids").cast("string")).alias("line"))
+
+
+def report(rows: DataFrame, line: str, order: list[str], banner: str, none: str, totals: dict[str, Column]) -> DataFrame:
+    """A console report as rows (section, the order's columns, part, line).
+
+    The banner, the lines of ``rows`` in ``order`` or what stands for none, then a line for
+    each total, a label and an aggregate over all rows, and a rule as long as the banner.
+    """
+    head = F.lit(f"===== {banner} =====")
+    blank = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order]
+    one = rows.sparkSession.range(1)
+
+    def section(df: DataFrame, number: int, part: Column, text: Column) -> DataFrame:
+        return df.select(F.lit(number).alias("section"), *blank, part.cast("int").alias("part"), text.alias("line"))
+
+    body = rows.select(F.lit(1).alias("section"), *order, F.lit(0).alias("part"), F.col(line).alias("line"))
+    said = [F.concat(F.lit(f"{label}: "), value.cast("string")) for label, value in totals.items()]
+    summed = rows.agg(F.array(*said).alias("said")).select(F.posexplode("said").alias("part", "line"))
+    return (
+        section(one, 0, F.lit(0), head)
+        .unionAll(body)
+        .unionAll(section(detections.note_if_empty(rows, none), 1, F.lit(0), F.col("line")))
+        .unionAll(section(summed, 2, F.col("part"), F.col("line")))
+        .unionAll(section(one, 3, F.lit(0), F.repeat(F.lit("="), F.length(head))))
+    )
+
+
+def print_report(reported: DataFrame, write: Callable[[str], None] = print) -> None:
+    """Write a report's lines in order; the driver holds one partition of them at a time."""
+    *order, _ = reported.columns
+    for r in reported.orderBy(*order).select("line").toLocalIterator():
+        write(r.line)
+
+
+def console(stream: DataFrame, of: Callable[[DataFrame], DataFrame], checkpoint: str, write: Callable[[str], None] = print):
+    """Write the report that ``of`` makes of each micro-batch; returns the running query."""
+    return write_each_batch(stream, lambda batch, _: print_report(of(batch), write), checkpoint)
