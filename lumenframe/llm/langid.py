@@ -118,9 +118,9 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     shape = {"e": (SYMBOLS, EMBEDDING), "w": (len(WIDTHS) * FILTERS, n), "o": (n,)}
     for w in WIDTHS:
         shape |= {f"f{w}": (w, EMBEDDING, FILTERS), f"b{w}": (FILTERS,)}
-    p = {k: rng.normal(0, 0.3 if k[0] in "ef" else 0.2 if k == "w" else 0.0, s) for k, s in shape.items()}
-    m, v = ({k: np.zeros(s) for k, s in shape.items()} for _ in range(2))
-    balance = len(labels) / (n * np.maximum(1, np.bincount(labels, minlength=n)))
+    p = {k: rng.normal(0, 0.3 if k[0] in "ef" else 0.2 if k == "w" else 0.0, s).astype(np.float32) for k, s in shape.items()}
+    m, v = ({k: np.zeros(s, np.float32) for k, s in shape.items()} for _ in range(2))
+    balance = (len(labels) / (n * np.maximum(1, np.bincount(labels, minlength=n)))).astype(np.float32)
     step = 0
     for epoch in range(epochs):
         rate = 0.01 * (1 - epoch / epochs) + 0.0005
@@ -152,7 +152,8 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
                 g[f"b{w}"] = part.sum(axis=0)
                 to_input = (part[:, :, None] * flat.T[None]).reshape(len(x), FILTERS, w, EMBEDDING)
                 symbols = np.take_along_axis(x, (tops[k][:, :, None] + np.arange(w)).reshape(len(x), -1), 1)
-                np.add.at(g["e"], symbols.ravel(), to_input.reshape(-1, EMBEDDING))
+                symbols, to_input = symbols.ravel(), to_input.reshape(-1, EMBEDDING)
+                g["e"] += np.stack([np.bincount(symbols, to_input[:, d], SYMBOLS) for d in range(EMBEDDING)], 1)
             step += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
