@@ -152,6 +152,8 @@ def match_truth(found: DataFrame, truth: DataFrame, least_iou: float) -> DataFra
     """For every true box, the found box of its image with the largest overlap of at least ``least_iou``.
 
     Found boxes need image_id, pos and bbox; true ones image_id, object_pos and bbox.
+    True boxes without such a box stay, with nulls. All pairs of an image are compared,
+    so work grows with found times true boxes of an image, some dozens each.
     """
     pairs = truth.alias("t").join(found.alias("f"), "image_id").select(
         "image_id", "object_pos", F.col("f.pos").alias("pos"), boxes.iou(F.col("t.bbox"), F.col("f.bbox")).alias("iou")

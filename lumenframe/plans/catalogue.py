@@ -398,24 +398,19 @@ def track_assign(spark, sf_dir):
     return tracking.track(seen).select("video_id", "frame_idx", F.array_join(F.col("track_ids").cast("array<string>"), ",").alias("track_ids"))
 
 
-@query("""WITH b AS (SELECT vec_id, x1, y1, x2, y2 FROM (""" + _CROPS + """)),
-    p AS (SELECT t.vec_id AS object_pos, f.vec_id AS pos,
+@query("""WITH b AS (SELECT vec_id, vec_id // 10 AS image_id, x1, y1, x2, y2 FROM (""" + _CROPS + """)), t AS (SELECT * FROM b WHERE vec_id % 2 = 0),
+    p AS (SELECT t.image_id, t.vec_id AS object_pos, f.vec_id AS pos,
     greatest(0.0::DOUBLE, least(t.x2, f.x2)::DOUBLE - greatest(t.x1, f.x1)) * greatest(0.0::DOUBLE, least(t.y2, f.y2)::DOUBLE - greatest(t.y1, f.y1)) AS i,
-    (t.x2 - t.x1)::DOUBLE * (t.y2 - t.y1) + (f.x2 - f.x1)::DOUBLE * (f.y2 - f.y1) AS s
-    FROM b t JOIN b f ON t.vec_id // 10 = f.vec_id // 10 AND t.vec_id <> f.vec_id)
-    SELECT object_pos, pos, round(iou, 9) AS iou FROM (SELECT *, row_number() OVER (PARTITION BY object_pos ORDER BY iou DESC, pos) AS r
-    FROM (SELECT object_pos, pos, i / (s - i) AS iou FROM p WHERE i / (s - i) >= 0.3)) WHERE r = 1""")
+    (t.x2 - t.x1)::DOUBLE * (t.y2 - t.y1) + (f.x2 - f.x1)::DOUBLE * (f.y2 - f.y1) AS s FROM t JOIN b f ON t.image_id = f.image_id AND f.vec_id % 2 = 1),
+    best AS (SELECT *, i / (s - i) AS iou, row_number() OVER (PARTITION BY object_pos ORDER BY i / (s - i) DESC, pos) AS r FROM p WHERE i / (s - i) >= 0.1)
+    SELECT t.image_id, t.vec_id AS object_pos, pos, round(iou, 9) AS iou FROM t LEFT JOIN best ON object_pos = t.vec_id AND r = 1""")
 def truth_match(spark, sf_dir):
-    """Boxes of an image matched to the others by overlap; ten vectors make an image."""
-    crops = detections.keep_crops(raw_boxes(spark, sf_dir), SETTINGS).select(
-        F.floor(F.col("vec_id") / 10).alias("image_id"), "vec_id", "bbox"
-    )
-    truth = crops.withColumnRenamed("vec_id", "object_pos")
-    found = crops.withColumnRenamed("vec_id", "pos")
-    pairs = truth.alias("t").join(found.alias("f"), "image_id").where(F.col("object_pos") != F.col("pos"))
-    scored = pairs.select("object_pos", "pos", boxes.iou(F.col("t.bbox"), F.col("f.bbox")).alias("iou")).where("iou >= 0.3")
-    best = detections.best_per_group(scored, ["object_pos"], "iou", ["pos"])
-    return best.select("object_pos", "pos", F.round("iou", 9).alias("iou"))
+    """Boxes of an image matched to true ones by overlap; ten vectors make an image, and every second box is a true one."""
+    crops = detections.keep_crops(raw_boxes(spark, sf_dir), SETTINGS).select(F.floor(F.col("vec_id") / 10).alias("image_id"), "vec_id", "bbox")
+    truth = crops.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "object_pos")
+    found = crops.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "pos")
+    matched = detections.match_truth(found, truth, 0.1)
+    return matched.select("image_id", "object_pos", "pos", F.round("iou", 9).alias("iou"))
 
 
 #: Boxes of a vector for suppression: twelve of five numbers, two classes, rounded confidences that tie, some of them NaN.

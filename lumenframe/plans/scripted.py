@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import boxes, display, text
-from lumenframe.operators import detections
+from lumenframe.operators import detections, models
 from lumenframe.operators.models import ModelSpec, ScriptedDetector
 from lumenframe.plans import pipelines
 from lumenframe.plans.catalogue import ORACLE_SQL, QUERIES, SETTINGS, query, table
 from lumenframe.schema import OCR_DOC
 from lumenframe.sources import frames as frame_files
 from lumenframe.sources import images as image_files
-from lumenframe.sources import sinks, videos
+from lumenframe.sources import sinks, videos, voc
 from lumenframe.sources.jpeg import encode_jpeg
 from lumenframe.workspace import scratch
 
@@ -374,3 +374,52 @@ def whole_ids(spark, sf_dir):
     """A model's numbers as whole ones; truncation differs from rounding below zero."""
     ids = boxes.to_ints(F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double") * 100))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+
+
+@query(f"""SELECT vec_id::VARCHAR || '.jpg' AS filename, j AS object_pos, {WIDTH} AS width, {HEIGHT} AS height, coalesce(class, 'other') AS name,
+    x AS xmin, y AS ymin, u AS xmax, v AS ymax, CASE WHEN j <> 1 THEN 'T' || k END AS text, (k / 8.0::DOUBLE)::VARCHAR AS rotation FROM ({_RAW})""")
+def voc_objects(spark, sf_dir):
+    """Boxes written as Pascal VOC annotations and read back, one row an object; the second of an image has no text attribute."""
+    class_of = F.coalesce(boxes.class_label(F.col("class_id"), SETTINGS.classes), F.lit("other"))
+    first = F.conv(F.substring(F.md5(F.col("vec_id").cast("string").cast("binary")), 1, 2), 16, 10)
+    tag = lambda name, *inner: F.concat(F.lit(f"<{name}>"), *inner, F.lit(f"</{name}>"))
+    attribute = lambda name, value: tag("attribute", tag("name", F.lit(name)), tag("value", value))
+    bounds = [tag(c, boxes.corner(F.col("xyxy"), k).cast("string")) for k, c in enumerate(("xmin", "ymin", "xmax", "ymax"))]
+    text_of = F.when(F.col("pos") != 1, attribute("number_plate_text", F.concat(F.lit("T"), first))).otherwise("")
+    flags = [tag(c, F.lit("0")) for c in ("truncated", "occluded", "difficult")]
+    one = tag("object", tag("name", class_of), *flags, tag("bndbox", *bounds), tag("attributes", text_of, attribute("rotation", (first / 8).cast("string"))))
+    found = detections.flatten_results(models.detect(images(spark, sf_dir), _detector()).drop("image")).select("vec_id", "pos", one.alias("one"))
+    listed = detections.collect_ordered(found, ["vec_id"], ["pos"], ["one"], "objects")
+    # the source holds a tag of the row's own name, which must not begin a row
+    source = tag("source", *[tag(c, F.lit("x")) for c in ("database", "annotation", "image")])
+    size = tag("size", tag("width", F.lit(str(WIDTH))), tag("height", F.lit(str(HEIGHT))), tag("depth", F.lit("")))
+    name = tag("filename", F.concat(F.col("vec_id").cast("string"), F.lit(".jpg")))
+    objects = F.array_join(F.transform("objects", lambda o: o.getField("one")), "")
+    folder = _folder(spark, "voc")
+    listed.select(tag("annotation", tag("folder", F.lit("f")), name, source, size, tag("segmented", F.lit("0")), objects)).write.option("maxRecordsPerFile", 1).text(folder)
+    read = voc.plate_texts(voc.annotation_objects(voc.read_annotations(spark, folder)))
+    rotation = F.try_element_at("attrs", F.lit("rotation")).alias("rotation")
+    return read.select("filename", "object_pos", "width", "height", "name", "xmin", "ymin", "xmax", "ymax", "text", rotation)
+
+
+@query(f"SELECT count(*) AS images, count(*) FILTER (k % 5 = 0) AS unreadable FROM ({_IMAGES})")
+def unreadable_files(spark, sf_dir):
+    """Image files of which some are cut off after their headers: these have a null image and are counted."""
+    folder = _folder(spark, "damaged")
+
+    def encode(array):
+        data = encode_jpeg(array)
+        return data[: len(data) // 2] if int(array.flat[0]) % 5 == 0 else data
+
+    sinks.write_images(images(spark, sf_dir), folder, "vec_id", encode, ".jpg").write.format("noop").mode("overwrite").save()
+    return image_files.unreadable_count(image_files.read_images(spark, folder))
+
+
+@query(f"SELECT vec_id::VARCHAR AS stem, string_agg(CASE WHEN drawn THEN '00ff00' ELSE old END, '' ORDER BY p) AS pixels FROM ({_GREEN}) GROUP BY vec_id")
+def annotated_files(spark, sf_dir):
+    """Annotated images saved as files and read back."""
+    folder = _folder(spark, "annotated")
+    drawn = pipelines.annotated_frames(images(spark, sf_dir), _detector(), labels=False)
+    sinks.write_images(drawn, folder, "vec_id", suffix=".png").write.format("noop").mode("overwrite").save()
+    read = image_files.readable(image_files.read_images(spark, folder))
+    return read.select(detections.file_stem(F.col("path")).alias("stem"), F.lower(F.hex("image.data")).alias("pixels"))

@@ -9,7 +9,11 @@ from lumenframe.schema import VOC
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; an empty depth is null."""
+    """One row per file; an empty depth is null.
+
+    A file holds one annotation: its source holds a tag of the same name, at which
+    Spark's reader loses count of rows where several stand in one file.
+    """
     rows = spark.read.schema(VOC).option("rowTag", "annotation").xml(path)
     return rows.withColumn("size", F.col("size").withField("depth", F.nullif(F.col("size.depth"), F.lit(""))))
 
