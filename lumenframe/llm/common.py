@@ -171,11 +171,25 @@ def pieces(batches: Iterator[Any], rows: int = 500, size: int = 8 << 20) -> Iter
 
     Keeps what a task works on at once small, whatever the session's batches hold;
     Spark itself limits those by bytes. A row of more than ``size`` bytes comes alone.
+    At the end of a task the worker gives back what it has freed.
     """
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    trim()
+
+
+def trim() -> None:
+    """Return freed memory to the machine, which a worker would hold while it waits for a task of another stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # of the GNU C library
+        libc.malloc_trim(0)
 
 
 #: Ids up to this number are broadcast; more go by a shuffle join.
