@@ -9,6 +9,7 @@ from lumenframe.functions import boxes, text
 from lumenframe.operators import detections, models, suppression
 from lumenframe.operators.models import ModelSpec
 from lumenframe.schema import Settings
+from lumenframe.sources import videos
 from lumenframe.streaming.tracking import TrackSettings, track
 
 DEFAULT = Settings()
@@ -171,3 +172,14 @@ def track_boxes(frames: DataFrame, detector: ModelSpec, settings: Settings = DEF
     """video_id, frame_idx, boxes and box_ids of every frame: what ``annotated_tracks`` draws."""
     found = models.detect(frames, detector, classes=list(settings.classes)).select("video_id", "frame_idx", F.flatten("results").alias("boxes"))
     return found.join(track(found, tracking).select("video_id", "frame_idx", "box_ids"), ["video_id", "frame_idx"])
+
+
+def tracked_videos(
+    frames: DataFrame, detector: ModelSpec, folder: str, settings: Settings = DEFAULT, tracking: TrackSettings = TrackSettings(), labels: bool = True
+) -> DataFrame:
+    """Videos of the frames with tracked boxes drawn, written below ``folder``: (video_id, path, frames).
+
+    Frames are read twice, to track and to draw, so that boxes alone are shuffled for
+    tracking; drawn frames are shuffled once, by ranges that tasks encode.
+    """
+    return videos.write_videos(annotated_tracks(frames, track_boxes(frames, detector, settings, tracking), settings, labels), folder)

@@ -302,17 +302,23 @@ def _scene(k: int) -> list[list[tuple]]:
     return [found]
 
 
+def _scenes(spark, sf_dir, side: int = 1) -> DataFrame:
+    """The frames of such scenes as black squares, of which the first byte tells the script the frame's number."""
+    data = F.unhex(F.rpad(F.lpad(F.hex(F.col("frame_idx")), 2, "0"), 6 * side * side, "0"))
+    image = F.struct(F.lit(side).alias("height"), F.lit(side).alias("width"), F.lit(3).alias("n_channels"), data.alias("data"))
+    return frames(spark, sf_dir).withColumn("image", image)
+
+
+def _watcher() -> ModelSpec:
+    return ModelSpec(ScriptedDetector, ({k: _scene(k) for k in range(100)},))
+
+
 @query(f"""SELECT (vec_id // 100)::VARCHAR AS video_id, vec_id % 100 AS frame_idx, true AS has_boxes, '1'
     || CASE WHEN vec_id % 100 BETWEEN {HIDDEN.start} AND {HIDDEN.stop - 1} THEN '' ELSE ',2' END
     || CASE WHEN vec_id % 100 > {LATE} THEN ',3' ELSE '' END AS track_ids FROM embeddings""")
 def track_vehicles(spark, sf_dir):
     """Ids of vehicles through crossing, hiding, a faint frame and a late arrival, which a second frame confirms; the person is left out."""
-    seen = frames(spark, sf_dir)
-    # the first byte of an image tells the script the frame's number
-    data = F.unhex(F.rpad(F.lpad(F.hex(F.col("frame_idx")), 2, "0"), 6, "0"))
-    image = F.struct(F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(3).alias("n_channels"), data.alias("data"))
-    scene = ModelSpec(ScriptedDetector, ({k: _scene(k) for k in range(100)},))
-    tracked = pipelines.track_vehicles(seen.withColumn("image", image), scene)
+    tracked = pipelines.track_vehicles(_scenes(spark, sf_dir), _watcher())
     return tracked.select("video_id", "frame_idx", "has_boxes", F.array_join(F.col("track_ids").cast("array<string>"), ",").alias("track_ids"))
 
 
@@ -423,3 +429,21 @@ def annotated_files(spark, sf_dir):
     sinks.write_images(drawn, folder, "vec_id", suffix=".png").write.format("noop").mode("overwrite").save()
     read = image_files.readable(image_files.read_images(spark, folder))
     return read.select(detections.file_stem(F.col("path")).alias("stem"), F.lower(F.hex("image.data")).alias("pixels"))
+
+
+@query("""SELECT (vec_id // 100)::VARCHAR AS video, count(*) AS frames, 25.0::DOUBLE AS fps, 32 AS width, 32 AS height,
+    count(*) FILTER (vec_id % 100 < 11) AS marked FROM embeddings GROUP BY vec_id // 100""")
+def tracked_videos(spark, sf_dir):
+    """Videos with tracked boxes drawn, written and decoded again: size, and frames on which the first vehicle's box can be seen.
+
+    It moves by three points a frame, so its left edge has left the frames of 32 points from the eleventh on.
+    """
+    folder = _folder(spark, "tracked")
+    pipelines.tracked_videos(_scenes(spark, sf_dir, 32), _watcher(), folder, labels=False)
+    seen = frame_files.read_videos(videos.list_videos(spark, folder))
+    # blue, green and red of the tenth row at the box's left edge: green but for what coding loses
+    place = 3 * (32 * 9 + 3 * F.col("frame_idx")) + 1
+    level = lambda k: F.conv(F.hex(F.substring("image.data", (place + k).cast("int"), F.lit(1))), 16, 10).cast("int")
+    green = (3 * F.col("frame_idx") < 32) & (level(1) > 128) & (level(0) < 100) & (level(2) < 100)
+    shown = seen.select(detections.file_stem(F.col("video_id")).alias("video"), "fps", F.col("image.width").alias("width"), F.col("image.height").alias("height"), green.alias("green"))
+    return shown.groupBy("video", "fps", "width", "height").agg(F.count("*").alias("frames"), F.count_if("green").alias("marked"))
