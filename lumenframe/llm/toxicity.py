@@ -43,6 +43,8 @@ from lumenframe.llm.textscan import WordScanner, mix, text_buffers
 PER_CLASS = 2000
 #: Labelled documents that name a group, outside the held-out fold, which are added for the penalty.
 GROUP_SAMPLE = 300
+#: Tasks that work on the sampled texts.
+SAMPLE_TASKS = 16
 #: Terms of a kind that are set, one at a time, into a text that names no group.
 PLACED = 2
 #: Lengths of word beginnings that are features, in bytes.
@@ -246,14 +248,37 @@ def group_sample(documents: DataFrame, labels: DataFrame, modulus: int, held_out
     return found.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("label", F.lit(-1))
 
 
-def _feature_rows(sample: DataFrame, features: Features, terms: dict[str, list[str]], kept: np.ndarray | None) -> DataFrame:
-    """(doc_id, label, version, features) of the sampled texts: an array of all of the texts' own, or places in ``kept``, for texts and their versions.
+def _feature_counts(sample: DataFrame, features: Features) -> DataFrame:
+    """(feature, n0, n1): how many sampled texts of each label have it; a row for each feature of some hundred texts."""
 
-    The places are bytes of 32-bit integers, since they go to the driver.
-    """
-    kind = T.ArrayType(T.LongType()) if kept is None else T.BinaryType()
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in pieces(batches, 200, 2 << 20):
+            sets = features.sets(batch.column("text"))
+            label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+            found, place = np.unique(np.concatenate(sets), return_inverse=True)
+            many = [np.bincount(place[label == y], minlength=len(found)) for y in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *map(pa.array, many)], ["feature", "n0", "n1"])
+
+    return sample.select("text", "label").mapInArrow(count, "feature long, n0 long, n1 long")
+
+
+def _strongest(counts: DataFrame, many: dict[int, int]) -> np.ndarray:
+    """strongest() by Spark, from the rows of _feature_counts() and the number of texts of each label."""
+    counts = counts.groupBy("feature").agg(*[F.sum(f"n{y}").alias(f"n{y}") for y in (0, 1)])
+    have = [F.col(f"n{y}") + 0.5 for y in (0, 1)]
+    lack = [F.lit(many.get(y, 0) + 1) - have[y] for y in (0, 1)]
+    strength = F.abs(F.log(have[1] / lack[1]) - F.log(have[0] / lack[0])) / F.sqrt(1 / have[0] + 1 / lack[0] + 1 / have[1] + 1 / lack[1])
+    strong = counts.where(F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS).select("feature", strength.alias("strength")).where(F.col("strength") >= LEAST_STRENGTH)
+    best = strong.orderBy(F.desc("strength"), "feature").limit(MOST_FEATURES).collect()
+    return np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
+
+
+def _version_rows(sample: DataFrame, features: Features, terms: dict[str, list[str]], kept: np.ndarray) -> DataFrame:
+    """(doc_id, label, version, places) of the sampled texts and their versions: places in ``kept`` as bytes of 32-bit integers, since they go to the driver."""
     schema = T.StructType(
-        [sample.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("features", kind)]
+        [sample.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("version", T.IntegerType()), T.StructField("places", T.BinaryType())]
     )
 
     def describe(batches):
@@ -262,41 +287,21 @@ def _feature_rows(sample: DataFrame, features: Features, terms: dict[str, list[s
         for batch in pieces(batches, 50):
             texts, at, version = [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                every = [text or ""] if kept is None else [text or "", *counterfactuals(text or "", terms)]
+                every = [text or "", *counterfactuals(text or "", terms)]
                 texts += every
                 at += [k] * len(every)
                 version += range(len(every))
             sets = features.sets(pa.array(texts, pa.string()))
-            if kept is None:
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-            else:
-                values = pa.array([np.flatnonzero(np.isin(kept, s)).astype(np.int32).tobytes() for s in sets], pa.binary())
+            places = pa.array([np.flatnonzero(np.isin(kept, s)).astype(np.int32).tobytes() for s in sets], pa.binary())
             place = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(place),
-                    batch.column("label").take(place).cast(pa.int32()),
-                    pa.array(version, pa.int32()),
-                    values,
-                ],
+                [batch.column("doc_id").take(place), batch.column("label").take(place).cast(pa.int32()), pa.array(version, pa.int32()), places],
                 schema.names,
             )
 
     return sample.select("doc_id", "text", "label").mapInArrow(describe, schema)
 
 
-def _strongest(rows: DataFrame, many: dict[int, int]) -> np.ndarray:
-    """strongest() by Spark, from the rows of _feature_rows() and the number of texts of each label."""
-    counts = rows.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(*[F.count_if(F.col("label") == y).alias(f"n{y}") for y in (0, 1)])
-    have = [F.col(f"n{y}") + 0.5 for y in (0, 1)]
-    lack = [F.lit(many.get(y, 0) + 1) - have[y] for y in (0, 1)]
-    strength = F.abs(F.log(have[1] / lack[1]) - F.log(have[0] / lack[0])) / F.sqrt(1 / have[0] + 1 / lack[0] + 1 / have[1] + 1 / lack[1])
-    strong = counts.where(F.col("n0") + F.col("n1") >= LEAST_DOCUMENTS).select("feature", strength.alias("strength")).where(F.col("strength") >= LEAST_STRENGTH)
-    best = strong.orderBy(F.desc("strength"), "feature").limit(MOST_FEATURES).collect()
-    return np.sort(np.array([r.feature for r in best], np.int64).view(np.uint64))
-
-
 def toxicity_model(
     documents: DataFrame,
     labels: DataFrame,
@@ -314,16 +319,19 @@ def toxicity_model(
 
     features = Features()
     drawn, shares = labelled_sample(documents, labels, "toxic", modulus, held_out, per_class)
-    sample = materialise(drawn, "toxic-sample")
+    # a small sample would come from one task, and its features from one as well
+    sample = materialise(drawn.repartition(SAMPLE_TASKS), "toxic-sample")
     many = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
-    kept = _strongest(_feature_rows(sample, features, terms, None), many)
+    kept = _strongest(_feature_counts(sample, features), many)
     # the terms' own features have weights too, for texts that name groups
     named = features.sets(pa.array([" ".join(t for kind in terms.values() for t in kind)], pa.string()))[0]
     kept = np.unique(np.concatenate([kept, named]))
     groups = group_sample(documents, labels, modulus, held_out, terms).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
-    found = _feature_rows(sample.unionByName(groups), features, terms, kept)
-    rows = [(r.doc_id, r.label, r.version, kept[np.frombuffer(r.features, np.int32)]) for r in found.toLocalIterator()]
-    discard(sample)
+    # written by tasks side by side, then brought to the driver a partition at a time
+    every = sample.unionByName(groups).repartition(SAMPLE_TASKS)
+    found = materialise(_version_rows(every, features, terms, kept), "toxic-versions")
+    rows = [(r.doc_id, r.label, r.version, kept[np.frombuffer(r.places, np.int32)]) for r in found.toLocalIterator()]
+    discard(sample, found)
     return fit_toxicity(rows, shares, penalty, kept)
 
 

@@ -138,8 +138,8 @@ def test_features_picked_by_spark_are_those_of_numpy(spark):
     rng = random.Random(3)
     docs = [(k, " ".join(words(rng, 15, "bdrt") + ["zorg"] * (k % 3 == 0) + ["fine"] * (k % 2))) for k in range(200)]
     sample = spark.createDataFrame([(k, t, int(k % 3 == 0)) for k, t in docs], "doc_id long, text string, label int")
-    rows = toxicity._feature_rows(sample, toxicity.Features(), toxicity.IDENTITY_TERMS, None)
-    got = toxicity._strongest(rows, {0: 133, 1: 67})
+    counts = toxicity._feature_counts(sample.repartition(3), toxicity.Features())
+    got = toxicity._strongest(counts, {0: 133, 1: 67})
     sets = toxicity.Features().sets(pa.array([t for _, t in docs]))
     assert len(got) and (got == toxicity.strongest(sets, np.array([k % 3 == 0 for k, _ in docs], float))).all()
 
