@@ -41,7 +41,7 @@ ORC_OPTIONS = {
     "orc.compress": "NONE",
 }
 #: Pieces between white space that a task remembers with their ids, and those that a worker keeps for its next task.
-REMEMBERED, KEPT = 600_000, 400_000
+REMEMBERED, KEPT = 1_400_000, 1_200_000
 #: What a tokenizer must do to texts for encoding by pieces to be right, and how its added tokens begin.
 PIECEWISE = {
     "normalizer": {
@@ -261,7 +261,7 @@ def encode_documents(documents: DataFrame, tokenizer_path: str, end_id: int) ->
         import pyarrow as pa
 
         encoder = _encoder(tokenizer_path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, tidy=False):
             texts = [x.encode() if x else b"" for x in batch.column("text").to_pylist()]
             for a, b in _slices(texts):
                 ids, sizes = encoder.encode(texts[a:b], end_id)
