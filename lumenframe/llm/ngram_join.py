@@ -16,8 +16,9 @@ segments, which pairs must nearly share. Members of a signature's group are firs
 paired with a centre, its most central member. Where that leaves a group in
 several components, a member outside the largest one is elected as the next centre
 and paired with those of other components. Members that two elections leave apart
-are paired with each other; by then the parity bits have dropped pairs that only
-share a passage or agree by chance. Where more than CROWD members of a group are
+are paired with each other, where one is in its own band, as the larger of two that
+link is in some group; by then the parity bits have dropped pairs that only share a
+passage or agree by chance. Where more than CROWD members of a group are
 left apart, as of pages that one template made, they meet only those that agree in
 the next segment but for one shingle: the segment's subset and its one-deletion
 neighbourhood become the key, of the next two segments and two deletions where a
@@ -301,7 +302,10 @@ def _reach(plan: list[Band], threshold: Threshold):
 
 
 def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band]) -> DataFrame:
-    """Rows (sig, k, n, ahead): the signatures of every class in its band and in those above that it can reach."""
+    """Rows (sig, k, m, ahead): the signatures of every class in its band and in those above that it can reach.
+
+    ``m`` is the set's size, negative in a band above its own: a bit that takes no room in the shuffle.
+    """
     shingler, reach = Shingler(n), _reach(plan, threshold)
 
     def index(batches):
@@ -318,19 +322,19 @@ def _index(documents: DataFrame, n: int, threshold: Threshold, plan: list[Band])
                 for band in reach(len(s)):
                     found.append(signatures(s, band))
                     keys.append(key[0])
-                    sizes.append(len(s))
+                    sizes.append(len(s) if len(s) >= band.low else -len(s))
             if not found:
                 continue
             many = [len(f[0]) for f in found]
             sig, ahead, _ = (np.concatenate(x) for x in zip(*found, strict=True))
             columns = [sig.view(np.int64), np.repeat(np.array(keys, np.int64), many), np.repeat(np.array(sizes, np.int32), many), ahead.view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "k", "n", "ahead"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "k", "m", "ahead"])
 
-    return documents.select("text").mapInArrow(index, "sig long, k long, n int, ahead long")
+    return documents.select("text").mapInArrow(index, "sig long, k long, m int, ahead long")
 
 
 def _further(rows: DataFrame, documents: DataFrame, n: int, threshold: Threshold, plan: list[Band], most: int) -> DataFrame:
-    """The members (first, id, ahead, component) of crowded groups by keys with ``most`` further segments.
+    """The members (first, id, ahead, own, component) of crowded groups by keys with ``most`` further segments.
 
     ``first`` is a group's signature. The result has the key as ``sig``, and ``out``, how many shingles the key leaves out;
     keys that only one component has are dropped. What a document has in ``wanted`` is bounded by its own signatures.
@@ -354,7 +358,7 @@ def _further(rows: DataFrame, documents: DataFrame, n: int, threshold: Threshold
     named = documents.select("doc_id", "text").join(wanted, "doc_id")
     kind = T.StructType([T.StructField("id", documents.schema["doc_id"].dataType), *[T.StructField(c, T.LongType()) for c in ("first", "sig", "out")]])
     keyed = named.mapInArrow(read, kind).groupBy("first", "id", "sig").agg(F.min("out").alias("out"))
-    keyed = keyed.join(rows.select("first", "id", "ahead", "component"), ["first", "id"])
+    keyed = keyed.join(rows.select("first", "id", "ahead", "own", "component"), ["first", "id"])
     return _apart(keyed)
 
 
@@ -446,8 +450,8 @@ def _pair(l: str, r: str) -> list:  # noqa: E741
 
 def _parted(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members of groups that lie in several of the components found, with their component and the group's largest one."""
-    placed = members.select("sig", "id", "ahead", "weight").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "sig", "id", "ahead", "weight", F.coalesce("component", "id").alias("component")
+    placed = members.select("sig", "id", "ahead", "own", "weight").join(found.withColumnRenamed("node", "id"), "id", "left").select(
+        "sig", "id", "ahead", "own", "weight", F.coalesce("component", "id").alias("component")
     )
     return materialise(_apart(placed), "join-parted")
 
@@ -461,7 +465,11 @@ def _apart(placed: DataFrame) -> DataFrame:
 
 
 def _met(every: DataFrame, bits: DataFrame, threshold: Threshold, most: int) -> DataFrame:
-    """The pairs that can link of a group's members outside its main component with all of other components."""
+    """The pairs that can link of a group's members outside its main component with all of other components.
+
+    One of a pair is in its own band: two sets that link meet in the larger one's, and pairs that share
+    signatures there mostly do so in the bands above as well.
+    """
     every = every.join(bits, "id")
     return (
         every.where("component <> main")
@@ -470,6 +478,7 @@ def _met(every: DataFrame, bits: DataFrame, threshold: Threshold, most: int) ->
             every.alias("r"),
             (F.col("l.sig") == F.col("r.sig"))
             & (F.col("l.component") != F.col("r.component"))
+            & (F.col("l.own") | F.col("r.own"))
             & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
             & (F.col("l.out") + F.col("r.out") <= most)
             & _follows("l.ahead", "r.ahead")
@@ -492,17 +501,19 @@ def _components(documents: DataFrame, described: DataFrame, classes: DataFrame,
     groups = (
         index.groupBy("sig")
         .agg(
-            F.min(F.struct("k", "n", "ahead")).alias("low"),
-            F.max(F.struct("k", "n", "ahead")).alias("high"),
+            F.min(F.struct("k", "m", "ahead")).alias("low"),
+            F.max(F.struct("k", "m", "ahead")).alias("high"),
+            F.max("m").alias("own"),
             F.count("*").alias("members"),
         )
-        .where("low <> high")
+        .where("low <> high and own > 0")  # a group without a set of its band holds no pair that doesn't meet elsewhere
         .select("sig", "members")
     )
-    shared = materialise(index.join(groups, "sig"), "join-groups")
+    sized = ["sig", "k", F.abs("m").alias("n"), (F.col("m") > 0).alias("own"), "ahead", "members"]
+    shared = materialise(index.join(groups, "sig").select(*sized), "join-groups")
     weights = shared.groupBy("k", "n").agg(F.sum("members").alias("weight"))
     nodes = materialise(classes.join(weights, ["k", "n"]), "join-nodes")
-    members = materialise(shared.select("sig", "k", "n", "ahead").distinct().join(nodes.select("k", "n", "id", "weight"), ["k", "n"]).drop("k", "n"), "join-members")
+    members = materialise(shared.select("sig", "k", "n", "own", "ahead").distinct().join(nodes.select("k", "n", "id", "weight"), ["k", "n"]).drop("k", "n"), "join-members")
     discard(shared)
     bits = nodes.select("id", "k", "n", *[f"b{i}" for i in range(BITMAP)])
 
@@ -532,7 +543,7 @@ def _components(documents: DataFrame, described: DataFrame, classes: DataFrame,
         tested, found = tested.unionAll(again), extended_components(found, _links(again, documents, n, threshold), "a", "b")
 
     # Members that no centre joined meet the members of their groups that are still in other components.
-    every = _parted(members, found).select("sig", F.col("sig").alias("first"), "id", "ahead", "component", "main", F.lit(0).cast("long").alias("out"))
+    every = _parted(members, found).select("sig", F.col("sig").alias("first"), "id", "ahead", "own", "component", "main", F.lit(0).cast("long").alias("out"))
     met = []
     for most in range(FURTHER + 1):
         crowded = every.where("component <> main").groupBy("sig").agg(F.count("*").alias("many")).where(F.col("many") > CROWD).select("sig")
@@ -541,7 +552,7 @@ def _components(documents: DataFrame, described: DataFrame, classes: DataFrame,
             met.append(_met(every, bits, threshold, most))
             break
         met.append(_met(every.join(crowded, "sig", "left_anti"), bits, threshold, most))
-        kept_back = every.join(crowded, "sig").select("first", "id", "ahead", "component").distinct()
+        kept_back = every.join(crowded, "sig").select("first", "id", "ahead", "own", "component").distinct()
         every = materialise(_further(kept_back, documents, n, threshold, plan, most + 1), "join-further")
     rest = met[0]
     for more in met[1:]:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumenframe.llm import ngram_join as join
@@ -224,3 +225,39 @@ def test_deletions_meet_sets_that_differ_little():
         for most in (1, 2):
             x, y = (dict(zip(*join.deletions(v, most), strict=True)) for v in (a, b))
             assert any(x[k] + y[k] <= most for k in set(x) & set(y)) == (apart <= most)
+
+
+def test_pairs_meet_in_the_band_of_the_larger_set_only(spark, monkeypatch):
+    """Texts of one band that all reach the next are grouped by their own band's signatures; links across bands are found."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    plan = join.bands(join.Threshold(80, 100), 400)
+    own = next(b for b in plan if b.low >= 150)
+    reach, above = join._reach(plan, join.Threshold(80, 100)), plan[own.number + 1]
+    base = [word() for _ in range(own.high + 2)]
+    alone = []
+    for _ in range(40):
+        copy = list(base)
+        for at in rng.sample(range(len(base)), 6):
+            copy[at] = word()
+        alone.append(" ".join(copy))
+    assert all(reach(len(shingles(t, 5))) == [own, above] for t in alone)
+    grouped, write = [], join.materialise
+
+    def noting(df, name):
+        out = write(df, name)
+        grouped.extend(r[0] for r in out.select("sig").collect()) if name == "join-groups" else None
+        return out
+
+    monkeypatch.setattr(join, "materialise", noting)
+    docs = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    assert sorted(map(tuple, join.similar_documents(docs, 5, 80, 100).collect())) == brute(list(enumerate(alone)), 5, 80, 100)
+    sets = join.Shingler(5).sets(pa.array(alone))
+    light = [join.Band(own.number, own.low, own.high, own.segments, k) for k in (-1, 0, 1, 2)]
+    assert grouped and set(grouped) <= {k for s in sets for b in light for k in join.signatures(s, b)[0].view(np.int64).tolist()}
+    # sizes on both sides of the border
+    across = [" ".join(base[: own.high + 4 - k] + [word() for _ in range(rng.randrange(0, 20))]) for k in range(12)] + alone
+    docs = spark.createDataFrame(list(enumerate(across)), "doc_id long, text string")
+    got = sorted(map(tuple, join.similar_documents(docs, 5, 80, 100).collect()))
+    assert got == brute(list(enumerate(across)), 5, 80, 100)
+    assert len({own.low <= n <= own.high for _, n, c in got if c == 0}) == 2
