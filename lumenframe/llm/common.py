@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenframe.workspace import pieces, trim  # noqa: F401  for the operators
+
 #: White space and words of the corpus contracts: words are runs of other characters.
 ASCII_SPACE = "\t\n\x0b\x0c\r "
 
@@ -166,34 +168,6 @@ def within_bytes(sample: DataFrame, group: str, most: int) -> DataFrame:
     return sample.join(F.broadcast(ids), ["doc_id", group], "left_semi").select(*sample.columns)  # ids of a bounded sample
 
 
-def pieces(batches: Iterator[Any], rows: int = 500, size: int = 8 << 20, tidy: bool = True) -> Iterator[Any]:
-    """The rows of Arrow batches, at most ``rows`` and about ``size`` bytes at a time.
-
-    Keeps what a task works on at once small, whatever the session's batches hold;
-    Spark itself limits those by bytes. A row of more than ``size`` bytes comes alone.
-    At the end of a task the worker gives back what it has freed, unless ``tidy`` is
-    off, for a stage whose next task needs as much again.
-    """
-    for batch in batches:
-        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
-    if tidy:
-        trim()
-
-
-def trim() -> None:
-    """Return freed memory to the machine, which a worker would hold while it waits for a task of another stage."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):  # of the GNU C library
-        libc.malloc_trim(0)
-
-
 #: Ids up to this number are broadcast; more go by a shuffle join.
 MOST_BROADCAST = 500_000
 

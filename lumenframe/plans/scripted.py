@@ -22,7 +22,7 @@ from lumenframe.sources import frames as frame_files
 from lumenframe.sources import images as image_files
 from lumenframe.sources import sinks, videos, voc
 from lumenframe.sources.jpeg import encode_jpeg
-from lumenframe.workspace import scratch
+from lumenframe.workspace import deal, scratch
 
 __all__ = ["ORACLE_SQL", "QUERIES"]  # those of the catalogue, with this module's
 
@@ -82,7 +82,7 @@ def _detector() -> ModelSpec:
 def images(spark, sf_dir) -> DataFrame:
     data = F.unhex(F.repeat(F.md5(F.col("vec_id").cast("string").cast("binary")), WIDTH * HEIGHT * 3 // 16))
     image = F.struct(F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"), F.lit(3).alias("n_channels"), data.alias("data"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", image.alias("image"))
+    return deal(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id").select("vec_id", image.alias("image"))
 
 
 def frames(spark, sf_dir) -> DataFrame:
@@ -262,18 +262,20 @@ def jpeg_blocks(spark, sf_dir):
     Such a block has one coefficient, so SQL can tell what quantising leaves of it.
     """
     gray = F.transform("embedding", lambda v: F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 400)).cast("int"))
-    byte = F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0"))
-    row = lambda r: F.repeat(F.array_join(F.transform(F.slice(byte, 8 * r + 1, 8), lambda b: F.repeat(b, 8)), ""), 8)
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), row), ""))
+    digits = F.array_join(F.transform(gray, lambda g: F.lpad(F.hex(g), 2, "0")), "")
+    row = lambda r: F.repeat(F.concat(*[F.repeat(F.substring("digits", 16 * r + 2 * c + 1, 2), 8) for c in range(8)]), 8)
+    data = F.unhex(F.concat(*map(row, range(8))))
     image = F.struct(F.lit(64).alias("height"), F.lit(64).alias("width"), F.lit(1).alias("n_channels"), data.alias("data"))
     folder = _folder(spark, "jpeg")
-    blocks = table(spark, sf_dir, "embeddings").select("vec_id", image.alias("image"))
+    blocks = deal(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").select("vec_id", digits.alias("digits")).select("vec_id", image.alias("image"))
     half = functools.partial(encode_jpeg, quality=HALF_QUALITY)
     sinks.write_images(blocks, folder, "vec_id", half, ".jpg").write.format("noop").mode("overwrite").save()
     read = image_files.readable(image_files.read_images(spark, folder, glob="*.jpg"))
-    flat = read.select(detections.file_stem(F.col("path")).alias("stem"), F.lower(F.hex("image.data")).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
-    corner = 1024 * F.floor(F.col("block") / 8) + 16 * (F.col("block") % 8) + 1  # of hexadecimal digits, 128 a row
-    return flat.select("stem", "block", F.concat(*[F.substring("h", (corner + 128 * y).cast("int"), F.lit(16)) for y in range(8)]).alias("pixels"))
+    flat = read.select(detections.file_stem(F.col("path")).alias("stem"), F.col("image.data").alias("data"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
+    # of bytes, 64 a row: of a string, substring walks all characters before the place
+    corner = 512 * F.floor(F.col("block") / 8) + 8 * (F.col("block") % 8) + 1
+    rows = [F.substring("data", (corner + 64 * y).cast("int"), F.lit(8)) for y in range(8)]
+    return flat.select("stem", "block", F.lower(F.hex(F.concat(*rows))).alias("pixels"))
 
 
 _GREEN = f"""SELECT vec_id, p, count(b.j) > 0 AS drawn, any_value(substr(repeat(m, 72), cast(6 * p + 1 AS INT), 6)) AS old
@@ -395,6 +397,7 @@ def voc_objects(spark, sf_dir):
     flags = [tag(c, F.lit("0")) for c in ("truncated", "occluded", "difficult")]
     one = tag("object", tag("name", class_of), *flags, tag("bndbox", *bounds), tag("attributes", text_of, attribute("rotation", (first / 8).cast("string"))))
     found = detections.flatten_results(models.detect(images(spark, sf_dir), _detector()).drop("image")).select("vec_id", "pos", one.alias("one"))
+    found = deal(found, "vec_id")  # the listing keeps this, so as many tasks write the files
     listed = detections.collect_ordered(found, ["vec_id"], ["pos"], ["one"], "objects")
     # the source holds a tag of the row's own name, which must not begin a row
     source = tag("source", *[tag(c, F.lit("x")) for c in ("database", "annotation", "image")])
@@ -402,7 +405,8 @@ def voc_objects(spark, sf_dir):
     name = tag("filename", F.concat(F.col("vec_id").cast("string"), F.lit(".jpg")))
     objects = F.array_join(F.transform("objects", lambda o: o.getField("one")), "")
     folder = _folder(spark, "voc")
-    listed.select(tag("annotation", tag("folder", F.lit("f")), name, source, size, tag("segmented", F.lit("0")), objects)).write.option("maxRecordsPerFile", 1).text(folder)
+    whole = tag("annotation", tag("folder", F.lit("f")), name, source, size, tag("segmented", F.lit("0")), objects)
+    sinks.write_texts(listed.select("vec_id", whole.alias("whole")), folder, "vec_id", "whole", ".xml").write.format("noop").mode("overwrite").save()
     read = voc.plate_texts(voc.annotation_objects(voc.read_annotations(spark, folder)))
     rotation = F.try_element_at("attrs", F.lit("rotation")).alias("rotation")
     return read.select("filename", "object_pos", "width", "height", "name", "xmin", "ymin", "xmax", "ymax", "text", rotation)

@@ -13,6 +13,7 @@ from lumenframe.sources.images import encode_pnm
 from lumenframe.sources.jpeg import encode_jpeg
 from lumenframe.sources.png import encode_png
 from lumenframe.streaming.tracking import write_each_batch
+from lumenframe.workspace import pieces
 
 
 #: Encoders by file suffix.
@@ -28,6 +29,19 @@ def write_images(df: DataFrame, folder: str, name: str, encode: Callable | None
     a retried task overwrites its own files with the same bytes.
     """
     encode = encode or ENCODERS[suffix]
+    return _written(df.select(F.col(name).cast("string"), "image"), folder, suffix, lambda image: encode(kernels.to_array(image)))
+
+
+def write_texts(df: DataFrame, folder: str, name: str, text: str, suffix: str = ".txt") -> DataFrame:
+    """Write column ``text`` of each row as a file in UTF-8, named like ``write_images``'s; null texts are left out.
+
+    For many small files: Spark's own writer spends tens of milliseconds on each.
+    """
+    return _written(df.select(F.col(name).cast("string"), text), folder, suffix, str.encode)
+
+
+def _written(named: DataFrame, folder: str, suffix: str, encode: Callable) -> DataFrame:
+    """Files of the rows (name, value), written by tasks: (name, path, bytes) when run."""
 
     def run(batches):
         import pyarrow as pa
@@ -35,12 +49,12 @@ def write_images(df: DataFrame, folder: str, name: str, encode: Callable | None
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        for batch in batches:
+        for batch in pieces(batches, 256, 4 << 20):
             rows = {"name": [], "path": [], "bytes": []}
-            for key, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if image is None:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if value is None:
                     continue
-                data = encode(kernels.to_array(image))
+                data = encode(value)
                 with system.open_output_stream(f"{root}/{key}{suffix}") as out:
                     out.write(data)
                 rows["name"].append(key)
@@ -48,7 +62,7 @@ def write_images(df: DataFrame, folder: str, name: str, encode: Callable | None
                 rows["bytes"].append(len(data))
             yield pa.RecordBatch.from_pydict(rows, pa.schema([("name", pa.string()), ("path", pa.string()), ("bytes", pa.int64())]))
 
-    return df.select(F.col(name).cast("string"), "image").mapInArrow(run, "name string, path string, bytes long")
+    return named.mapInArrow(run, "name string, path string, bytes long")
 
 
 def write_videos(frames: DataFrame, folder: str, encode: Callable) -> DataFrame:

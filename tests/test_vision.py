@@ -254,3 +254,22 @@ def test_lookup_and_semi_joins(spark):
     assert [r.stem for r in detections.annotated(images, notes, "stem").collect()] == ["a"]
     assert [r.stem for r in detections.unannotated(images, notes, "stem").collect()] == ["b"]
     assert F is not None
+
+
+def test_rows_of_one_split_are_dealt_to_all_cores(spark, tmp_path):
+    """Rows of one input split become images in several tasks, whatever adaptive execution would join."""
+    from lumenframe.plans import scripted
+
+    spark.range(0, 400, 1, 1).select(F.col("id").alias("vec_id")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = scripted.images(spark, str(tmp_path)).select("vec_id", F.spark_partition_id().alias("part"))
+    assert made.select("part").distinct().count() >= spark.sparkContext.defaultParallelism
+    assert made.count() == 400
+
+
+def test_texts_as_files(spark, tmp_path):
+    from lumenframe.sources import sinks
+
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "ö\n")], "k long, t string")
+    told = sinks.write_texts(rows, f"file://{tmp_path}/t", "k", "t", ".xml").collect()
+    assert sorted((r.name, r.bytes) for r in told) == [("1", 1), ("3", 3)]
+    assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "t").iterdir()) == [("1.xml", b"a"), ("3.xml", "ö\n".encode())]
