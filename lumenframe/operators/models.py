@@ -21,9 +21,12 @@ from pyspark.sql import types as T
 from lumenframe.operators import kernels, lettering
 from lumenframe.operators.suppression import decode_raw
 from lumenframe.schema import BOX, IMAGE, OCR_DOC, Settings
+from lumenframe.workspace import pieces
 
 #: Images that a model which takes batches is given at once.
 BATCH = 16
+#: Rows, and about the bytes of them, that a stage holds as Python objects at once.
+PIECE_ROWS, PIECE_BYTES = 256, 4 << 20
 
 
 class Detector(Protocol):
@@ -124,7 +127,7 @@ def _mapped(df: DataFrame, image: str, name: str, kind: T.DataType, run: Callabl
         from pyspark.sql.pandas.types import to_arrow_type
 
         predict = None
-        for batch in batches:
+        for batch in pieces(batches, PIECE_ROWS, PIECE_BYTES):
             predict = predict or run()
             images = batch.column(image).to_pylist()
             have = [k for k, i in enumerate(images) if i is not None]

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from lumenframe.schema import IMAGE
 from lumenframe.sources.jpeg import decode_jpeg
 from lumenframe.sources.png import SIGNATURE, decode_png
+from lumenframe.workspace import pieces
 
 Decode = Callable[[bytes], np.ndarray | None]
 
@@ -58,7 +59,7 @@ def read_images(spark: SparkSession, path: str, decode: Decode = decode_image, g
 
         from lumenframe.operators.kernels import to_image
 
-        for batch in batches:
+        for batch in pieces(batches, 64, 4 << 20):
             images = []
             for content in batch.column("content").to_pylist():
                 try:

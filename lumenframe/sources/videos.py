@@ -21,6 +21,7 @@ from lumenframe.operators import kernels
 from lumenframe.sources import avi
 from lumenframe.sources.frames import open_store
 from lumenframe.sources.jpeg import encode_jpeg
+from lumenframe.workspace import pieces
 
 #: Frames that a task encodes at a time.
 FRAMES_PER_TASK = 256
@@ -45,7 +46,7 @@ def write_segments(frames: DataFrame, folder: str, quality: int = 95, per_task:
 
         system, root = open_store(folder)
         system.create_dir(root, recursive=True)
-        rows = (r for batch in batches for r in batch.to_pylist())
+        rows = (r for batch in pieces(batches, FRAMES_PER_TASK, 4 << 20) for r in batch.to_pylist())
         for (video, part), group in itertools.groupby(rows, key=lambda r: (r["video_id"], r["part"])):
             name, sizes, shape = f"{uuid.uuid4().hex}.part", [], None
             with system.open_output_stream(f"{root}/{name}") as out:

@@ -273,3 +273,18 @@ def test_texts_as_files(spark, tmp_path):
     told = sinks.write_texts(rows, f"file://{tmp_path}/t", "k", "t", ".xml").collect()
     assert sorted((r.name, r.bytes) for r in told) == [("1", 1), ("3", 3)]
     assert sorted((p.name, p.read_bytes()) for p in (tmp_path / "t").iterdir()) == [("1.xml", b"a"), ("3.xml", "ö\n".encode())]
+
+
+def test_a_stage_holds_few_images_at_once(spark):
+    """A batch of Arrow rows is worked in pieces; the model tells by the class how many images it was given."""
+    from lumenframe.operators import models
+
+    class Counting:
+        def predict(self, images):
+            return [[[(len(images), 0.9, 0.0, 0.0, 1.0, 1.0)]] for _ in images]
+
+    image = F.struct(F.lit(1).alias("height"), F.lit(1).alias("width"), F.lit(1).alias("n_channels"), F.unhex(F.lit("00")).alias("data"))
+    rows = spark.range(0, 1000, 1, 1).select("id", image.alias("image"))
+    found = models.detect(rows, models.ModelSpec(Counting)).select("id", F.col("results")[0][0]["class_id"].alias("n")).collect()
+    assert sorted(r.id for r in found) == list(range(1000))
+    assert max(r.n for r in found) <= models.PIECE_ROWS
